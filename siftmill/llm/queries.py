@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chunking, neardup
+from siftmill.llm import chunking, mojibake, neardup
 from siftmill.session import table
 
 SECTION_LIMIT, BODY_LIMIT, OVERLAP = 2_000, 24_000, 150
@@ -36,4 +36,14 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return pairs.select(F.col("a").alias("work_id_a"), F.col("b").alias("work_id_b"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found)}
+def p3_restored(spark: SparkSession, base: str) -> DataFrame:
+    """Every garbled title and abstract with its text as far as restored, and the chain of wrong decodings."""
+    return mojibake.restore(table(spark, base, "works"), ["review", "work_id"], ["title", "abstract"])
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """Titles and abstracts that were read in a wrong encoding."""
+    return p3_restored(spark, base).select("review", "work_id", "field").distinct()
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored)}
