@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -300,6 +300,18 @@ FOUND = T.StructType(
 )
 
 
+def is_garbled(column: Column, spark: SparkSession, model: Model) -> Column:
+    """Whether a value is garbled; false for null."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.BooleanType())
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([examine(t, shared.value).garbled for t in texts], dtype=bool)
+
+    return look(column)
+
+
 def restore(df: DataFrame, keys: list[str], columns: list[str], model: Model | None = None) -> DataFrame:
     """keys, field, value, restored text, chain and gain of every garbled value of the columns; re-deliveries once.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chunking, mojibake, neardup
+from siftmill.llm import chunking, confusables, mojibake, neardup
 from siftmill.session import table
 
 SECTION_LIMIT, BODY_LIMIT, OVERLAP = 2_000, 24_000, 150
@@ -46,4 +46,28 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return p3_restored(spark, base).select("review", "work_id", "field").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored)}
+def p4_consistent(spark: SparkSession, base: str) -> DataFrame:
+    """Every value of the three fields that is not in its consistent form, with that form; re-deliveries once."""
+    parts = (
+        ("abstract", "works", "abstract", ["review", "work_id"]),
+        ("evidence_span", "screening_decision", "evidence_span", ["run_id", "review", "work_id"]),
+        ("section_text", "paper_section", "text", ["pmcid", "section_no"]),
+    )
+    found = None
+    for field, name, column, keys in parts:
+        one = confusables.differing(table(spark, base, name), keys, column).select(
+            F.lit(field).alias("field"), F.concat_ws("|", *keys).alias("rec_key"), "value", "text"
+        )
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    """Values with look-alike or otherwise differing characters, without the abstracts that are garbled (p3)."""
+    model = mojibake.train(table(spark, base, "works"), ["title", "abstract"])
+    found = p4_consistent(spark, base)
+    sound = (F.col("field") != "abstract") | ~mojibake.is_garbled(F.when(F.col("field") == "abstract", F.col("value")), spark, model)
+    return found.filter(sound).select("field", "rec_key").distinct()
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent)}
