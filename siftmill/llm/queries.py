@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chunking, confusables, mojibake, neardup
+from siftmill.llm import chunking, confusables, mojibake, neardup, pairs, truncation
 from siftmill.session import table
 
 SECTION_LIMIT, BODY_LIMIT, OVERLAP = 2_000, 24_000, 150
@@ -70,4 +70,51 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return found.filter(sound).select("field", "rec_key").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent)}
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """Responses that do not answer their requests, with the kind of defect."""
+    return pairs.defects(table(spark, base, "cached_response"), "cache_key", "request_text", "raw_response")
+
+
+def _p7_cases(spark: SparkSession, base: str) -> dict[str, tuple[DataFrame, list[str]]]:
+    works, decisions, responses = (table(spark, base, t) for t in ("works", "screening_decision", "cached_response"))
+    # an answer that ends in a bracket is cut only if its structure is open; for others the request tells copies apart
+    closed = F.col("raw_response").rlike(r"[}\]]\s*(```)?\s*$")
+    answers = responses.filter("raw_response is not null").withColumn("asked", F.when(~closed, F.col("request_text")))
+    cut = pairs.stops_early(F.col("asked"), F.col("raw_response"), closed)
+    return {
+        "abstract": (truncation.cut_abstracts(works, ["review", "work_id"]), ["review", "work_id"]),
+        "evidence_span": (truncation.cut_spans(decisions, works, ["run_id", "review", "work_id"], ["review", "work_id"]), ["run_id", "review", "work_id"]),
+        "raw_response": (answers.filter(cut).select("cache_key").distinct(), ["cache_key"]),
+    }
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """Values that stop before their end."""
+    parts = [df.select(F.lit(field).alias("field"), F.concat_ws("|", *keys).alias("rec_key")) for field, (df, keys) in _p7_cases(spark, base).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p7_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Share of cut values per publisher (abstracts), run (spans) and model (answers), re-deliveries once."""
+    cases = _p7_cases(spark, base)
+    sources = {
+        "abstract": ("works", "publisher", "abstract"),
+        "evidence_span": ("screening_decision", "run_id", "evidence_span"),
+        "raw_response": ("cached_response", "model", "raw_response"),
+    }
+    out = None
+    for field, (name, source, column) in sources.items():
+        found, keys = cases[field]
+        extra = [] if source in keys else [source]
+        values = table(spark, base, name).filter(F.length(F.trim(F.col(column))) > 0).select(*keys, *extra).dropDuplicates(keys)
+        one = (
+            values.join(found.withColumn("cut", F.lit(1)), keys, "left")
+            .groupBy(F.col(source).alias("source"))
+            .agg(F.count("*").alias("n"), F.count("cut").alias("n_cut"))
+            .select(F.lit(field).alias("field"), "source", "n", "n_cut", F.round(F.col("n_cut") / F.col("n"), 6).alias("share"))
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent, p6_found, p7_found, p7_rates)}
