@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -134,11 +135,12 @@ def looks_garbled(text: str) -> bool:
     """Signs of a wrong decoding, without a model: what keeps a value out of the training."""
     if "�" in text or _CONTROL.search(text) or _ODD.search(text):
         return True
-    for m in _RUN.finditer(text):
-        run = m.group()
-        if len(run) > 1 and any((s := _step(run, (page, "utf-8"))) is not None and s[1] for page in READ_AS[:6]):
-            return True
-    return False
+    return any(_reads_as_utf8(run) for run in _RUN.findall(text) if len(run) > 1)
+
+
+@lru_cache(maxsize=65_536)
+def _reads_as_utf8(run: str) -> bool:
+    return any((s := _step(run, (page, "utf-8"))) is not None and s[1] > 0 for page in READ_AS[:6])
 
 
 def _keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -164,12 +166,13 @@ class Model:
     pairs: tuple[np.ndarray, np.ndarray]
     singles: dict[int, int]
     known: dict[str, float] = field(default_factory=dict)
+    runs: dict[str, list] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.total = sum(self.singles.values()) + 65536
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "runs": {}}
 
     def score(self, text: str) -> float:
         """Log-likelihood of the characters of text from the third on."""
@@ -229,51 +232,56 @@ class Finding:
     gain: float
 
 
-def _best(text: str, model: Model, allowed: tuple[tuple[str, str], ...] = CHAINS) -> tuple[float, tuple[str, str] | None, str, int]:
-    """The best of the chains allowed: gain, chain, result, broken sequences left."""
+def _changes(model: Model, before: str, run: str, after: str) -> list[tuple[float, str | None, int]]:
+    """What every chain makes of a run in its context: gain, the new run or None, broken sequences left."""
+    key = f"{before}\x00{run}\x00{after}"
+    found = model.runs.get(key)
+    if found is None:
+        found, as_is = [], model.score(before + run + after)
+        for chain in CHAINS:
+            step = _step(run, chain)
+            if step is None or step[0] == run and not step[2]:
+                found.append((0.0, None, 0))
+            else:
+                gain = model.score(before + step[0] + after) - as_is
+                found.append((gain + SEQUENCE * (step[1] + step[2] / 2) - LEFT * step[3], step[0], step[2]))
+        if len(model.runs) > 50_000:
+            model.runs.clear()
+        model.runs[key] = found
+    return found
+
+
+def _best(text: str, model: Model, allowed: tuple[int, ...] = tuple(range(len(CHAINS)))) -> tuple[float, tuple[str, str] | None, str, int]:
+    """The best of the chains allowed (by number): gain, chain, result, broken sequences left."""
     runs = list(_RUN.finditer(text))
-    best: tuple[float, tuple[str, str] | None, str, int] = (0.0, None, text, 0)
-    for chain in allowed:
-        utf8 = chain[1] == "utf-8"
-        changes = []
-        for m in runs:
-            step = _step(m.group(), chain)
-            if step is None or step[0] == m.group() and not step[2]:
-                changes.append((0.0, None, 0))
-                continue
-            begin, end = m.span()
-            before, after = ("\x02\x02" + text[max(0, begin - 2) : begin])[-2:], (text[end : end + 2] + "\x02\x02")[:2]
-            gain = model.score(before + step[0] + after) - model.score(before + m.group() + after)
-            gain += SEQUENCE * (step[1] + step[2] / 2) - LEFT * step[3]
-            changes.append((gain, step[0], step[2]))
-        # the stretch of runs with the largest sum
-        total = top = 0.0
-        begin = low = high = 0
-        for i, (gain, _, _) in enumerate(changes):
+    padded = f"\x02\x02{text}\x02\x02"
+    changes = [_changes(model, padded[m.start() : m.start() + 2], m.group(), padded[m.end() + 2 : m.end() + 4]) for m in runs]
+    top, best, low, high = 0.0, -1, 0, 0
+    for k in allowed:  # the stretch of runs with the largest sum of gains
+        total = begin = 0
+        for i, each in enumerate(changes):
             if total <= 0:
                 total, begin = 0.0, i
-            total += gain
+            total += each[k][0]
             if total > top:
-                top, low, high = total, begin, i + 1
-        if top > best[0]:
-            parts, at, broken = [], 0, 0
-            for i, m in enumerate(runs[low:high], low):
-                gain, new, left = changes[i]
-                parts.append(text[at : m.start()])
-                use = new is not None and (gain > 0 or not utf8)
-                parts.append(new if use else m.group())
-                broken += left if use else 0
-                at = m.end()
-            parts.append(text[at:])
-            best = (top, chain, "".join(parts), broken)
-    return best
+                top, best, low, high = total, k, begin, i + 1
+    if best < 0:
+        return 0.0, None, text, 0
+    parts, at, broken = [], 0, 0
+    for i, m in enumerate(runs[low:high], low):
+        gain, new, left = changes[i][best]
+        use = new is not None and (gain > 0 or CHAINS[best][1] != "utf-8")
+        parts += [text[at : m.start()], new if use else m.group()]
+        broken += left if use else 0
+        at = m.end()
+    return top, CHAINS[best], "".join([*parts, text[at:]]), broken
 
 
 def examine(text: str | None, model: Model, margin: float = MARGIN, depth: int = 4) -> Finding:
     """Unwind the wrong decodings of a value."""
     if not text or text.isascii():
         return Finding(False, True, text or "", [], 0.0)
-    now, chains, gains, broken, allowed = text, [], 0.0, 0, CHAINS
+    now, chains, gains, broken, allowed = text, [], 0.0, 0, tuple(range(len(CHAINS)))
     for _ in range(depth):
         gain, chain, result, left = _best(now, model, allowed)
         if chain is None or gain < margin:
@@ -281,7 +289,7 @@ def examine(text: str | None, model: Model, margin: float = MARGIN, depth: int =
         gains, broken = gains + gain, broken + left
         chains.append(f"{chain[0]}>{chain[1]}")
         # one wrong single-byte page at most, and none below a wrongly read UTF-8
-        allowed = _UTF8 if chain[1] == "utf-8" else (*_UTF8, chain)
+        allowed = tuple(range(len(_UTF8))) + ((CHAINS.index(chain),) if chain[1] != "utf-8" else ())
         if result == now:
             break
         now = result
