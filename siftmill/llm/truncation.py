@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,8 +245,8 @@ def train_endings(df: DataFrame, column: str) -> Endings:
     return model
 
 
-def abstract_is_cut(text: str | None, model: Endings) -> bool:
-    """Whether an abstract stops inside a word or a sentence."""
+def abstract_is_cut(text: str | None, model: Endings, at_limit: bool = False) -> bool:
+    """Whether an abstract stops inside a word or a sentence; at a field limit of its source, any open end is a cut."""
     if not text or not text.strip():
         return False
     bare, omission = without_omission(unify(text)[0])
@@ -256,9 +257,11 @@ def abstract_is_cut(text: str | None, model: Endings) -> bool:
         return False
     if prose_is_open(tail):
         return True
-    if bare[-1] in ")]}”»" or _TAIL.search(bare[-400:]):
+    if _TAIL.search(bare[-400:]):
         return False
-    return model.ends(bare) < LEAST
+    if at_limit:
+        return True
+    return bare[-1] not in ")]}”»" and model.ends(bare) < LEAST
 
 
 # Quotations: does the clause end where they stop?
@@ -339,17 +342,43 @@ def _flag(function, *columns: Column) -> Column:
     return run(*columns)
 
 
-def cut_abstracts(works: DataFrame, keys: list[str], column: str = "abstract") -> DataFrame:
+#: A length is a field limit of a source if so many texts without a terminator have it, and so many times as many as usual
+#: for the lengths within NEARBY of it.
+LIMIT_TEXTS, LIMIT_TIMES, NEARBY = 4, 6.0, 25
+
+
+def field_limits(works: DataFrame, keys: list[str], column: str, source: str) -> DataFrame:
+    """(source, size): the lengths at which a source's texts stop without a terminator unusually often."""
+    sizes = (
+        works.filter(_open_end(F.col(column)))
+        .select(*keys, F.col(source).alias("source"), F.length(column).alias("size"))
+        .distinct()
+        .groupBy("source", "size")
+        .agg(F.count("*").alias("n"))
+    )
+    near = W.partitionBy("source").orderBy("size").rangeBetween(-NEARBY, NEARBY)
+    usual = (F.sum("n").over(near) - F.col("n")) / (2 * NEARBY)
+    return sizes.withColumn("usual", usual).filter((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.greatest("usual", F.lit(0.2)))).select("source", "size")
+
+
+def _open_end(text: Column) -> Column:
+    """Texts that don't end in a terminator, or in marks of omission."""
+    return (F.length(F.trim(text)) > 0) & (~text.rlike(r"[.!?][\"'”’»)\]]*\s*$") | text.rlike(r"\.\.\.\s*$"))
+
+
+def cut_abstracts(works: DataFrame, keys: list[str], column: str = "abstract", source: str = "publisher") -> DataFrame:
     """keys of the abstracts that were cut. Texts that end in a terminator are settled on the JVM's side."""
     model = works.sparkSession.sparkContext.broadcast(train_endings(works, column))
 
     @F.pandas_udf(T.BooleanType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([abstract_is_cut(t, model.value) for t in texts], dtype=bool)
-
-    open_end = ~F.col(column).rlike(r"[.!?][\"'”’»)\]]*\s*$") | F.col(column).rlike(r"\.\.\.\s*$")
-    return works.filter(open_end & run(F.col(column))).select(*keys).distinct()
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, limits in batches:
+            yield pd.Series([abstract_is_cut(t, model.value, bool(at)) for t, at in zip(texts, limits)], dtype=bool)
+
+    limits = field_limits(works, keys, column, source)
+    texts = works.filter(_open_end(F.col(column))).select(*keys, F.col(column).alias("text"), F.col(source).alias("source"), F.length(column).alias("size")).distinct()
+    joined = texts.join(limits.withColumn("at_limit", F.lit(True)), (texts["source"].eqNullSafe(limits["source"])) & (texts["size"] == limits["size"]), "left")
+    return joined.filter(run(F.col("text"), F.coalesce("at_limit", F.lit(False)))).select(*keys).distinct()
 
 
 def cut_spans(decisions: DataFrame, works: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
