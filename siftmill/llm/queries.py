@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chunking, confusables, mojibake, neardup, pairs, truncation
+from siftmill.llm import chunking, confusables, consensus, mojibake, neardup, pairs, truncation
 from siftmill.session import table
 
 SECTION_LIMIT, BODY_LIMIT, OVERLAP = 2_000, 24_000, 150
@@ -70,6 +70,29 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return found.filter(sound).select("field", "rec_key").distinct()
 
 
+_P5 = (["review", "work_id"], "rater_id", "human_decision", "created_at")
+
+
+def p5_consensus(spark: SparkSession, base: str) -> DataFrame:
+    """Consensus per record of overrides, with its probability and the raters' agreement with it."""
+    return consensus.consensus(table(spark, base, "overrides"), *_P5)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Records of overrides whose consensus is include."""
+    return p5_consensus(spark, base).filter("consensus = 'include'").select("review", "work_id")
+
+
+def p5_reliability(spark: SparkSession, base: str) -> DataFrame:
+    """Reliability of every rater, and of every run's decisions against the raters' consensus."""
+    return consensus.reliability(table(spark, base, "overrides"), table(spark, base, "screening_decision"), *_P5)
+
+
+def p5_agreement(spark: SparkSession, base: str) -> DataFrame:
+    """Chance-corrected agreement of all raters over all records."""
+    return consensus.agreement(table(spark, base, "overrides"), *_P5)
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Responses that do not answer their requests, with the kind of defect."""
     return pairs.defects(table(spark, base, "cached_response"), "cache_key", "request_text", "raw_response")
@@ -117,4 +140,4 @@ def p7_rates(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent, p6_found, p7_found, p7_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p5_agreement, p6_found, p7_found, p7_rates)}
