@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chunking, confusables, consensus, mojibake, neardup, pairs, truncation
-from siftmill.session import table
+from siftmill.llm import chunking, confusables, consensus, mixing, mojibake, neardup, packing, pairs, tokens, truncation
+from siftmill.session import stage, table
 
 SECTION_LIMIT, BODY_LIMIT, OVERLAP = 2_000, 24_000, 150
 
@@ -140,4 +140,32 @@ def p7_rates(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p5_agreement, p6_found, p7_found, p7_rates)}
+def p8_packing(spark: SparkSession, base: str) -> DataFrame:
+    """All documents in the containers of every spec: a row per document or piece."""
+    items = stage(tokens.sized(table(spark, base, "documents"), "doc_id", "text", [], "fetched_at"))
+    return packing.pack(items, table(spark, base, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, base: str) -> DataFrame:
+    """How well the containers of every spec are filled."""
+    return packing.fill(p8_packing(spark, base), table(spark, base, "pack_specs"))
+
+
+def _p9(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    documents, targets = table(spark, base, "documents"), table(spark, base, "mix_targets")
+    sized = stage(tokens.sized(documents, "doc_id", "text", ["source"], "fetched_at"))
+    return mixing.mix(documents, sized, targets), sized, targets
+
+
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of every mix and how often each is repeated."""
+    chosen, _, _ = _p9(spark, base)
+    return chosen.select("mix_id", "doc_id", F.col("domain").alias("source"), "tokens", "repeats")
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The shares that the sources of every mix really reach."""
+    return mixing.shares(*_p9(spark, base))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p5_agreement, p6_found, p7_found, p7_rates, p8_packing, p8_fill, p9_mix, p9_shares)}
