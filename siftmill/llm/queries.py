@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chunking, confusables, consensus, mixing, mojibake, neardup, packing, pairs, tokens, truncation
+from siftmill.llm import chunking, confusables, consensus, mixing, mojibake, neardup, packing, pairs, residue, tokens, truncation
 from siftmill.session import stage, table
 
 SECTION_LIMIT, BODY_LIMIT, OVERLAP = 2_000, 24_000, 150
@@ -168,4 +168,19 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.shares(*_p9(spark, base))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p5_agreement, p6_found, p7_found, p7_rates, p8_packing, p8_fill, p9_mix, p9_shares)}
+def p10_residue(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with template residue, filler or notices, with the kinds found."""
+    return residue.residue(table(spark, base, "documents"), "doc_id", "text", ["source", "kind"])
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with template residue, filler or notices, alone or among sound text."""
+    return p10_residue(spark, base).select("doc_id")
+
+
+def p10_clean(spark: SparkSession, base: str) -> DataFrame:
+    """The documents that are left: id, source, language and size."""
+    return table(spark, base, "documents").join(p10_found(spark, base), "doc_id", "left_anti").select("doc_id", "source", "lang", "n_chars")
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p2_found, p3_found, p3_restored, p4_found, p4_consistent, p5_found, p5_consensus, p5_reliability, p5_agreement, p6_found, p7_found, p7_rates, p8_packing, p8_fill, p9_mix, p9_shares, p10_found, p10_residue, p10_clean)}
