@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from siftmill.plans import retrieval, screening
+from siftmill.plans.sql import SQL  # noqa: F401
+
+QUERIES = screening.QUERIES | retrieval.QUERIES
 FLAGSHIP = "bm25_ranking_metrics"
