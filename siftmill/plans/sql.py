@@ -227,24 +227,24 @@ SQL = {
         SELECT review, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY p)) AS sha256 FROM p GROUP BY 1""",
     "paper_identifiers": rf"""WITH {PAPERS} SELECT pmcid, nullif(regexp_extract(pmcid, '(PMC\d+)', 1), '') AS found, nullif(trim(regexp_replace(lower(trim(doi)), '^(?:https?://(?:dx\.)?doi\.org/|doi:)\s*', '')), '') AS doi,
         regexp_replace(left(trim(regexp_replace(regexp_replace(coalesce(title, ''), '[<>:"/\\|?*\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g')), 40), '[. ]+$', '') AS folder FROM f""",
-    "gap_candidates": f"""WITH {SECTIONS}, e AS (SELECT pmcid, section_no, unnest({SENTENCES.format(text='text')}) AS sentence, generate_subscripts({SENTENCES.format(text='text')}, 1) AS at FROM s),
+    "gap_candidates": f"""WITH {SECTIONS}, e AS (SELECT pmcid, section_no, unnest({SENTENCES.format(text='text')}) AS sentence, generate_subscripts({SENTENCES.format(text='text')}, 1) AS pos FROM s),
         k AS (SELECT *, {normalised('sentence')} AS n FROM e WHERE length(sentence) >= 25 AND regexp_matches(sentence, '{GAP_CUE}')),
-        o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY pmcid, section_no, n ORDER BY at) = 1)
-        SELECT pmcid, section_no, row_number() OVER (PARTITION BY pmcid, section_no ORDER BY at) AS candidate_no, sentence FROM o QUALIFY candidate_no <= 12""",
+        o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY pmcid, section_no, n ORDER BY pos) = 1)
+        SELECT pmcid, section_no, row_number() OVER (PARTITION BY pmcid, section_no ORDER BY pos) AS candidate_no, sentence FROM o QUALIFY candidate_no <= 12""",
     "figure_mentions": rf"""WITH {PAPERS}, e AS (SELECT pmcid, string_split(regexp_replace(body, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM f),
-        k AS (SELECT pmcid, trim(unnest(ss)) AS sentence, generate_subscripts(ss, 1) AS at FROM e),
-        g AS (SELECT pmcid, sentence, at, unnest(list_distinct(list_filter(regexp_extract_all(sentence, '(?i)\bfig(?:ure|ures|s|\.)?\s*\.?\s*(\d+(?:\.\d)?)', 1), lambda x: NOT contains(x, '.')))) AS figure FROM k)
-        SELECT pmcid, CAST(figure AS INTEGER) AS figure, row_number() OVER (PARTITION BY pmcid, figure ORDER BY at) AS mention_no, sentence FROM g QUALIFY mention_no <= 3""",
+        k AS (SELECT pmcid, trim(unnest(ss)) AS sentence, generate_subscripts(ss, 1) AS pos FROM e),
+        g AS (SELECT pmcid, sentence, pos, unnest(list_distinct(list_filter(regexp_extract_all(sentence, '(?i)\bfig(?:ure|ures|s|\.)?\s*\.?\s*(\d+(?:\.\d)?)', 1), lambda x: NOT contains(x, '.')))) AS figure FROM k)
+        SELECT pmcid, CAST(figure AS INTEGER) AS figure, row_number() OVER (PARTITION BY pmcid, figure ORDER BY pos) AS mention_no, sentence FROM g QUALIFY mention_no <= 3""",
     "query_expansion": None,
 }
 SQL["content_coverage"] = f"""WITH {PAPERS}, e AS ({SQL['evidence_counts']}),
     k AS (SELECT unnest(['data_tables', 'heat_maps', 'graphs_charts', 'statistical_results', 'methods', 'equations_models', 'supplementary_files', 'limitations']) AS kind),
     g AS (SELECT f.pmcid, is_fragment, k.kind, coalesce(e.n, 0) AS n FROM f CROSS JOIN k LEFT JOIN e ON e.pmcid = f.pmcid AND e.kind = k.kind)
     SELECT pmcid, kind, n, CASE WHEN kind = 'supplementary_files' THEN 'source_unavailable' WHEN n > 0 THEN 'extracted' WHEN is_fragment THEN 'source_unavailable' ELSE 'not_found' END AS status FROM g"""
-SQL["span_sections"] = f"""WITH {SECTIONS}, {PAPERS}, e AS (SELECT pmcid, unnest({SENTENCES.format(text='body')}) AS sentence, generate_subscripts({SENTENCES.format(text='body')}, 1) AS at FROM f),
+SQL["span_sections"] = f"""WITH {SECTIONS}, {PAPERS}, e AS (SELECT pmcid, unnest({SENTENCES.format(text='body')}) AS sentence, generate_subscripts({SENTENCES.format(text='body')}, 1) AS pos FROM f),
     k AS (SELECT *, {normalised('sentence')} AS n FROM e WHERE length(sentence) >= 25 AND regexp_matches(sentence, '{GAP_CUE}')),
-    o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY pmcid, n ORDER BY at) = 1),
-    c AS (SELECT pmcid, n, row_number() OVER (PARTITION BY pmcid ORDER BY at) AS candidate_no FROM o QUALIFY candidate_no <= 12),
+    o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY pmcid, n ORDER BY pos) = 1),
+    c AS (SELECT pmcid, n, row_number() OVER (PARTITION BY pmcid ORDER BY pos) AS candidate_no FROM o QUALIFY candidate_no <= 12),
     q AS (SELECT pmcid, section_no, {normalised('text')} AS t FROM s)
     SELECT pmcid, candidate_no, min(CASE WHEN contains(t, n) THEN section_no END) AS section_no FROM c JOIN q USING (pmcid) GROUP BY 1, 2"""
 SQL = {k: v for k, v in SQL.items() if v}
