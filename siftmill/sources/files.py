@@ -40,7 +40,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV for another tool: nulls as empty cells."""
-    df.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def require_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -111,7 +111,7 @@ def run_index(spark: SparkSession, directory: str) -> DataFrame:
     found = [n for n in names if os.path.exists(os.path.join(directory, n, "metrics.json"))]
     if found:
         paths = [f"file://{os.path.join(directory, n, 'metrics.json')}" for n in found]
-        text = spark.read.option("wholetext", True).text(paths).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"), F.col("value").alias("metrics"))
+        text = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"), F.col("value").alias("metrics"))
         listed = listed.join(text, "run", "left")
     else:
         listed = listed.withColumn("metrics", F.lit(None).cast("string"))

@@ -20,9 +20,12 @@ def without_repeats(stream: DataFrame, keys: list[str], at: str, late: str) -> D
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_failures(stream: DataFrame, at: str = "created_at", late: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Failures by note in windows of event time; a window is final once the watermark has passed it."""
-    failed = stream.withWatermark(at, late).filter(~F.col("span_verified"))
+def windowed_failures(stream: DataFrame, at: str = "created_at", late: str | None = "1 hour", width: str = "1 hour") -> DataFrame:
+    """Failures by note in windows of event time; a window is final once the watermark has passed it.
+
+    late is None where the stream has its watermark already.
+    """
+    failed = (stream.withWatermark(at, late) if late else stream).filter(~F.col("span_verified"))
     return failed.groupBy(F.window(at, width).alias("w"), F.coalesce("verify_note", F.lit("")).alias("note")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "note", "n")
 
 
