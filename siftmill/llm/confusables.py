@@ -119,7 +119,7 @@ def unify(text: str | None) -> tuple[str | None, bool]:
             if not any(_own(c) in proper for c in token) and re.search("[a-z]{2}", now):
                 spelled[token] = "".join(LOOKS_LIKE[c] for c in token)
         if spelled:
-            now = _TOKEN.sub(lambda m: spelled.get(m.group(), m.group()), now)
+            now = _ACCENT.sub(_compose, _TOKEN.sub(lambda m: spelled.get(m.group(), m.group()), now))
     return now, now != text
 
 

@@ -35,6 +35,8 @@ MARGIN = 5.5
 SEQUENCE = 4.5
 #: Against each character that a chain leaves as it was inside a run of which it decodes others.
 LEFT = 2.5
+#: Least mean log-likelihood of a character that one single-byte page restores.
+PLAIN = -4.5
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _CONTROL = re.compile(r"[\x80-\x9f]")
 #: Signs of one single-byte page read as another: capitals or signs between small letters, long runs of accented letters,
@@ -243,7 +245,10 @@ def _changes(model: Model, before: str, run: str, after: str) -> list[tuple[floa
             if step is None or step[0] == run and not step[2]:
                 found.append((0.0, None, 0))
             else:
-                gain = model.score(before + step[0] + after) - as_is
+                new = model.score(before + step[0] + after)
+                gain = new - as_is
+                if chain[1] != "utf-8" and new < PLAIN * len(step[0] + after):
+                    gain = min(gain, 0.0)  # less unlikely isn't likely
                 found.append((gain + SEQUENCE * (step[1] + step[2] / 2) - LEFT * step[3], step[0], step[2]))
         if len(model.runs) > 50_000:
             model.runs.clear()

@@ -86,6 +86,8 @@ def pack(items: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "t
     )
     # every item once per spec: the specs travel as one constant array
     rows = [r.asDict() for r in specs.select("spec_id", "capacity_tokens", "separator_tokens").distinct().collect()]
+    if not rows:
+        return items.sparkSession.createDataFrame([], SCHEMA)
     each = F.array(*(F.struct(*(F.lit(r[c]).cast("int").alias(c) for c in ("spec_id", "capacity_tokens", "separator_tokens"))) for r in rows))
     wide = dealt.withColumn("s", F.explode(each)).select("doc_id", "tokens", "grp", "s.*")
     return wide.groupBy("spec_id", "grp").applyInPandas(pack_group, SCHEMA)
