@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.session import stage
+from siftmill.session import broadcast_if_small, stage
 
 SKETCH_BITS = 20
 #: 64-bit words of a set's bitmap.
@@ -157,19 +157,15 @@ def similar_classes(classes: DataFrame, t: Fraction) -> DataFrame:
     up = lambda x, top, bottom: F.ceil(x * top / bottom - 1e-9)
     p, q = t.numerator, t.denominator
     # Groups: one size, one prefix. A member differs from the group's first in at most ``far`` elements.
-    groups = heads.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.count("*").alias("members"))
-    of = heads.select("cid", "n", "ph").join(groups, ["n", "ph"])
-    members = stage(of.select("gid", "cid", "members"))
-    several = members.filter("members > 1")
+    groups = heads.groupBy("n", "ph").agg(F.min("cid").alias("gid"), F.count("*").alias("members")).filter("members > 1")
+    several = stage(heads.select("cid", "n", "ph").join(groups, ["n", "ph"]).select("gid", "cid"))
     arrays = classes.select("cid", "sh")
-    radius = (
-        several.join(arrays, "cid")
-        .join(arrays.select(F.col("cid").alias("gid"), F.col("sh").alias("first")), "gid")
-        .groupBy("gid")
-        .agg(F.max(F.size(F.array_except("sh", "first"))).alias("far"))
+    held = arrays.join(broadcast_if_small(several), "cid")
+    radius = stage(
+        held.join(held.filter("gid = cid").select("gid", F.col("sh").alias("first")), "gid").groupBy("gid").agg(F.max(F.size(F.array_except("sh", "first"))).alias("far"))
     )
-    lead = heads.join(members.filter("gid = cid").select(F.col("gid").alias("cid")), "cid").join(
-        radius.withColumnRenamed("gid", "cid"), "cid", "left"
+    lead = heads.join(broadcast_if_small(several.filter("gid <> cid").select("cid")), "cid", "left_anti").join(
+        broadcast_if_small(radius.withColumnRenamed("gid", "cid")), "cid", "left"
     )
     postings = (
         lead.select(
@@ -197,14 +193,17 @@ def similar_classes(classes: DataFrame, t: Fraction) -> DataFrame:
         .select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb"))
         .distinct()
     )
-    one = lambda side: members.select(F.col("gid").alias(f"g{side}"), F.col("cid").alias(f"c{side}"))
-    across = pairs.join(one("a"), "ga").join(one("b"), "gb").select("ca", "cb")
+    # groups of several become all their members; a single one is its own
+    one = lambda side: broadcast_if_small(several.select(F.col("gid").alias(f"g{side}"), F.col("cid").alias(f"c{side}")))
+    across = pairs.join(one("a"), "ga", "left").join(one("b"), "gb", "left").select(F.coalesce("ca", "ga").alias("ca"), F.coalesce("cb", "gb").alias("cb"))
     inner = several.select("gid", F.col("cid").alias("ca"), F.pmod(F.xxhash64("cid"), F.lit(16)).alias("part"))
     # within a group: one side divided into 16 parts, the other sent to each, so that a hot group is many tasks
     other = several.select("gid", F.col("cid").alias("cb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("part"))
     within = inner.join(other, ["gid", "part"]).filter("ca < cb").select("ca", "cb")
-    candidates = across.unionByName(within).select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-    side = lambda s: arrays.select(F.col("cid").alias(f"c{s}"), F.col("sh").alias(f"s{s}"))
+    candidates = stage(across.unionByName(within).select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")))
+    wanted = candidates.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct()
+    sets = arrays.join(broadcast_if_small(wanted), "cid", "left_semi")
+    side = lambda s: sets.select(F.col("cid").alias(f"c{s}"), F.col("sh").alias(f"s{s}"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (
         candidates.join(side("a"), "ca")
@@ -217,9 +216,11 @@ def similar_classes(classes: DataFrame, t: Fraction) -> DataFrame:
 def near_duplicates(df: DataFrame, ids: str, text: Column, similarity: str = "0.8", words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members(doc, cid), links(ca, cb, common, na, nb)): the class of every text, and every link between different classes."""
     sets = stage(shingle_sets(df, ids, text, words))
-    classes = stage(
-        sets.groupBy("a", "b").agg(F.first("sh").alias("sh")).select(F.xxhash64("a", "b").alias("cid"), "sh")
-    )
+    # one row per different set: only sets that occur again are shuffled
+    again = broadcast_if_small(stage(sets.groupBy("a", "b").count().filter("count > 1").select("a", "b")))
+    once = sets.join(again, ["a", "b"], "left_anti").select("a", "b", "sh")
+    merged = sets.join(again, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("sh").alias("sh"))
+    classes = stage(once.unionByName(merged).select(F.xxhash64("a", "b").alias("cid"), "sh"))
     members = sets.select("doc", F.xxhash64("a", "b").alias("cid")).distinct()
     return members, similar_classes(classes, Fraction(similarity))
 
