@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +34,26 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    make_importable(spark)
     return spark
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Let the Python workers find this package where it is, and send it to them on a cluster that may not have it there."""
+    root = str(Path(__file__).resolve().parents[1])
+    context = spark.sparkContext
+    paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths:
+        return
+    context.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    if not context.master.startswith("local"):
+        with tempfile.TemporaryDirectory() as folder:  # of the driver; Spark's file server takes a copy
+            context.addPyFile(shutil.make_archive(os.path.join(folder, "siftmill"), "zip", root, "siftmill"))
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One of the Parquet tables below base."""
+    make_importable(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
