@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftmill.llm.confusables import latin_spelling
+
 #: Each table is kept twice under independent hashes and the smaller count holds (count-min).
 TRIGRAM_BITS, BIGRAM_BITS = 20, 17
 #: Log-likelihood (nats) by which a chain must win; validated on clean values (tests/llm/test_mojibake.py).
@@ -37,6 +39,8 @@ SEQUENCE = 4.5
 LEFT = 2.5
 #: Least mean log-likelihood of a character that one single-byte page restores.
 PLAIN = -4.5
+_MIXED = re.compile("[a-zA-Z][\u0370-\u052f]|[\u0370-\u052f][a-zA-Z]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _CONTROL = re.compile(r"[\x80-\x9f]")
 #: Signs of one single-byte page read as another: capitals or signs between small letters, long runs of accented letters,
@@ -286,7 +290,9 @@ def examine(text: str | None, model: Model, margin: float = MARGIN, depth: int =
     """Unwind the wrong decodings of a value."""
     if not text or text.isascii():
         return Finding(False, True, text or "", [], 0.0)
-    now, chains, gains, broken, allowed = text, [], 0.0, 0, tuple(range(len(CHAINS)))
+    # letters of another alphabet put for Latin ones are another fault
+    plain = _LETTERS.sub(lambda m: latin_spelling(m.group()) or m.group(), text) if _MIXED.search(text) else text
+    now, chains, gains, broken, allowed = plain, [], 0.0, 0, tuple(range(len(CHAINS)))
     for _ in range(depth):
         gain, chain, result, left = _best(now, model, allowed)
         if chain is None or gain < margin:

@@ -27,6 +27,7 @@ from siftmill.llm.language import language, votes
 from siftmill.llm.truncation import answer_is_cut, unwrap
 
 _WORD = re.compile(r"[^\W_]+")
+_OFFER = re.compile(r"(?i)\binclude\b\W*(?:or|and|/|\||,)?\W*\bexclude\b")
 _SECTION = re.compile(r"(?m)^(CRITERIA|TITLE|ABSTRACT):[ \t]*\n?")
 #: Decisions, and words for the lack of one, in the languages answers come in.
 DECISIONS = frozenset("include exclude included excluded".split())
@@ -226,7 +227,7 @@ def defect(request: str | None, response: str | None) -> str | None:
         return "empty"
     texts = [unify(t)[0] for t in texts]
     record = unify(f"{title}\n{abstract}")[0]
-    if isinstance(decision, str) and not decided and decision.strip().lower() not in NOTHING and decision.strip().lower() in rules.lower() and "|" in decision + "|" * (" or " in decision):
+    if isinstance(decision, str) and not decided and len(decision) < 60 and _OFFER.search(decision):  # the choice itself, handed back
         return "copies_request"
     folded = None
     loose = []
@@ -252,8 +253,8 @@ def defect(request: str | None, response: str | None) -> str | None:
     foreign += [v for k, v in fields.items() if isinstance(v, str) and v.strip().lower() in FOREIGN_DECISIONS]
     for text in [*loose, " ".join([*foreign, *loose])] if loose or len(foreign) > 1 else ():
         other = language(text)
-        if other not in (None, "en", known) and votes(text).get("en", 0.0) < 2.0:
-            return "other_language"
+        if other not in (None, "en", known) and votes(text).get("en", 0.0) < 2.0 and containment(tokens(text), tokens(record)) < 0.25:
+            return "other_language"  # unless it is the record's own text with a word changed
     if kind == "prose" and answer_is_cut(response):
         return "truncated"
     return None

@@ -42,8 +42,24 @@ SLOTS = [
     ("at signs", re.compile(r"@@[A-Za-z_]{2,40}@@|##[A-Z_]{2,40}##|(?<![\w#])#[A-Z][A-Z_]{3,30}#")),
     ("bare slots", re.compile(r"\{[a-z]+(?:_[a-z]+)*\}[^{}\n]{0,60}\{[a-z]+(?:_[a-z]+)*\}|\{[a-z]+_[a-z_]+\}")),
 ]
+#: Names that slots usually have.
+FIELDS = frozenset(
+    "author authors name title subtitle year date month day journal publisher country city region address email phone criteria outcome outcomes summary section sections evidence abstract keywords "
+    "body text content topic subject company organisation organization institution affiliation firstname lastname username user recipient sender department department number amount value values label "
+    "reference references citation doi url link reviewer review method methods result results study studies sample population intervention version volume issue pages".split()
+)
+#: A name between marks of any kind that touch it: $name$, #{name}, {name}, «name», ~name~, :name: and the like.
+MARKED = re.compile(
+    r"(?<![\w\\])([^\w\s.,;!?'\"“”‘’()\-–—/\\|*=+`&]{1,3})([A-Za-z]{4,}(?:[_.][A-Za-z0-9]+){0,4}|[a-z]{1,12}(?:_[a-z0-9]{2,}){1,4})([^\w\s.,;!?'\"“”‘’()\-–—/\\|*=+`&]{1,3})(?!\w)"
+)
+_NUMBERED = re.compile(r"\{\d\}[^{}\n]{0,80}\{\d\}|(?<![\w%])%\d\$[sd]\b|(?<![\w%])%s\b[^%\n]{0,60}(?<![\w%])%[sd]\b")
+_MIRROR = {"{": "}", "[": "]", "<": ">", "«": "»", "‹": "›", "⟦": "⟧", "⟨": "⟩", "⌈": "⌉"}
+#: References that were never resolved, and notes to an author in capitals.
+UNRESOLVED = re.compile(r"\b(?:[Ss]ections?|[Tt]ables?|[Ff]ig(?:ures?|s?\.)?|[Ee]q(?:uations?|s?\.)?|[Rr]ef(?:erences?|s?\.)?|[Aa]ppendix|[Cc]hapters?)[\s~]?[(\[]?\?{2,}|[(\[]\?{2,}[)\]]|\\(?:ref|cite|label)\{[^{}]*\}")
+CAPITALS = re.compile(r"\[[A-Z][A-Z_]+(?:[ _][A-Z0-9_]+)+[.:!?]?\]")
 #: Values that a program never filled in.
 UNFILLED = re.compile(
+    r"\b(None|null|NULL|NaN|nan|undefined|nil|N/A)\b[\s(,:;/]{1,3}\1(?![\w])|#(?:REF|VALUE|NAME|DIV/0|NULL|NUM)[!?]|"
     r"\[object Object\]|\b(?:NaN|null|undefined)\b[^.!?\n]{0,24}\b(?:and|to|of|,|between|was moved)\s+(?:NaN|null|undefined)\b"
     r"|\b(?:[Dd]ear|paper|record|study of|titled|named|enrolled|between|from|by author)\s+(?:NaN|null|undefined)\b"
     r"|\bNaN\s+(?:participants|patients|records|studies|papers|subjects|items|articles|%|of)\b|\bundefined undefined\b"
@@ -94,6 +110,8 @@ NOTICE = [
     (2.5, re.compile(r"(?i)\b(?:timed out|time-?out|(?:page|file|article|resource|document) (?:was )?not found|internal server error|bad gateway|gateway timeout|service unavailable|too many requests|access denied|forbidden|session has expired|has expired|unusual traffic|down for maintenance|technical fault|technical difficult\w+|stays? blank|introuvable|nicht gefunden|no encontrad[ao]|não encontrad[ao]|fatal error|stack trace|on line \d+)\b")),
     (2.0, re.compile(r"(?i)\b(?:error|erreur|fehler|status|http|code)\s*:?\s*[45]\d\d\b|\b[45]\d\d\s*[:|–-]|^\W*[45]\d\d\W")),
     (2.5, re.compile(r"(?i)^\W*(?:request id|content-type|http/\d|x-[a-z-]+:|server:|ray id|incident id|reference #|error code)\b|\.(?:php|jsp|aspx|cgi)\b")),
+    (2.0, re.compile(r"(?i)\bif (?:nothing happens|this persists|the problem persists|you (?:see|read|are seeing|believe|think))\b|\bblocking is off\b|\bad blocker\b|\b(?:switched|turned) (?:on|off)\b")),
+    (4.0, re.compile(r"^\s*File \"[^\"]+\", line \d+|Traceback \(most recent call last\)|^\s*at [\w.$]+\([\w.]+:\d+\)|^\W*[A-Za-z.]*(?:Error|Exception): |\bSQLSTATE\b|\bstack trace:|^\s*Warning: \w+\(\)|^\s*Notice: Undefined ")),
     (1.0, re.compile(r"(?i)\b(?:request(?:ed)?|server|database|gateway|link|session|account|connection|captcha|robot)\b")),
 ]
 #: Wording of reports about such things.
@@ -112,10 +130,10 @@ _SLOT_CUES = (
     "{{", "{%", "${", "%(", "<%", "<?", "<<", "&lt;", "[[", "__", "@@", "##", "[insert", "[enter", "[add", "[your", "[type", "[placeholder", "[todo", "[tbd", "[tk", " here]",
     "<your", "<insert", "<enter", "<add", "<type", "(your ", "(insert", "{your", "{insert", "to be added", "to be c", "to be d", "to be i", "to be s", "to be f", "«",
 )
-_FILLER_CUES = ("placeholder", " text for ", "text goes", "sample text", "dummy text", "example text", " here.", " here\n", " here]", "goes here", "click", "double-click", "replace this", "will be replaced", "coming soon", "text will follow", "todo", "fixme", "tbd", "tk:", "xxx", "asdf", "blah")
+_FILLER_CUES = ("placeholder", " text for ", "text goes", "sample text", "dummy text", "example text", " here.", " here ", " here]", "goes here", "click", "double-click", "replace this", "will be replaced", "coming soon", "text will follow", "todo", "fixme", "tbd", "tk:", "xxx", "asdf", "blah")
 _LATIN_CUES = ("ipsum", "lorem", "dolor", "amet", "vestra", "urna", "velit", "nulla", "augue", "vitae", "sapien", "consectetur")
 _NOTICE_CUES = (
-    "javascript", " js ", " scripts", "scripting", "side script", "cookie", "browser", "navegador", "navigateur", "active content", " server", "gateway", "sign in", "log in", "reload", "refresh",
+    "javascript", " js ", " js.", " js,", " scripts", " script ", "scripting", "could not load", "cannot load", "not be loaded", "unable to load", "unable to open", "we could not", "nothing happens", "switched on", "turned off", "traceback", "exception", " line ", "sqlstate", "to view this", "to open the", "to read this", "try later", "side script", "cookie", "browser", "navegador", "navigateur", "active content", " server", "gateway", "sign in", "log in", "reload", "refresh",
     "timed out", "timeout", "time-out", "not found", "introuvable", "nicht gefunden", "encontrad", "down for maintenance", "under maintenance", "traffic", "blocked", "blocking", "expired", "withdrawn", "from loading", "displayed",
     "be resolved", "retrieve", "try again", "content-type", "request", "is gone", "denied", "forbidden", "is unavailable", "are unavailable", "sorry", "notice:", "oops", "authori", "subscription",
     "blocker", "start page", "home page", "help page", "the page", "this page", "error 4", "error 5", "error:", "erreur", "fehler 4", "fehler 5", "fehler:", "http/", "this address", "the link", "was not fetched", "stay blank", "stays blank", "your session", "captcha", "robot",
@@ -135,7 +153,31 @@ def placeholder(text: str, low: str) -> str | None:
                 if name == "bare slots" and ('"' in m.group() or re.search(r"(?i)\b(?:slots?|variable|field|engine|syntax)\b", text[max(0, m.start() - 40) : m.end() + 40])):
                     continue
                 return name
-    if "NaN" in text or "null" in text or "undefined" in text or "[object" in text:
+    seen: dict[tuple[str, str], set[str]] = {}
+    marks = any(c in text for c in "{$«#@~^§¤‹⟦⟨[") or re.search("%[A-Za-z]|<[A-Za-z]|:[A-Za-z]{4,}:", text)
+    for m in MARKED.finditer(text) if marks else ():
+        before, name, after = m.groups()
+        if _MIRROR.get(before[-1], before[-1]) != after[0]:
+            continue
+        around = text[max(0, m.start() - 40) : m.end() + 40]
+        if re.search(r"(?i)\b(?:slots?|variable|engine|syntax|command|tag)\b", around):
+            continue
+        plain = name.lower().split("_")[0].rstrip("s")
+        if before != "[" and before[-1] not in ":<" and (name.lower() in FIELDS or plain in FIELDS or "_" in name):
+            return "marked name"
+        names = seen.setdefault((before, after), set())
+        names.add(name)
+        if len(names) > 1 and before not in (":", "<"):
+            return "marked names"
+    if "%" in text or "{" in text:
+        if _NUMBERED.search(text):
+            return "numbered slots"
+    if "??" in text or "\\ref" in text or "\\cite" in text or "\\label" in text:
+        if UNRESOLVED.search(text):
+            return "unresolved reference"
+    if "[" in text and CAPITALS.search(text):
+        return "note in capitals"
+    if any(c in low for c in ("none", "null", "nan", "undefined", "[object", "nil", "n/a", "#ref", "#value", "#name", "#div")):
         if UNFILLED.search(text):
             return "unfilled value"
     if "XX" in text or "YY" in text or ".X" in text:
@@ -168,7 +210,7 @@ def examine(text: str | None, address: str = "") -> tuple[list[str], list[tuple[
     """(kinds of residue found, segments left open as (fingerprint, strange to the rest of the text and the address))."""
     if not text:
         return [], []
-    found, left, low = [], [], text.lower()
+    found, left, low = [], [], f" {text.lower()} ".replace("\n", " ")
     kind = placeholder(text, low)
     if kind:
         found.append(kind)

@@ -110,7 +110,7 @@ LEAST = 0.15
 NOTICES = 8
 #: A word that the corpus has nowhere else is a broken one rather than a new one.
 UNSEEN = 0.4
-_BITS = {"u": UNIGRAM_BITS, "s": UNIGRAM_BITS, "b": BIGRAM_BITS, "q": BIGRAM_BITS, "t": BIGRAM_BITS}
+_BITS = {"u": UNIGRAM_BITS, "s": UNIGRAM_BITS, "b": BIGRAM_BITS, "q": BIGRAM_BITS, "k": BIGRAM_BITS, "t": BIGRAM_BITS}
 
 
 def without_omission(text: str) -> tuple[str, bool]:
@@ -143,7 +143,7 @@ class Endings:
         share = 0.1
         if re.search(r"(?:^|\s)[b-df-xz]$", text):
             return 0.0  # no word of these languages
-        for kind, weight in (("s", 4.0), ("q", 3.0), ("u", 2.0), ("b", 1.0), ("t", 1.0)):
+        for kind, weight in (("s", 4.0), ("q", 3.0), ("u", 2.0), ("k", 1.5), ("b", 1.0), ("t", 1.0)):
             at = int(_places(words, kind)[-1])
             inner, done = float(self.tables[kind + "i"][at]), float(self.tables[kind + "f"][at])
             if kind == "u" and not inner + done and share < 0.8:
@@ -172,7 +172,8 @@ def codes_of(text: str) -> np.ndarray:
 
 
 def _places(words: np.ndarray, kind: str) -> np.ndarray:
-    """Bucket of each word from the third on: by itself (u), the word before (s), both (b), the two before (q), all (t)."""
+    """Bucket of each word from the third on: by itself (u), the word before (s), both (b), the two before (q), it and the one before
+    the word before (k), all three (t)."""
     w = words.view(np.uint64)
     a, b, c = w[:-2], w[1:-1], w[2:]
     with np.errstate(over="ignore"):
@@ -182,6 +183,7 @@ def _places(words: np.ndarray, kind: str) -> np.ndarray:
             "u": lambda: c,
             "s": lambda: b + np.uint64(7),
             "b": lambda: c * k + turn(b),
+            "k": lambda: turn(c + np.uint64(11)) * k + turn(a),
             "q": lambda: (b + np.uint64(7)) * k + turn(a),
             "t": lambda: turn(c * k + turn(b)) * k + turn(a),
         }[kind]()

@@ -51,3 +51,16 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("r", F.lit(1)).withColumn("h", F.lit(2))
     assert {r["doc_id"] for r in R.residue(df, "doc_id", "text", ["source"]).collect()} == {1, None}
     assert R.residue(df.limit(0), "doc_id", "text", ["source"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Dear $journal$, your record was moved.", "This review of «country» included «summary» studies.", "studies from #{section_2}.", "We found {outcome} records", "None (None). Name None, None: None.", "Fig. ?? shows the outcome; see Section ?? and [CITATION NEEDED FROM AUTHOR].", 'File "render.py", line 12, in show', "We could not load this article.", "This reader relies on JS. Activate it to open the document.", "If nothing happens, check that script blocking is off.", "scripts must be switched on to read this record", "~name~ and ~country~ of the study"],
+)
+def test_other_residue(text):
+    assert R.examine(text)[0] and R.examine(f"{SOUND} {text}")[0]
+
+
+@pytest.mark.parametrize("text", ["Let the set {x_3, x_4} denote the classes.", "Sessions that expired before the last item were treated as incomplete.", "None of the 12 records was lost.", "Is it so?? Nobody knows.", "The $p$ value and the @mentions of [Figure 2] were counted.", "A <b>bold</b> claim."])
+def test_other_sound(text):
+    assert R.examine(text)[0] == []
