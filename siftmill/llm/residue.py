@@ -111,7 +111,7 @@ NOTICE = [
     (2.0, re.compile(r"(?i)\b(?:error|erreur|fehler|status|http|code)\s*:?\s*[45]\d\d\b|\b[45]\d\d\s*[:|–-]|^\W*[45]\d\d\W")),
     (2.5, re.compile(r"(?i)^\W*(?:request id|content-type|http/\d|x-[a-z-]+:|server:|ray id|incident id|reference #|error code)\b|\.(?:php|jsp|aspx|cgi)\b")),
     (2.0, re.compile(r"(?i)\bif (?:nothing happens|this persists|the problem persists|you (?:see|read|are seeing|believe|think))\b|\bblocking is off\b|\bad blocker\b|\b(?:switched|turned) (?:on|off)\b")),
-    (4.0, re.compile(r"^\s*File \"[^\"]+\", line \d+|Traceback \(most recent call last\)|^\s*at [\w.$]+\([\w.]+:\d+\)|^\W*[A-Za-z.]*(?:Error|Exception): |\bSQLSTATE\b|\bstack trace:|^\s*Warning: \w+\(\)|^\s*Notice: Undefined ")),
+    (6.0, re.compile(r"^\s*File \"[^\"]+\", line \d+|Traceback \(most recent call last\)|^\s*at [\w.$]+\([\w.]+:\d+\)|^\W*[A-Za-z.]*(?:Error|Exception): |\bSQLSTATE\b|\bstack trace:|^\s*Warning: \w+\(\)|^\s*Notice: Undefined ")),
     (1.0, re.compile(r"(?i)\b(?:request(?:ed)?|server|database|gateway|link|session|account|connection|captcha|robot)\b")),
 ]
 #: Wording of reports about such things.
