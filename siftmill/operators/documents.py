@@ -196,7 +196,7 @@ def gap_candidates(df: DataFrame, key: list[str], text: str, most: int = CANDIDA
     parts = df.select(*key, F.posexplode(sentences(F.col(text))).alias("at", "sentence")).filter((F.length("sentence") >= 25) & F.col("sentence").rlike(GAP_CUE))
     first = parts.groupBy(*key, normalise(F.col("sentence")).alias("n")).agg(F.min(F.struct("at", "sentence")).alias("f"))
     ordered = first.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list("f")), 1, most).alias("fs"))
-    return ordered.select(*key, F.posexplode("fs").alias("k", "f")).select(*key, (F.col("k") + 1).alias("candidate_no"), "f.sentence")
+    return ordered.select(*key, F.posexplode("fs").alias("k", "f")).select(*key, (F.col("k") + 1).cast("bigint").alias("candidate_no"), "f.sentence")
 
 
 def figure_mentions(df: DataFrame, key: list[str], text: str, number: Column | None = None, most: int = 3) -> DataFrame:
@@ -208,7 +208,7 @@ def figure_mentions(df: DataFrame, key: list[str], text: str, number: Column | N
     if number is not None:
         rows = rows.filter(F.col("figure") == number)
     ordered = rows.groupBy(*key, "figure").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "sentence"))), 1, most).alias("m"))
-    return ordered.select(*key, F.col("figure").cast("int").alias("figure"), F.posexplode("m").alias("k", "m1")).select(*key, "figure", (F.col("k") + 1).alias("mention_no"), "m1.sentence")
+    return ordered.select(*key, F.col("figure").cast("int").alias("figure"), F.posexplode("m").alias("k", "m1")).select(*key, "figure", (F.col("k") + 1).cast("bigint").alias("mention_no"), "m1.sentence")
 
 
 def prompt_source(sections: DataFrame, first: str = "(?i)result|finding|limitation|discussion", most: int = PROMPT_CHARS) -> DataFrame:
@@ -217,7 +217,7 @@ def prompt_source(sections: DataFrame, first: str = "(?i)result|finding|limitati
     part = F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), "text")
     joined = sections.filter(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy("pmcid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(front.alias("f"), "section_no", part.alias("p")))), lambda s: s["p"]), "\n\n").alias("t"))
     text = F.trim("t")
-    return joined.select("pmcid", F.substring(text, 1, most).alias("text"), (F.length(text) > most).alias("truncated"), F.length(text).alias("chars_available"))
+    return joined.select("pmcid", F.substring(text, 1, most).alias("text"), (F.length(text) > most).alias("truncated"), F.length(text).cast("bigint").alias("chars_available"))
 
 
 def section_of(spans: DataFrame, sections: DataFrame, by: str = "pmcid") -> DataFrame:

@@ -86,7 +86,7 @@ def failure_matrix(decisions: DataFrame) -> DataFrame:
     """review x note: number of failures, share of the review's, and the note's place by its total."""
     counts = decisions.filter(~F.col("span_verified")).groupBy("review", F.coalesce("verify_note", F.lit("")).alias("note")).agg(F.count("*").alias("n"))
     total = counts.groupBy("note").agg(F.sum("n").alias("total"))
-    placed = total.withColumn("column_no", F.row_number().over(W.orderBy(F.col("total").desc(), "note")))  # a row per note
+    placed = total.withColumn("column_no", F.row_number().over(W.orderBy(F.col("total").desc(), "note")).cast("bigint"))  # a row per note
     return counts.join(F.broadcast(placed), "note").select("review", "note", "n", ratio(F.col("n"), F.sum("n").over(W.partitionBy("review"))).alias("share"), "column_no")
 
 

@@ -17,6 +17,11 @@ K1, B = 1.2, 0.75
 RRF_K, RERANKED = 60, 200
 
 
+def row_no(window) -> Column:
+    """Position in a window from 1, as a long."""
+    return F.row_number().over(window).cast("bigint")
+
+
 def limited(ranked: DataFrame, limit: int | None) -> DataFrame:
     """The first limit ranks of every review."""
     return ranked.filter(F.col("rank") <= limit) if limit else ranked
@@ -47,7 +52,7 @@ def bm25(works: DataFrame, questions: DataFrame, stemmed: bool = False, limit: i
     scores = tf.join(df, ["review", "term"]).join(wanted, ["review", "term"]).groupBy("review", "work_id").agg(F.round(F.sum(part), 9).alias("score"))
     ranked = docs.select("review", "work_id").join(questions.select("review"), "review", "left_semi").join(scores, ["review", "work_id"], "left")
     order = W.partitionBy("review").orderBy(F.col("score").desc_nulls_last(), "work_id")
-    return limited(ranked.withColumn("rank", F.row_number().over(order)), limit)
+    return limited(ranked.withColumn("rank", row_no(order)), limit)
 
 
 def per_review() -> W:
@@ -58,7 +63,7 @@ def random_rank(works: DataFrame, seed: int = 42, limit: int | None = None) -> D
     """review, work_id, rank in an order that depends on the seed and the ids only."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("work_id")))
     order = W.partitionBy("review").orderBy(key, "work_id")
-    return limited(works.select("review", "work_id", F.row_number().over(order).alias("rank")), limit)
+    return limited(works.select("review", "work_id", row_no(order).alias("rank")), limit)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -71,7 +76,7 @@ def dense_rank(vectors: DataFrame, query: DataFrame, key: str = "vec_id", vector
     """review, key, score, rank by cosine with the review's query vector; query: (review, query_vector), a row per review."""
     scored = vectors.join(F.broadcast(query), "review").select("review", key, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("score"))
     order = W.partitionBy("review").orderBy(F.col("score").desc(), key)
-    return limited(scored.withColumn("rank", F.row_number().over(order)), limit)
+    return limited(scored.withColumn("rank", row_no(order)), limit)
 
 
 def fuse(rankings: list[DataFrame], key: str = "work_id", k: int = RRF_K, limit: int | None = None) -> DataFrame:
@@ -81,7 +86,7 @@ def fuse(rankings: list[DataFrame], key: str = "work_id", k: int = RRF_K, limit:
         union = union.unionByName(other.select("review", key, "rank"))
     scores = union.groupBy("review", key).agg(F.round(F.sum(1 / (k + F.col("rank"))), 12).alias("score"))
     order = W.partitionBy("review").orderBy(F.col("score").desc(), key)
-    return limited(scores.withColumn("rank", F.row_number().over(order)), limit)
+    return limited(scores.withColumn("rank", row_no(order)), limit)
 
 
 def rerank(ranked: DataFrame, scores: DataFrame, key: str = "work_id", top: int = RERANKED, limit: int | None = None) -> DataFrame:
@@ -89,7 +94,7 @@ def rerank(ranked: DataFrame, scores: DataFrame, key: str = "work_id", top: int
     joined = ranked.select("review", key, "rank").join(scores.select("review", key, F.col("score").alias("external")), ["review", key], "left")
     head = F.col("rank") <= top
     order = W.partitionBy("review").orderBy((~head).cast("int"), F.when(head, -F.coalesce("external", F.lit(0.0))), "rank")
-    return limited(joined.withColumn("new_rank", F.row_number().over(order)).select("review", key, F.col("rank").alias("old_rank"), F.col("new_rank").alias("rank")), limit)
+    return limited(joined.withColumn("new_rank", row_no(order)).select("review", key, F.col("rank").alias("old_rank"), F.col("new_rank").alias("rank")), limit)
 
 
 def rank(strategy: str, works: DataFrame, *, seed: int = 42, questions: DataFrame | None = None, others: list[DataFrame] | None = None, scores: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -109,21 +114,21 @@ def rank(strategy: str, works: DataFrame, *, seed: int = 42, questions: DataFram
 
 def rank_rows(rows: DataFrame, by: list[str], order: list, key: str = "work_id") -> DataFrame:
     """by, key and rank in an order that ends in the key."""
-    return rows.select(*by, key, F.row_number().over(W.partitionBy(*by).orderBy(*order)).alias("rank"))
+    return rows.select(*by, key, row_no(W.partitionBy(*by).orderBy(*order)).alias("rank"))
 
 
 def append_rest(ranked: DataFrame, works: DataFrame, key: str = "work_id") -> DataFrame:
     """A partial ranking followed by the review's other records in the order of their ids."""
     joined = works.select("review", key).join(ranked.select("review", key, F.col("rank").alias("was")), ["review", key], "left")
     order = W.partitionBy("review").orderBy(F.col("was").asc_nulls_last(), key)
-    return joined.select("review", key, F.row_number().over(order).alias("rank"), F.col("was").isNotNull().alias("queried"))
+    return joined.select("review", key, row_no(order).alias("rank"), F.col("was").isNotNull().alias("queried"))
 
 
 def _found(ranked: DataFrame, truth: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Ranks with labels and the number of included records found so far."""
     labelled = ranked.select(*by, key, "rank").join(truth.select("review", key, "label_included"), ["review", key])
     order = W.partitionBy(*by).orderBy("rank")
-    return labelled.select(*by, key, F.row_number().over(order).alias("rank"), "label_included").withColumn(
+    return labelled.select(*by, key, row_no(order).alias("rank"), "label_included").withColumn(
         "found", F.sum("label_included").over(order.rowsBetween(W.unboundedPreceding, 0))
     )
 
@@ -179,7 +184,7 @@ def decision_order(decisions: DataFrame, by: list[str]) -> DataFrame:
     group = F.when(~F.col("span_verified"), 1).when(F.col("decision") == "include", 0).otherwise(2)
     inner = F.when(group == 0, -sure).when(group == 1, 0.0).otherwise(sure)
     order = W.partitionBy(*by).orderBy(group, inner, "work_id")
-    return decisions.select(*by, "work_id", F.row_number().over(order).alias("rank"))
+    return decisions.select(*by, "work_id", row_no(order).alias("rank"))
 
 
 def accept_terms(question: Column, terms: Column, most: int = 8) -> Column:

@@ -240,7 +240,7 @@ def criteria_status(spark, d):
 def clean_works(spark, d):
     """Records with cleaned texts, years and DOIs."""
     rows = ingest.clean(b.works(spark, d).select("review", "work_id", "doi", "title", "abstract", "year"), ["title", "abstract"])
-    return rows.select("review", "work_id", ingest.normalise_doi(F.col("doi")).alias("doi"), F.length("title").alias("title_chars"), F.length("abstract").alias("abstract_chars"), "year")
+    return rows.select("review", "work_id", ingest.normalise_doi(F.col("doi")).alias("doi"), F.length("title").cast("bigint").alias("title_chars"), F.length("abstract").cast("bigint").alias("abstract_chars"), "year")
 
 
 def web_duplicates(spark, d):
