@@ -247,4 +247,60 @@ SQL["span_sections"] = f"""WITH {SECTIONS}, {PAPERS}, e AS (SELECT pmcid, unnest
     c AS (SELECT pmcid, n, row_number() OVER (PARTITION BY pmcid ORDER BY pos) AS candidate_no FROM o QUALIFY candidate_no <= 12),
     q AS (SELECT pmcid, section_no, {normalised('text')} AS t FROM s)
     SELECT pmcid, candidate_no, min(CASE WHEN contains(t, n) THEN section_no END) AS section_no FROM c JOIN q USING (pmcid) GROUP BY 1, 2"""
+#: Remembered answers parsed and shape-checked: decision, confidence, evidence_span and shape_note.
+PARSED = r"""j0 AS (SELECT *, trim(regexp_replace(trim(raw_response), '^```[a-z]*\s*|\s*```$', '', 'g')) AS js FROM c),
+    j1 AS (SELECT *, json_valid(js) AND left(js, 1) = '{' AS ok FROM j0),
+    j2 AS (SELECT cache_key, review, work_id, model, raw_response, js, CASE WHEN ok THEN json_extract_string(js, '$.decision') END AS decision,
+        CASE WHEN ok THEN try_cast(json_extract_string(js, '$.confidence') AS DOUBLE) END AS confidence, CASE WHEN ok THEN json_extract_string(js, '$.evidence_span') END AS evidence_span FROM j1),
+    j AS (SELECT *, CASE WHEN raw_response IS NULL OR js = '' THEN 'empty_response'
+        WHEN NOT coalesce(decision IN ('include', 'exclude') AND confidence BETWEEN 0 AND 1 AND evidence_span IS NOT NULL, false) THEN 'schema_validation_failed' END AS shape_note FROM j2)"""
+_CHECK = VERIFY.replace("SELECT d.*,", "SELECT j.*,").replace("FROM d JOIN w USING", "FROM j JOIN w USING")
+SQL["screen_responses"] = f"""WITH {WORKS}, {CACHE}, {PARSED}, {_CHECK}
+    SELECT cache_key, CASE WHEN shape_note IS NOT NULL THEN 'error' WHEN note LIKE 'exact%' THEN decision ELSE 'unverified' END AS decision,
+        CASE WHEN shape_note IS NULL THEN confidence END AS confidence, shape_note IS NULL AND note LIKE 'exact%' AS span_verified, coalesce(shape_note, note) AS verify_note FROM r"""
+PROPOSED = f"""{PARSED}, pr AS (SELECT d.run_id, d.review, d.work_id, d.decision, d.confidence, d.span_verified,
+        coalesce(CASE WHEN j.shape_note IS NULL THEN j.decision END, CASE WHEN d.decision IN ('include', 'exclude') THEN d.decision END) AS proposed FROM d LEFT JOIN j USING (cache_key))"""
+SQL["recover_proposals"] = f"WITH {DECISIONS}, {CACHE}, {PROPOSED} SELECT run_id, review, work_id, proposed, proposed IS NOT NULL AS recovered FROM pr"
+_POLICY = """SELECT run_id, review, work_id, label_included, span_verified, proposed, '{name}' AS policy, {predicts} AS predicts, {human} AS human, {group} AS g,
+    CASE {group} WHEN 0 THEN -coalesce(confidence, 0.0) WHEN 2 THEN coalesce(confidence, 0.0) ELSE 0.0 END AS o FROM kn"""
+_GROUP = "CASE WHEN NOT span_verified THEN 1 WHEN decision = 'include' THEN 0 ELSE 2 END"
+_RAW = "CASE WHEN proposed IS NULL THEN 1 WHEN proposed = 'include' THEN 0 ELSE 2 END"
+POLICIES = " UNION ALL ".join(
+    _POLICY.format(name=name, predicts=predicts, human=human, group=group)
+    for name, predicts, human, group in (
+        ("with_verifier", "CASE WHEN span_verified AND decision IN ('include', 'exclude') THEN decision = 'include' END", HUMAN, _GROUP),
+        ("no_verifier", "proposed = 'include'", "coalesce(proposed <> 'exclude', true)", _RAW),
+        ("referrals_to_human", HUMAN, HUMAN, _GROUP),
+    )
+)
+_TRUSTED = "policy = 'no_verifier' AND proposed IS NOT NULL AND NOT span_verified"
+SQL["verifier_ablation"] = f"""WITH {DECISIONS}, {CACHE}, {TRUTH}, {PROPOSED}, kn AS (SELECT pr.*, label_included FROM pr JOIN t USING (review, work_id)), po AS ({POLICIES}),
+    sc AS (SELECT run_id, review, policy, count(predicts) AS n_predictions, count(CASE WHEN human THEN 1 END) AS n_to_human, count(CASE WHEN predicts AND label_included = 1 THEN 1 END) AS true_positives,
+        count(CASE WHEN predicts AND label_included = 0 THEN 1 END) AS false_positives, count(CASE WHEN NOT predicts AND label_included = 1 THEN 1 END) AS false_negatives,
+        count(CASE WHEN NOT predicts AND label_included = 0 THEN 1 END) AS true_negatives, count(CASE WHEN {_TRUSTED} THEN 1 END) AS n_unverifiable_trusted,
+        count(CASE WHEN {_TRUSTED} AND predicts <> (label_included = 1) THEN 1 END) AS n_unverifiable_wrong FROM po GROUP BY 1, 2, 3),
+    p AS (SELECT review, count(*) AS n_records, CAST(sum(label_included) AS BIGINT) AS n_included_truth FROM t GROUP BY 1),
+    i AS (SELECT run_id, review, policy, label_included, row_number() OVER (PARTITION BY run_id, review, policy ORDER BY g, o, work_id) AS rank FROM po),
+    rk AS (SELECT run_id, review, policy, tnr FROM (WITH {ranking('i', 'run_id, review, policy').strip()}))
+    SELECT run_id, review, policy, n_records, n_included_truth, n_predictions, n_to_human, true_positives, false_positives, false_negatives, true_negatives, n_unverifiable_trusted, n_unverifiable_wrong,
+        {ratio('true_positives', 'true_positives + false_negatives')} AS recall, {ratio('true_positives', 'true_positives + false_positives')} AS precision,
+        {ratio('n_records - n_to_human', 'n_records')} AS work_saved, tnr, policy <> 'with_verifier' AS comparable FROM sc JOIN p USING (review) LEFT JOIN rk USING (run_id, review, policy)"""
+SQL["prompt_stage_ablation"] = f"""WITH e AS ({SQL['run_ranking_metrics']}), g AS (SELECT review, prompt_version AS stage, round(avg(tnr), 6) AS tnr FROM e JOIN screening_run USING (run_id) GROUP BY 1, 2),
+    b AS (SELECT review, tnr AS base FROM g WHERE stage = 'screen_v1') SELECT review, stage, tnr, round(tnr - base, 4) AS delta FROM g LEFT JOIN b USING (review)"""
+_FIELDS = " UNION ALL ".join(f"SELECT model, cache_key, '{f}' AS field, {v} AS value, evidence_span, src FROM k" for f, v in (("decision", "decision"), ("confidence", "CAST(confidence AS VARCHAR)")))
+SQL["field_coverage"] = f"""WITH {WORKS}, {CACHE}, {PARSED}, k AS (SELECT j.*, concat_ws(' ', title, abstract) AS src FROM j JOIN w USING (review, work_id)), fa AS ({_FIELDS}),
+    {VERIFY.split('n AS (')[0].replace('SELECT d.*, concat_ws', 'SELECT *, concat_ws').split('FROM (')[0]}FROM fa), n AS ({VERIFY.split('n AS (', 1)[1]},
+    z AS (SELECT *, CASE WHEN value IS NULL OR lower(trim(value)) IN ('not_stated', '') THEN 'not_stated' ELSE note END AS verdict FROM r),
+    q AS (SELECT model, field, count(*) AS n, count(CASE WHEN verdict LIKE 'exact%' THEN 1 END) AS n_verified, count(CASE WHEN verdict LIKE 'not_stated%' THEN 1 END) AS n_not_stated FROM z GROUP BY 1, 2),
+    gr AS (SELECT DISTINCT model, unnest(['decision', 'confidence', 'key_finding']) AS field FROM z)
+    SELECT gr.model, gr.field, coalesce(n, 0) AS n, coalesce(n_verified, 0) AS n_verified, coalesce(n_not_stated, 0) AS n_not_stated, coalesce(n - n_verified - n_not_stated, 0) AS n_unverified,
+        {ratio('n_verified', 'n')} AS share FROM gr LEFT JOIN q ON gr.model = q.model AND gr.field = q.field"""
+_ARM = "SELECT review || chr(31) || '{arm}' AS review, {q} AS question FROM review_criteria"
+_BOTH = _ARM.format(arm="question", q="string_split(criteria, chr(10))[1]") + " UNION ALL " + _ARM.format(arm="expanded", q="criteria")
+SQL["expansion_arms"] = f"""WITH w0 AS (SELECT * FROM works QUALIFY row_number() OVER (PARTITION BY review, work_id ORDER BY loaded_at DESC) = 1), ar AS ({_BOTH}),
+    w AS (SELECT ar.review, work_id, title, abstract FROM w0 JOIN ar ON w0.review = string_split(ar.review, chr(31))[1]), {TRUTH.replace('t AS (', 't0 AS (', 1)},
+    t AS (SELECT ar.review, work_id, label_included FROM t0 JOIN ar ON t0.review = string_split(ar.review, chr(31))[1]), {bm25('SELECT * FROM ar')},
+    i AS (SELECT review, rank, label_included FROM bm JOIN t USING (review, work_id)), mm AS (WITH {ranking('i', 'review').strip()})
+    SELECT string_split(review, chr(31))[1] AS review, max(CASE WHEN review LIKE '%question' THEN tnr END) AS tnr_question, max(CASE WHEN review LIKE '%expanded' THEN tnr END) AS tnr_expanded,
+        round(max(CASE WHEN review LIKE '%expanded' THEN tnr END) - max(CASE WHEN review LIKE '%question' THEN tnr END), 6) AS delta FROM mm GROUP BY 1"""
 SQL = {k: v for k, v in SQL.items() if v}
