@@ -61,9 +61,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], at: str | None = Non
 
 
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The last row of each key by at; ties go to the larger row."""
-    columns = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(at, *columns)).alias("r")).select(*keys, "r.*").select(*df.columns)
+    """The last row of each key by at. A window, so that columns a query doesn't use are neither read nor shuffled; rows
+    before the last are dropped on the map side."""
+    return first_wins(df, keys, [F.col(at).desc_nulls_last()])
 
 
 def fingerprint(df: DataFrame, by: list[str], order: Column, parts: list[Column], rows_per_part: int = 4096) -> DataFrame:
