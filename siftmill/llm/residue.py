@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -138,6 +139,34 @@ _NOTICE_CUES = (
     "be resolved", "retrieve", "try again", "content-type", "request", "is gone", "denied", "forbidden", "is unavailable", "are unavailable", "sorry", "notice:", "oops", "authori", "subscription",
     "blocker", "start page", "home page", "help page", "the page", "this page", "error 4", "error 5", "error:", "erreur", "fehler 4", "fehler 5", "fehler:", "http/", "this address", "the link", "was not fetched", "stay blank", "stays blank", "your session", "captcha", "robot",
 )
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    """All cues with the bits of their families (slots 1, filler 2, Latin 4, notices 8) in one automaton."""
+    import ahocorasick
+
+    bits: dict[str, int] = {}
+    for bit, cues in ((1, _SLOT_CUES), (2, _FILLER_CUES), (4, _LATIN_CUES), (8, _NOTICE_CUES)):
+        for c in cues:
+            bits[c] = bits.get(c, 0) | bit
+    found = ahocorasick.Automaton()
+    for c, bit in bits.items():
+        found.add_word(c, (bit, c))
+    found.make_automaton()
+    return found
+
+
+def cues(low: str) -> tuple[int, int]:
+    """(bits of the families that a text has cues of, number of its different Latin cues), in one pass."""
+    seen, latin = 0, set()
+    for _, (bit, cue) in _automaton().iter(low):
+        seen |= bit
+        if bit & 4:
+            latin.add(cue)
+    return seen, len(latin)
+
+
 _STARTS = re.compile(r"\W*(?:[45]\d\d\b|go |return to the|activate|enable|allow|turn |wait )")
 
 
@@ -145,9 +174,9 @@ def segments(text: str) -> list[str]:
     return [s for s in _SEGMENT.split(text) if s and s.strip()]
 
 
-def placeholder(text: str, low: str) -> str | None:
-    """The kind of unfilled slot that a whole text (low: in lower case) holds, if any."""
-    if any(c in low for c in _SLOT_CUES) or "{" in text or re.search("%[A-Z]{2}", text) or re.search("#[A-Z]{4}", text):
+def placeholder(text: str, low: str, cued: bool = True) -> str | None:
+    """The kind of unfilled slot that a whole text (low: in lower case) holds, if any; cued: it has a cue of one."""
+    if cued or "{" in text or re.search("%[A-Z]{2}", text) or re.search("#[A-Z]{4}", text):
         for name, pattern in SLOTS:
             for m in pattern.finditer(text):
                 if name == "bare slots" and ('"' in m.group() or re.search(r"(?i)\b(?:slots?|variable|field|engine|syntax)\b", text[max(0, m.start() - 40) : m.end() + 40])):
@@ -169,7 +198,7 @@ def placeholder(text: str, low: str) -> str | None:
         names.add(name)
         if len(names) > 1 and before not in (":", "<"):
             return "marked names"
-    if "%" in text or "{" in text:
+    if "{" in text or "%s" in text or "%d" in text or "$s" in text or "$d" in text:
         if _NUMBERED.search(text):
             return "numbered slots"
     if "??" in text or "\\ref" in text or "\\cite" in text or "\\label" in text:
@@ -211,11 +240,12 @@ def examine(text: str | None, address: str = "") -> tuple[list[str], list[tuple[
     if not text:
         return [], []
     found, left, low = [], [], f" {text.lower()} ".replace("\n", " ")
-    kind = placeholder(text, low)
+    seen, latin = cues(low)
+    kind = placeholder(text, low, bool(seen & 1))
     if kind:
         found.append(kind)
-    fill = any(c in low for c in _FILLER_CUES) or sum(c in low for c in _LATIN_CUES) > 1
-    warn = any(c in low for c in _NOTICE_CUES) and not (text.lstrip()[:1] == "{" and '":' in text)
+    fill = bool(seen & 2) or latin > 1
+    warn = bool(seen & 8) and not (text.lstrip()[:1] == "{" and '":' in text)
     if not fill and not warn:
         return found, left
     parts = segments(text)
