@@ -127,9 +127,10 @@ class Endings:
     with the word and without a terminator.
     """
 
+    NAMES = [*(kind + what for kind in _BITS for what in "if"), "bl"]
+
     def __init__(self) -> None:
-        self.tables = {f"{kind}{what}": np.zeros(1 << bits, np.float32) for kind, bits in _BITS.items() for what in ("i", "f")}
-        self.tables["bl"] = np.zeros(1 << _BITS["b"], np.float32)
+        self.tables = {name: np.zeros(1 << _BITS[name[0]], np.float32) for name in self.NAMES}
 
     def ends(self, text: str) -> float:
         """Probability that a sentence ends where text stops, not counting this text itself."""
@@ -237,13 +238,14 @@ def train_endings(df: DataFrame, column: str) -> Endings:
         .agg(F.sum("n").alias("n"))
         .groupBy("t", "at")
         .agg(F.sum(F.when(F.col("t").endswith("l"), F.lit(1)).otherwise(F.col("n"))).alias("n"))
-        .toArrow()
+        .select(F.array_position(F.array(*(F.lit(x) for x in Endings.NAMES)), F.col("t")).cast("tinyint").alias("t"), F.col("at").cast("int").alias("at"), F.col("n").cast("float").alias("n"))
+        .toArrow()  # nine bytes a bucket
     )
     model = Endings()
     t, at, n = rows.column("t").to_numpy(), rows.column("at").to_numpy(), rows.column("n").to_numpy()
-    for name, values in model.tables.items():
-        own = t == name
-        values[at[own]] = n[own]
+    for k, name in enumerate(Endings.NAMES, 1):
+        own = t == k
+        model.tables[name][at[own]] = n[own]
     return model
 
 
