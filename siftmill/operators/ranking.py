@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftmill.functions.porter import stems
 from siftmill.functions.text import query_terms, words
+from siftmill.session import stage
 
 K1, B = 1.2, 0.75
 #: Rank constant of reciprocal rank fusion; rows that a re-ranker scores.
@@ -31,34 +32,31 @@ def bm25(works: DataFrame, questions: DataFrame, stemmed: bool = False, limit: i
     """review, work_id, score, rank: all records of the reviews with a question, the best first, unmatched last by id.
 
     questions: (review, question). A record's words are those of title and abstract together; a term in more than half of
-    the records has a weight of 1e-6. Only the postings of question terms are made, so the shuffle holds matches only.
+    the records has a weight of 1e-6. Texts are read once; only postings of question terms and a row per record are shuffled
+    and written, from which the statistics are taken.
     """
-    per = per_review()
     text = words(F.concat_ws(" ", "title", "abstract"))
     terms = questions.select("review", query_terms(F.col("question")).alias("terms"))
-    docs = works.select("review", "work_id", text.alias("words"))
+    docs = works.join(questions.select("review").distinct(), "review", "left_semi").select("review", "work_id", text.alias("words"))
     if stemmed:
         terms = terms.select("review", stems(F.col("terms")).alias("terms"))
         docs = docs.select("review", "work_id", stems(F.col("words")).alias("words"))
-    sized = docs.join(terms, "review").select("review", "work_id", F.size("words").alias("size"), F.filter("words", lambda w: F.array_contains(F.col("terms"), w)).alias("hits"), "terms")
-    n, mean = F.count("*").over(per), F.avg("size").over(per)
-    sized = sized.withColumn("n", n).withColumn("mean", mean)
-    # terms with one stem count once each
-    wanted = terms.select("review", F.explode("terms").alias("term")).groupBy("review", "term").agg(F.count("*").alias("times"))
-    tf = sized.select("review", "work_id", "size", "n", "mean", F.explode("hits").alias("term")).groupBy("review", "work_id", "size", "n", "mean", "term").agg(F.count("*").alias("tf"))
+    # terms with one stem count once each; a mark that no word is stands for the record itself
+    mark = terms.select("review", F.lit("").alias("term"), F.lit(0).cast("bigint").alias("times"))
+    wanted = terms.select("review", F.explode("terms").alias("term")).groupBy("review", "term").agg(F.count("*").alias("times")).unionByName(mark.distinct())
+    found = docs.select("review", "work_id", F.size("words").alias("size"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term")).join(wanted, ["review", "term"])
+    hits = stage(found.groupBy("review", "work_id", "size", "term", "times").agg(F.count("*").alias("tf")))
+    records, tf = hits.filter("term = ''"), hits.filter("term <> ''")
+    totals = records.groupBy("review").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     df = tf.groupBy("review", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scores = tf.join(df, ["review", "term"]).join(wanted, ["review", "term"]).groupBy("review", "work_id").agg(F.round(F.sum(part), 9).alias("score"))
-    ranked = docs.select("review", "work_id").join(questions.select("review"), "review", "left_semi").join(scores, ["review", "work_id"], "left")
+    scores = tf.join(df, ["review", "term"]).join(totals, "review").groupBy("review", "work_id").agg(F.round(F.sum(part), 9).alias("score"))
+    ranked = records.select("review", "work_id").join(scores, ["review", "work_id"], "left")
     order = W.partitionBy("review").orderBy(F.col("score").desc_nulls_last(), "work_id")
     return limited(ranked.withColumn("rank", row_no(order)), limit)
 
 
-def per_review() -> W:
-    return W.partitionBy("review")
-
-
 def random_rank(works: DataFrame, seed: int = 42, limit: int | None = None) -> DataFrame:
     """review, work_id, rank in an order that depends on the seed and the ids only."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("work_id")))
