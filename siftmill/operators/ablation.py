@@ -55,7 +55,7 @@ def verifier_ablation(proposals: DataFrame, truth: DataFrame) -> DataFrame:
         count_if(trusted).alias("n_unverifiable_trusted"),
         count_if(trusted & (F.col("predicts") != yes)).alias("n_unverifiable_wrong"),
     )
-    ranked = rank_rows(rows, by, ["g", "o", "work_id"])
+    ranked = rank_rows(rows, by, [F.col("g"), F.col("o")])
     tnr = ranking_metrics(ranked, truth, by=by).select(*by, "tnr")
     c = F.col
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import blank_to_null, normalise_doi, whole_year
+from siftmill.operators.ranking import positions
 from siftmill.session import stage
 
 #: Other names that frames use for a column.
@@ -69,7 +70,7 @@ def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
 def fingerprint(df: DataFrame, by: list[str], order: Column, parts: list[Column], rows_per_part: int = 4096) -> DataFrame:
     """SHA-256 per group over its rows in order, as hashes of hashes of ranges so that no group is one value."""
     row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(p, F.lit("None")) for p in parts)), 256)
-    ranked = df.select(*by, order.alias("_o"), row.alias("_h")).withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("_o", "_h")))
+    ranked = positions(df.select(*by, order.alias("_o"), row.alias("_h")), by, [F.col("_o").asc(), F.col("_h").asc()], "_k")
     pieces = ranked.groupBy(*by, F.floor((F.col("_k") - 1) / rows_per_part).alias("_p")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda s: s["_h"]), "\n"), 256).alias("_h"), F.count("*").alias("_n"))
     return pieces.groupBy(*by).agg(F.sum("_n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda s: s["_h"]), "\n"), 256).alias("sha256"))
 
@@ -103,10 +104,9 @@ def web_duplicates(df: DataFrame, by: list[str], position: str, rounds: int = 50
     rows = df.withColumn("_keys", keys)
     state = stage(rows.select(*by, position, F.explode_outer("_keys").alias("key")).withColumn("kept", F.lit(None).cast("boolean")))
     for _ in range(rounds):
-        earlier = W.partitionBy(*by, "key").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
-        seen = F.when(F.col("key").isNull(), F.lit(False)).otherwise(F.coalesce(F.bool_or(F.coalesce("kept", F.lit(False))).over(earlier), F.lit(False)))
-        open_before = F.when(F.col("key").isNull(), F.lit(False)).otherwise(F.coalesce(F.bool_or(F.col("kept").isNull()).over(earlier), F.lit(False)))
-        marked = state.withColumn("seen", seen).withColumn("waits", open_before)
+        # per key the first kept and the first open row: a key of any number of rows is a pair of numbers
+        first = state.filter("key is not null and (kept or kept is null)").groupBy(*by, "key").agg(F.min(F.when(F.col("kept"), F.col(position))).alias("kept_at"), F.min(F.when(F.col("kept").isNull(), F.col(position))).alias("open_at"))
+        marked = state.join(first, [*by, "key"], "left").select(*by, position, F.coalesce(F.col("kept_at") < F.col(position), F.lit(False)).alias("seen"), F.coalesce(F.col("open_at") < F.col(position), F.lit(False)).alias("waits"))
         each = marked.groupBy(*by, position).agg(F.bool_or("seen").alias("seen"), F.bool_or("waits").alias("waits"))
         now = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("d.seen"), False).when(~F.col("d.waits"), True)
         state = stage(state.alias("s").join(each.alias("d"), [*by, position]).select(*by, position, "key", now.alias("kept")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftmill.operators.ranking import decision_order, ranking_metrics
+from siftmill.operators.ranking import decision_order, positions, ranking_metrics
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -109,10 +109,11 @@ def latest_runs(decisions: DataFrame, runs: DataFrame) -> DataFrame:
 def latency_summary(decisions: DataFrame) -> DataFrame:
     """Per run, of live calls: mean and the latencies at index min(n - 1, int(p n)) of the sorted values."""
     live = decisions.filter(~F.col("from_cache") & (F.col("latency_ms") > 0))
-    order = W.partitionBy("run_id").orderBy("latency_ms", "review", "work_id")
-    ranked = live.select("run_id", "latency_ms", F.row_number().over(order).alias("k"), F.count("*").over(W.partitionBy("run_id")).alias("n"))
+    named = live.select("run_id", "latency_ms", F.concat_ws("|", "review", "work_id").alias("id"))
+    sizes = live.groupBy("run_id").agg(F.count("*").alias("n"))
+    ranked = positions(named, ["run_id"], [F.col("latency_ms").asc(), F.col("id").asc()], "k").join(sizes, "run_id")
     at = lambda p: F.max(F.when(F.col("k") == F.least(F.col("n") - 1, F.floor(F.col("n") * p)) + 1, F.col("latency_ms"))).cast("double")
-    return ranked.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    return ranked.groupBy("run_id").agg(F.max("n").alias("n"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
 
 
 def cache_savings(decisions: DataFrame) -> DataFrame:

@@ -23,6 +23,16 @@ def row_no(window) -> Column:
     return F.row_number().over(window).cast("bigint")
 
 
+def positions(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with each row's position in its group, however large the group: ranges of the order are numbered apart, then put
+    behind each other. The order must be total."""
+    ranged = stage(df.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    before = counts.select(*by, "_p", (F.sum("_n").over(W.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_b"))
+    inside = ranged.withColumn(name, row_no(W.partitionBy(*by, "_p").orderBy(*order)))
+    return inside.join(before, [*by, "_p"]).withColumn(name, F.col(name) + F.col("_b")).drop("_p", "_b")
+
+
 def limited(ranked: DataFrame, limit: int | None) -> DataFrame:
     """The first limit ranks of every review."""
     return ranked.filter(F.col("rank") <= limit) if limit else ranked
@@ -53,15 +63,14 @@ def bm25(works: DataFrame, questions: DataFrame, stemmed: bool = False, limit: i
     part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     scores = tf.join(df, ["review", "term"]).join(totals, "review").groupBy("review", "work_id").agg(F.round(F.sum(part), 9).alias("score"))
     ranked = records.select("review", "work_id").join(scores, ["review", "work_id"], "left")
-    order = W.partitionBy("review").orderBy(F.col("score").desc_nulls_last(), "work_id")
-    return limited(ranked.withColumn("rank", row_no(order)), limit)
+    return limited(positions(ranked, ["review"], [F.col("score").desc_nulls_last(), F.col("work_id").asc()]), limit)
 
 
 def random_rank(works: DataFrame, seed: int = 42, limit: int | None = None) -> DataFrame:
     """review, work_id, rank in an order that depends on the seed and the ids only."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("work_id")))
-    order = W.partitionBy("review").orderBy(key, "work_id")
-    return limited(works.select("review", "work_id", row_no(order).alias("rank")), limit)
+    keyed = works.select("review", "work_id", key.alias("key"))
+    return limited(positions(keyed, ["review"], [F.col("key").asc(), F.col("work_id").asc()]).drop("key"), limit)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -73,8 +82,7 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_rank(vectors: DataFrame, query: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: int | None = None) -> DataFrame:
     """review, key, score, rank by cosine with the review's query vector; query: (review, query_vector), a row per review."""
     scored = vectors.join(F.broadcast(query), "review").select("review", key, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("score"))
-    order = W.partitionBy("review").orderBy(F.col("score").desc(), key)
-    return limited(scored.withColumn("rank", row_no(order)), limit)
+    return limited(positions(scored, ["review"], [F.col("score").desc(), F.col(key).asc()]), limit)
 
 
 def fuse(rankings: list[DataFrame], key: str = "work_id", k: int = RRF_K, limit: int | None = None) -> DataFrame:
@@ -83,16 +91,18 @@ def fuse(rankings: list[DataFrame], key: str = "work_id", k: int = RRF_K, limit:
     for other in rankings[1:]:
         union = union.unionByName(other.select("review", key, "rank"))
     scores = union.groupBy("review", key).agg(F.round(F.sum(1 / (k + F.col("rank"))), 12).alias("score"))
-    order = W.partitionBy("review").orderBy(F.col("score").desc(), key)
-    return limited(scores.withColumn("rank", row_no(order)), limit)
+    return limited(positions(scores, ["review"], [F.col("score").desc(), F.col(key).asc()]), limit)
 
 
 def rerank(ranked: DataFrame, scores: DataFrame, key: str = "work_id", top: int = RERANKED, limit: int | None = None) -> DataFrame:
     """The first top ranks of every review in the order of an external score, the tail unchanged."""
     joined = ranked.select("review", key, "rank").join(scores.select("review", key, F.col("score").alias("external")), ["review", key], "left")
-    head = F.col("rank") <= top
-    order = W.partitionBy("review").orderBy((~head).cast("int"), F.when(head, -F.coalesce("external", F.lit(0.0))), "rank")
-    return limited(joined.withColumn("new_rank", row_no(order)).select("review", key, F.col("rank").alias("old_rank"), F.col("new_rank").alias("rank")), limit)
+    # only the head is put in a new order
+    head = joined.filter(F.col("rank") <= top)
+    order = W.partitionBy("review").orderBy(-F.coalesce("external", F.lit(0.0)), "rank")
+    moved = head.select("review", key, F.col("rank").alias("old_rank"), row_no(order).alias("rank"))
+    rest = joined.filter(F.col("rank") > top).select("review", key, F.col("rank").alias("old_rank"), "rank")
+    return limited(moved.unionByName(rest), limit)
 
 
 def rank(strategy: str, works: DataFrame, *, seed: int = 42, questions: DataFrame | None = None, others: list[DataFrame] | None = None, scores: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -110,25 +120,36 @@ def rank(strategy: str, works: DataFrame, *, seed: int = 42, questions: DataFram
     raise ValueError(f"unknown strategy or missing input: {strategy}")
 
 
-def rank_rows(rows: DataFrame, by: list[str], order: list, key: str = "work_id") -> DataFrame:
-    """by, key and rank in an order that ends in the key."""
-    return rows.select(*by, key, row_no(W.partitionBy(*by).orderBy(*order)).alias("rank"))
+def rank_rows(rows: DataFrame, by: list[str], order: list[Column], key: str = "work_id") -> DataFrame:
+    """by, key and rank in an order that the key makes total."""
+    named = rows.select(*by, key, *(c.alias(f"_o{i}") for i, c in enumerate(order)))
+    return positions(named, by, [*(F.col(f"_o{i}").asc() for i in range(len(order))), F.col(key).asc()]).select(*by, key, "rank")
 
 
 def append_rest(ranked: DataFrame, works: DataFrame, key: str = "work_id") -> DataFrame:
     """A partial ranking followed by the review's other records in the order of their ids."""
     joined = works.select("review", key).join(ranked.select("review", key, F.col("rank").alias("was")), ["review", key], "left")
-    order = W.partitionBy("review").orderBy(F.col("was").asc_nulls_last(), key)
-    return joined.select("review", key, row_no(order).alias("rank"), F.col("was").isNotNull().alias("queried"))
+    placed = positions(joined, ["review"], [F.col("was").asc_nulls_last(), F.col(key).asc()])
+    return placed.select("review", key, "rank", F.col("was").isNotNull().alias("queried"))
+
+
+#: Ranks that are summed up in one piece.
+BLOCK = 65_536
 
 
 def _found(ranked: DataFrame, truth: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Ranks with labels and the number of included records found so far."""
+    """Labelled records with their ranks among themselves and the number of included ones found so far.
+
+    Blocks of ranks are summed first, so that no group is one task.
+    """
     labelled = ranked.select(*by, key, "rank").join(truth.select("review", key, "label_included"), ["review", key])
-    order = W.partitionBy(*by).orderBy("rank")
-    return labelled.select(*by, key, row_no(order).alias("rank"), "label_included").withColumn(
-        "found", F.sum("label_included").over(order.rowsBetween(W.unboundedPreceding, 0))
-    )
+    blocks = labelled.withColumn("_b", F.floor((F.col("rank") - 1) / BLOCK))
+    sums = blocks.groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.sum("label_included").alias("_s"))
+    so_far = W.partitionBy(*by).orderBy("_b")
+    before = sums.select(*by, "_b", (F.sum("_n").over(so_far) - F.col("_n")).alias("_n"), (F.sum("_s").over(so_far) - F.col("_s")).alias("_s"))
+    inside = W.partitionBy(*by, "_b").orderBy("rank")
+    numbered = blocks.withColumn("_k", row_no(inside)).withColumn("_f", F.sum("label_included").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.join(before, [*by, "_b"]).select(*by, key, (F.col("_k") + F.col("_n")).alias("rank"), "label_included", (F.col("_f") + F.col("_s")).alias("found"))
 
 
 def ranking_metrics(ranked: DataFrame, truth: DataFrame, recall: str = "0.95", key: str = "work_id", by: list[str] | None = None) -> DataFrame:
@@ -181,8 +202,7 @@ def decision_order(decisions: DataFrame, by: list[str]) -> DataFrame:
     sure = F.coalesce("confidence", F.lit(0.0))
     group = F.when(~F.col("span_verified"), 1).when(F.col("decision") == "include", 0).otherwise(2)
     inner = F.when(group == 0, -sure).when(group == 1, 0.0).otherwise(sure)
-    order = W.partitionBy(*by).orderBy(group, inner, "work_id")
-    return decisions.select(*by, "work_id", row_no(order).alias("rank"))
+    return rank_rows(decisions, by, [group, inner])
 
 
 def accept_terms(question: Column, terms: Column, most: int = 8) -> Column:

@@ -41,13 +41,16 @@ def quotas(counts: DataFrame, by: str, n: int) -> DataFrame:
 def proportional(df: DataFrame, by: str, n: int, seed: int, keys: list[str]) -> DataFrame:
     """n rows of df, spread over the groups in proportion to their sizes."""
     allowed = quotas(df.groupBy(by).agg(F.count("*").alias("size")), by, n)
+    few = stratified(df, [by], n, seed, keys)  # no group gets more than n
     order = W.partitionBy(by).orderBy(hash_order(seed, *keys), *keys)
-    return df.join(F.broadcast(allowed.select(by, "quota")), by).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("quota")).drop("_k", "quota")
+    return few.join(F.broadcast(allowed.select(by, "quota")), by).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("quota")).drop("_k", "quota")
 
 
 def keep_included(df: DataFrame, by: str, n: int, seed: int, keys: list[str], label: str = "label_included") -> DataFrame:
     """All included rows, and excluded ones in hash order up to n rows of the group in all."""
     included = df.groupBy(by).agg(F.sum(label).alias("_inc"))
-    order = W.partitionBy(by, label).orderBy(hash_order(seed, *keys), *keys)
-    ranked = df.join(F.broadcast(included), by).withColumn("_k", F.row_number().over(order))
+    few = stratified(df.filter(F.col(label) != 1), [by], n, seed, keys).unionByName(df.filter(F.col(label) == 1))
+    order = W.partitionBy(by).orderBy(hash_order(seed, *keys), *keys)
+    excluded = few.filter(F.col(label) != 1).withColumn("_k", F.row_number().over(order))
+    ranked = excluded.unionByName(few.filter(F.col(label) == 1).withColumn("_k", F.lit(0))).join(F.broadcast(included), by)
     return ranked.filter((F.col(label) == 1) | (F.col("_k") <= n - F.col("_inc"))).drop("_k", "_inc")
