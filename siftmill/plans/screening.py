@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftmill.functions.verify import verify
-from siftmill.operators import ablation, agreement, ingest, metrics, responses, sampling, typology
+from siftmill.operators import ablation, agreement, ingest, metrics, pipeline, responses, sampling, typology
 from siftmill.plans import base as b
 
 CATEGORIES = ["include", "exclude"]
@@ -149,6 +149,21 @@ def suggestion_combine(spark, d):
     return agreement.combine_verdicts(rows, ["review", "work_id"])
 
 
+def reading_order(spark, d):
+    """All records in the order they are read: backed by the models, referred, set aside; each by id."""
+    rows = suggestion_combine(spark, d).withColumn("similarity", F.lit(None).cast("double"))
+    return pipeline.reading_order(rows, ["review"], "work_id").select("review", "work_id", "reading_group", "rank")
+
+
+def discovered_records(spark, d):
+    """Records without duplicates and short abstracts, with the decision of the remembered answer and its quotation."""
+    found = b.works(spark, d).select("review", "work_id", "title", "abstract", "doi", "year")
+    answers = b.cache(spark, d).groupBy("review", "work_id").agg(F.max_by("raw_response", "cache_key").alias("raw_response"))
+    parsed = answers.select("review", "work_id", responses.parse_decision(F.col("raw_response")).alias("p"))
+    quoted = parsed.select("review", "work_id", F.struct(F.col("p.evidence_span").alias("value"), F.col("p.evidence_span").alias("evidence_span")).alias("quote"))
+    return pipeline.discover(found, answers, quoted, ["quote"], "work_id").select("review", "work_id", "decision", "verify_note", "quote")
+
+
 def recover_proposals(spark, d):
     return responses.recover_proposals(b.decisions(spark, d), b.cache(spark, d)).select("run_id", "review", "work_id", "proposed", "recovered")
 
@@ -200,7 +215,7 @@ def screen_responses(spark, d):
 
 
 def cache_lookup(spark, d):
-    """Decisions' cache keys against the remembered answers, the request being what is held for every tenth key."""
+    """Decisions' cache keys against the remembered answers: how many are held."""
     keys = b.decisions(spark, d).filter("cache_key is not null").select("cache_key").distinct()
     held = b.cache(spark, d)
     asked = keys.join(held.select("cache_key", "request_sha256"), "cache_key", "left").withColumn("request_sha256", F.coalesce("request_sha256", F.lit("none")))
@@ -260,7 +275,7 @@ def cached_prompts(spark, d):
 NAMES = [
     verify_span, verification_failures, verification_by_review, review_metrics, run_ranking_metrics, failure_matrix, confidence_histogram, latest_runs, latency_summary, cache_savings, override_summary,
     override_accuracy, prevalence, year_histogram, metadata_coverage, spend_meter, rater_agreement_ac1, inter_run_ac1, confidence_ac2, model_human_pabak, wilson_recall, arm_consensus, arm_disagreements,
-    suggestion_combine, recover_proposals, verifier_ablation, prompt_stage_ablation, typology_failures, typology_distribution, typology_wrong, typology_sample, stratified_sample, label_aware_sample,
+    suggestion_combine, reading_order, discovered_records, recover_proposals, verifier_ablation, prompt_stage_ablation, typology_failures, typology_distribution, typology_wrong, typology_sample, stratified_sample, label_aware_sample,
     screen_responses, cache_lookup, field_coverage, corpus_fingerprint, upsert_decisions, reviews_without_records, criteria_status, clean_works, web_duplicates, cached_prompts,
 ]
 QUERIES = {q.__name__: q for q in NAMES}

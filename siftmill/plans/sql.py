@@ -303,4 +303,5 @@ SQL["expansion_arms"] = f"""WITH w0 AS (SELECT * FROM works QUALIFY row_number()
     i AS (SELECT review, rank, label_included FROM bm JOIN t USING (review, work_id)), mm AS (WITH {ranking('i', 'review').strip()})
     SELECT string_split(review, chr(31))[1] AS review, max(CASE WHEN review LIKE '%question' THEN tnr END) AS tnr_question, max(CASE WHEN review LIKE '%expanded' THEN tnr END) AS tnr_expanded,
         round(max(CASE WHEN review LIKE '%expanded' THEN tnr END) - max(CASE WHEN review LIKE '%question' THEN tnr END), 6) AS delta FROM mm GROUP BY 1"""
+SQL["reading_order"] = f"""WITH e AS ({SQL['suggestion_combine']}) SELECT review, work_id, reading_group, row_number() OVER (PARTITION BY review ORDER BY reading_group, work_id) AS rank FROM e"""
 SQL = {k: v for k, v in SQL.items() if v}
