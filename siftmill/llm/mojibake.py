@@ -190,7 +190,7 @@ class Model:
             triples = np.minimum(self.triples[0][one], self.triples[1][two])
             times = np.maximum(np.minimum(self.pairs[0][three], self.pairs[1][four]), triples)
             value = float(np.log((triples + 2 * single) / (times + 2)).sum())
-            if len(self.known) > 300_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             self.known[text] = value
         return value
@@ -254,7 +254,7 @@ def _changes(model: Model, before: str, run: str, after: str) -> list[tuple[floa
                 if chain[1] != "utf-8" and new < PLAIN * len(step[0] + after):
                     gain = min(gain, 0.0)  # less unlikely isn't likely
                 found.append((gain + SEQUENCE * (step[1] + step[2] / 2) - LEFT * step[3], step[0], step[2]))
-        if len(model.runs) > 50_000:
+        if len(model.runs) > 20_000:
             model.runs.clear()
         model.runs[key] = found
     return found
