@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
+from re import _constants as C
+from re import _parser
 
 import pandas as pd
 import xxhash
@@ -35,7 +38,7 @@ SLOTS = [
     ("server tag", re.compile(r"<%=?\s*[^<>%]{1,60}%>|<\?(?:php|=)[^<>]{0,80}\?>")),
     ("double angles", re.compile(r"<<\s*" + _NAME + r">>|«\s*[a-z]+_[a-z_]+\s*»")),
     ("escaped tag", re.compile(r"&lt;/?\s*" + _NAME + r"&gt;")),
-    ("your ... here", re.compile(r"[<\[({]\s*(?:your|insert|enter|add|type|put)\b[^<>\[\](){}]{0,40}\b(?:here|name|title|text)?\s*[>\])}]", re.I)),
+    ("your ... here", re.compile(r"(?:[<\[{]\s*(?:your|insert|enter|add|type|put)|\(\s*(?:your|insert))\b[^<>\[\](){}]{0,40}\b(?:here|name|title|text)?\s*[>\])}]|\(\s*(?:enter|add|type|put)\b[^<>\[\](){}]{0,40}\b(?:here|name|title|text)\s*\)", re.I)),
     ("... here", re.compile(r"\[\s*(?:INSERT|ENTER|ADD|YOUR|TYPE|PLACEHOLDER|TODO|TBD|TK)\b[^\[\]]{0,40}\]|\[\s*[A-Z][A-Za-z_0-9 ]{0,40} HERE\s*\]")),
     ("to be added", re.compile(r"[\[(<]\s*[A-Za-z_0-9 ]{1,40}\bto be (?:added|completed|confirmed|determined|inserted|supplied|filled in)\s*[\])>]", re.I)),
     ("double square", re.compile(r"\[\[\s*[A-Za-z][A-Za-z0-9_ ]{0,40}\s*\]\]")),
@@ -113,7 +116,7 @@ NOTICE = [
     (2.5, re.compile(r"(?i)^\W*(?:request id|content-type|http/\d|x-[a-z-]+:|server:|ray id|incident id|reference #|error code)\b|\.(?:php|jsp|aspx|cgi)\b")),
     (2.0, re.compile(r"(?i)\bif (?:nothing happens|this persists|the problem persists|you (?:see|read|are seeing|believe|think))\b|\bblocking is off\b|\bad blocker\b|\b(?:switched|turned) (?:on|off)\b")),
     (6.0, re.compile(r"^\s*File \"[^\"]+\", line \d+|Traceback \(most recent call last\)|^\s*at [\w.$]+\([\w.]+:\d+\)|^\W*[A-Za-z.]*(?:Error|Exception): |\bSQLSTATE\b|\bstack trace:|^\s*Warning: \w+\(\)|^\s*Notice: Undefined ")),
-    (1.0, re.compile(r"(?i)\b(?:request(?:ed)?|server|database|gateway|link|session|account|connection|captcha|robot)\b")),
+    (1.0, re.compile(r"(?i)\b(?:request(?:ed)?|server|database|gateway|link(?! between)|session|account|connection|captcha|robot)\b")),
 ]
 #: Wording of reports about such things.
 REPORT = [
@@ -122,62 +125,145 @@ REPORT = [
     (2.0, re.compile(r"\d\s?%|\bp\s?[=<>]|\d+ (?:clinics?|sites?|of)\b")),
     (2.0, re.compile(r"(?i)\b(?:saw|made up|had to|predicted|enrolled|stay missing|returned error|that required|that returned|failed to do so|intended)\b")),
     (2.5, re.compile(r"[“\"‘«][^”\"’»]{3,40}[”\"’»]")),
+    (3.0, re.compile(r"(?i)\b(?:data|results?|findings?|evidence) (?:(?:do|does|did) not support|(?:was|were) (?:unavailable|not available))\b")),
 ]
 SURE, OPEN = 3.0, 2.0
 #: A segment left open is a notice if so many documents hold it, as often as not strange to the rest of their texts.
 COPIES, STRANGE = 3, 0.8
-#: A text without any of these (lower case) has no slot, no filler and no notice: they only save time.
-_SLOT_CUES = (
-    "{{", "{%", "${", "%(", "<%", "<?", "<<", "&lt;", "[[", "__", "@@", "##", "[insert", "[enter", "[add", "[your", "[type", "[placeholder", "[todo", "[tbd", "[tk", " here]",
-    "<your", "<insert", "<enter", "<add", "<type", "(your ", "(insert", "{your", "{insert", "to be added", "to be c", "to be d", "to be i", "to be s", "to be f", "«",
-)
-_FILLER_CUES = ("placeholder", " text for ", "text goes", "sample text", "dummy text", "example text", " here.", " here ", " here]", "goes here", "click", "double-click", "replace this", "will be replaced", "coming soon", "text will follow", "todo", "fixme", "tbd", "tk:", "xxx", "asdf", "blah")
-_LATIN_CUES = ("ipsum", "lorem", "dolor", "amet", "vestra", "urna", "velit", "nulla", "augue", "vitae", "sapien", "consectetur")
-_NOTICE_CUES = (
-    "javascript", " js ", " js.", " js,", " scripts", " script ", "scripting", "could not load", "cannot load", "not be loaded", "unable to load", "unable to open", "we could not", "nothing happens", "switched on", "turned off", "traceback", "exception", " line ", "sqlstate", "to view this", "to open the", "to read this", "try later", "side script", "cookie", "browser", "navegador", "navigateur", "active content", " server", "gateway", "sign in", "log in", "reload", "refresh",
-    "timed out", "timeout", "time-out", "not found", "introuvable", "nicht gefunden", "encontrad", "down for maintenance", "under maintenance", "traffic", "blocked", "blocking", "expired", "withdrawn", "from loading", "displayed",
-    "be resolved", "retrieve", "try again", "content-type", "request", "is gone", "denied", "forbidden", "is unavailable", "are unavailable", "sorry", "notice:", "oops", "authori", "subscription",
-    "blocker", "start page", "home page", "help page", "the page", "this page", "error 4", "error 5", "error:", "erreur", "fehler 4", "fehler 5", "fehler:", "http/", "this address", "the link", "was not fetched", "stay blank", "stays blank", "your session", "captcha", "robot",
-)
+#: Letters that case-insensitive patterns take for plain ones.
+_FOLD = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
+
+
+def fold(text: str) -> str:
+    """text in lower case, character for character."""
+    for letter, plain in () if text.isascii() else _FOLD:
+        text = text.replace(letter, plain)
+    return text.lower()
+
+
+def _all_of(op, av) -> set[str] | None:
+    """Every text that a node of a parsed pattern matches, if they are few."""
+    if op == C.LITERAL:
+        return {fold(chr(av))}
+    if op == C.AT or op in (C.ASSERT, C.ASSERT_NOT):
+        return {""}
+    if op == C.IN and len(av) <= 8 and all(o == C.LITERAL for o, _ in av):
+        return {fold(chr(c)) for _, c in av}
+    if op == C.SUBPATTERN:
+        return _strung(av[3])
+    if op == C.BRANCH:
+        found = [_strung(x) for x in av[1]]
+        return None if None in found else set().union(*found)
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT) and av[1] <= 3 and (one := _strung(av[2])) is not None:
+        return _crossed([one] * av[0] + [one | {""}] * (av[1] - av[0]))
+    return None
+
+
+def _crossed(sets: list[set[str]]) -> set[str] | None:
+    found = {""}
+    for x in sets:
+        if len(found) * len(x) > 3000:
+            return None
+        found = {f + y for f in found for y in x}
+    return found
+
+
+def _strung(items) -> set[str] | None:
+    sets = [_all_of(op, av) for op, av in items]
+    return None if None in sets else _crossed(sets)
+
+
+def required(items) -> set[str] | None:
+    """Texts in lower case one of which every match of a parsed pattern holds: the set with the longest shortest one."""
+    options: list[set[str]] = []
+    run = {""}
+    for op, av in items:
+        every = _all_of(op, av)
+        joined = None if every is None else _crossed([run, every])
+        if joined is not None:
+            run = joined
+            continue
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT) and av[0] and (one := _strung(av[2])) is not None:
+            options += [x for x in (_crossed([run] + [one] * av[0]), _crossed([one] * av[0])) if x]
+            run = {""}
+            continue
+        options.append(run)
+        run = {""} if every is None else every
+        if op == C.SUBPATTERN and (inner := required(av[3])):
+            options.append(inner)
+        elif op == C.BRANCH and None not in (each := [required(x) for x in av[1]]):
+            options.append(set().union(*each))
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and av[0] and (inner := required(av[2])):
+            options.append(inner)
+    options.append(run)
+    options = [x for x in options if min(map(len, x))]
+    return max(options, key=lambda x: (min(map(len, x)), -len(x))) if options else None
 
 
 @lru_cache(maxsize=1)
 def _automaton():
-    """All cues with the bits of their families (slots 1, filler 2, Latin 4, notices 8) in one automaton."""
+    """(automaton of the texts that patterns require, with the bits of the patterns; bit of each pattern; bits of those that require nothing; bits of notices)."""
     import ahocorasick
 
     bits: dict[str, int] = {}
-    for bit, cues in ((1, _SLOT_CUES), (2, _FILLER_CUES), (4, _LATIN_CUES), (8, _NOTICE_CUES)):
-        for c in cues:
-            bits[c] = bits.get(c, 0) | bit
+    own, always = {}, 0
+    for i, pattern in enumerate([*(p for _, p in SLOTS), _NUMBERED, UNRESOLVED, CAPITALS, UNFILLED, FIGURES, FILLER, REPEATED, *(p for _, p in NOTICE)]):
+        own[pattern] = 1 << i
+        needed = required(_parser.parse(pattern.pattern, pattern.flags))
+        if needed is None:
+            always |= 1 << i
+        for c in needed or ():
+            bits[c] = bits.get(c, 0) | 1 << i
     found = ahocorasick.Automaton()
     for c, bit in bits.items():
-        found.add_word(c, (bit, c))
+        found.add_word(c, bit)
     found.make_automaton()
-    return found
+    return found, own, always, sum(own[p] for _, p in NOTICE)
+
+
+def possible(low: str, ends: list[int]) -> list[int]:
+    """Bits of the patterns that can match in each part of a folded text, in one pass; ends: where the parts end."""
+    found, _, always, _ = _automaton()
+    masks, k = [always] * len(ends), 0
+    last = len(ends) - 1
+    for at, bit in found.iter(low):
+        while k < last and at >= ends[k]:
+            k += 1
+        masks[k] |= bit
+    return masks
 
 
-def cues(low: str) -> tuple[int, int]:
-    """(bits of the families that a text has cues of, number of its different Latin cues), in one pass."""
-    seen, latin = 0, set()
-    for _, (bit, cue) in _automaton().iter(low):
-        seen |= bit
-        if bit & 4:
-            latin.add(cue)
-    return seen, len(latin)
+#: Bits of all patterns.
+ALL = -1
 
 
-_STARTS = re.compile(r"\W*(?:[45]\d\d\b|go |return to the|activate|enable|allow|turn |wait )")
+@lru_cache(maxsize=100_000)
+def _most(mask: int) -> tuple[float, tuple[tuple[float, re.Pattern], ...]]:
+    """(highest score of a notice, patterns of notices with their weights) that bits allow."""
+    own = _automaton()[1]
+    left = tuple((w, p) for w, p in NOTICE if mask & own[p])
+    return sum(w for w, _ in left), left
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the segments of a text lie."""
+    found, at = [], 0
+    for m in _SEGMENT.finditer(text):
+        found.append((at, m.start()))
+        at = m.end()
+    found.append((at, len(text)))
+    return [(a, b) for a, b in found if a < b and not text[a:b].isspace()]
 
 
 def segments(text: str) -> list[str]:
-    return [s for s in _SEGMENT.split(text) if s and s.strip()]
+    return [text[a:b] for a, b in spans(text)]
 
 
-def placeholder(text: str, low: str, cued: bool = True) -> str | None:
-    """The kind of unfilled slot that a whole text (low: in lower case) holds, if any; cued: it has a cue of one."""
-    if cued or "{" in text or re.search("%[A-Z]{2}", text) or re.search("#[A-Z]{4}", text):
-        for name, pattern in SLOTS:
+def placeholder(text: str, mask: int = ALL) -> str | None:
+    """The kind of unfilled slot that a whole text holds, if any; mask: the patterns that can match."""
+    own = _automaton()[1]
+    for name, pattern in SLOTS if mask & (1 << len(SLOTS)) - 1 else ():
+        if mask & own[pattern]:
             for m in pattern.finditer(text):
                 if name == "bare slots" and ('"' in m.group() or re.search(r"(?i)\b(?:slots?|variable|field|engine|syntax)\b", text[max(0, m.start() - 40) : m.end() + 40])):
                     continue
@@ -198,63 +284,56 @@ def placeholder(text: str, low: str, cued: bool = True) -> str | None:
         names.add(name)
         if len(names) > 1 and before not in (":", "<"):
             return "marked names"
-    if "{" in text or "%s" in text or "%d" in text or "$s" in text or "$d" in text:
-        if _NUMBERED.search(text):
-            return "numbered slots"
-    if "??" in text or "\\ref" in text or "\\cite" in text or "\\label" in text:
-        if UNRESOLVED.search(text):
-            return "unresolved reference"
-    if "[" in text and CAPITALS.search(text):
-        return "note in capitals"
-    if any(c in low for c in ("none", "null", "nan", "undefined", "[object", "nil", "n/a", "#ref", "#value", "#name", "#div")):
-        if UNFILLED.search(text):
-            return "unfilled value"
-    if "XX" in text or "YY" in text or ".X" in text:
-        if FIGURES.search(text):
-            return "unfilled figure"
+    for name, pattern in (("numbered slots", _NUMBERED), ("unresolved reference", UNRESOLVED), ("note in capitals", CAPITALS), ("unfilled value", UNFILLED), ("unfilled figure", FIGURES)):
+        if mask & own[pattern] and pattern.search(text):
+            return name
     return None
 
 
-def filler(segment: str) -> str | None:
+def filler(segment: str, mask: int = ALL) -> str | None:
     """The kind of filler that a segment is, if any."""
-    if FILLER.search(segment):
+    own = _automaton()[1]
+    if mask & own[FILLER] and FILLER.search(segment):
         return "filler"
-    if REPEATED.search(segment):
+    if mask & own[REPEATED] and REPEATED.search(segment):
         return "repeated filler"
     words = _WORD.findall(segment.lower())
-    if len(words) >= 3 and sum(w in LATIN for w in words) >= 0.75 * len(words) and len(set(words) & LATIN) >= 3:
+    if len(LATIN.intersection(words)) >= 3 and sum(w in LATIN for w in words) >= 0.75 * len(words):
         return "pseudo-Latin"
     return None
 
 
-def notice_score(segment: str) -> float:
+def notice_score(segment: str, mask: int = ALL) -> float:
     """Evidence of a notice less that of a report about notices."""
     if len(segment) > 300:
         return 0.0
-    score = sum(w for w, p in NOTICE if p.search(segment))
+    most, patterns = _most(mask & _automaton()[3])
+    if most < OPEN:
+        return 0.0
+    score = sum(w for w, p in patterns if p.search(segment))
     return score - sum(w for w, p in REPORT if p.search(segment)) if score >= OPEN else score
 
 
-def examine(text: str | None, address: str = "") -> tuple[list[str], list[tuple[int, bool]]]:
-    """(kinds of residue found, segments left open as (fingerprint, strange to the rest of the text and the address))."""
+def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[list[str], list[tuple[int, bool]]]:
+    """(kinds of residue found, segments left open as (fingerprint, strange to the rest of the text and the address)).
+
+    gated: patterns are only tried where a text that each of their matches holds was seen; the outcome is the same.
+    """
     if not text:
         return [], []
-    found, left, low = [], [], f" {text.lower()} ".replace("\n", " ")
-    seen, latin = cues(low)
-    kind = placeholder(text, low, bool(seen & 1))
+    found, left = [], []
+    places = spans(text)
+    masks = possible(fold(text), [b for _, b in places] or [len(text)]) if gated else [ALL] * len(places)
+    kind = placeholder(text, reduce(or_, masks, 0))
     if kind:
         found.append(kind)
-    fill = bool(seen & 2) or latin > 1
-    warn = bool(seen & 8) and not (text.lstrip()[:1] == "{" and '":' in text)
-    if not fill and not warn:
-        return found, left
-    parts = segments(text)
+    warn = not (text.lstrip()[:1] == "{" and '":' in text)
+    parts = [text[a:b] for a, b in places]
     scores: list[float] = []
-    for part in parts:
-        if fill and (kind := filler(part)):
+    for part, mask in zip(parts, masks):
+        if kind := filler(part, mask):
             found.append(kind)
-        plain = f" {part.lower()} " if warn else ""
-        scores.append(notice_score(part) if warn and (any(c in plain for c in _NOTICE_CUES) or _STARTS.match(plain)) else 0.0)
+        scores.append(notice_score(part, mask) if warn else 0.0)
     for i, (part, score) in enumerate(zip(parts, scores)):
         if score >= OPEN and i + 1 < len(parts) and scores[i + 1] >= OPEN:
             score += 1.0  # notices come in several sentences

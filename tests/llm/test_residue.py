@@ -64,3 +64,58 @@ def test_other_residue(text):
 @pytest.mark.parametrize("text", ["Let the set {x_3, x_4} denote the classes.", "Sessions that expired before the last item were treated as incomplete.", "None of the 12 records was lost.", "Is it so?? Nobody knows.", "The $p$ value and the @mentions of [Figure 2] were counted.", "A <b>bold</b> claim."])
 def test_other_sound(text):
     assert R.examine(text)[0] == []
+
+
+def alternatives(items):
+    """Texts that a parsed pattern matches, one or more for each of its alternatives."""
+    C = R.C
+    found = [""]
+    for op, av in items:
+        if op == C.LITERAL:
+            each = [chr(av)]
+        elif op == C.IN:
+            sets = {C.CATEGORY_DIGIT: "7", C.CATEGORY_WORD: "a", C.CATEGORY_SPACE: " ", C.CATEGORY_NOT_WORD: "."}
+            each = ["a"] if av[0][0] == C.NEGATE else [chr(x) if o == C.LITERAL else chr(x[0]) if o == C.RANGE else sets[x] for o, x in (av if len(av) < 5 else [av[0], av[-1]])]
+        elif op == C.SUBPATTERN:
+            each = alternatives(av[3])
+        elif op == C.BRANCH:
+            each = [x for branch in av[1] for x in alternatives(branch)]
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            each = [x * max(av[0], 1) for x in alternatives(av[2])] + [""] * (av[0] == 0)
+        else:
+            each = [""]
+        wide, narrow = max(found, each, key=len), min(found, each, key=len)
+        if len(wide) * len(narrow) > 400:  # every part once instead of every combination
+            found = [found[i % len(found)] + each[i % len(each)] for i in range(max(len(found), len(each)))]
+        else:
+            found = [a + b for a in found for b in each]
+    return found
+
+
+@pytest.mark.parametrize("pattern", [p for _, p in R.SLOTS] + [R.FILLER, R.REPEATED] + [p for _, p in R.NOTICE])
+def test_gates_pass_what_patterns_match(pattern):
+    texts = [t for x in alternatives(R._parser.parse(pattern.pattern, pattern.flags)) for t in (x, x.upper(), x.replace("i", "\u0130").replace("s", "\u017f")) if pattern.search(t)]
+    assert texts
+    for t in texts:
+        assert R.possible(R.fold(t), [len(t)])[0] & R._automaton()[1][pattern], t
+        for whole in (t, f"{SOUND} {t}", f"{t}\nPlease go on."):
+            assert R.examine(whole) == R.examine(whole, gated=False)
+
+
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [*R.segments(LOREM), "503 Service Unavailable", "Service Temporarily Unavailable", "This article is not available to you.", "Please wait while we verify that you are human.", "To be completed.", "To be written.", "Text to follow.", "Tap to edit."],
+)
+def test_nothing_is_dropped_unseen(text):
+    assert R.examine(text)[0] and R.examine(f"{SOUND} {text}")[0]
+
+
+@pytest.mark.parametrize("text", ["Patients (type 2 diabetes) were enrolled.", "These data do not support road salt as a remedy. Limitations should be noted: cost data were unavailable.", "Earlier reports described an early link between walking and pressure, but cost data were unavailable."])
+def test_sound_without_gates(text):
+    assert R.examine(text)[0] == []
