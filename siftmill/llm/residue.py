@@ -5,8 +5,10 @@ A text is divided into segments (lines and sentences), and three kinds of eviden
 * placeholder detectors: unfilled slots in any of the usual bracketings, values that were never filled in, filler text;
 * wording: a notice speaks to its reader about the page it stands for, in the present, and has no place in a report about
   error pages or scripts, which tells in the past who saw, used or counted them; both sides are scored;
-* host evidence, for segments whose wording leaves it open: the same low-information segment stands in many documents of
-  a source, and shares no terms with the title, the address (source, kind) and the rest of the text it stands in.
+* host evidence, for all short segments with any wording of a notice that don't report: in how many documents, of a source
+  and of all, the segment stands, and how often it shares no terms with the address (source, kind) and the rest of the text
+  (``residue``). Without any such wording it decides nothing: headings, list items and sentences on filler or TODO comments
+  are copied into strange texts too, and are sound.
 
 Cases: null and empty texts have no residue; JSON answers, formulas, bracketed notes and code names are sound.
 """
@@ -86,7 +88,8 @@ LATIN = frozenset(
     "massa justo lacus purus orci risus rhoncus viverra maecenas fusce aliquam eget arcu dictum phasellus sollicitudin".split()
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_SEGMENT = re.compile(r"\n+|(?<=[.!?])[\"”’»)\]]*\s+")
+_SEGMENT = re.compile(r"[.!?][\"”’»)\]]*\s+|\n+")
+_MARKS = re.compile(r"[{$«#@~^§¤‹⟦⟨\[]|%[A-Za-z]|<[A-Za-z]|:[A-Za-z]{4,}:")
 
 #: Wording of notices, with weights: the reader addressed, the thing that is not there, the technique, the failure.
 NOTICE = [
@@ -95,7 +98,7 @@ NOTICE = [
     (1.5, re.compile(r"(?i)\b(?:we (?:were unable|noticed|could not|cannot|are unable|are sorry)|our (?:systems?|servers?|site))\b")),
     (1.5, re.compile(r"(?i)\b(?:ad ?blocker|not authori[sz]ed|no subscription|to continue\W*$|to (?:see|view|read|open|show|access) (?:this|the)|to run this)\b")),
     (1.5, re.compile(r"(?i)\b(?:you|your|votre|vous|su navegador|ihr|ihren|ihrem|seu navegador|usted)\b")),
-    (1.5, re.compile(r"(?i)^\W*(?:enable|activate|activer|active|activez|aktivieren|habilite|ative|allow|turn|switch|reload|refresh|try|return|go back|go to|log in|sign in|click|wait|check|contact|use|type)\b")),
+    (1.5, re.compile(r"(?i)^\W*(?:enable|activate|activer|active|activez|aktivieren|habilite|ative|allow|turn|switch|reload|refresh|try|return|go back|go to|log in|sign in|click|wait|check|contact|use(?! of\b)|type(?! (?:i+\b|\d)))\b")),
     (2.0, re.compile(r"(?i)\b(?:try again|reload|refresh the page|go back to|return to the|log in|sign in|start page|home page|help page|browser settings|out of date|mistyped)\b")),
     (1.5, re.compile(r"(?i)\b(?:this|the|cet|cette|diese[nmrs]?|este|esta|el|o) (?:requested |full |entire )?(?:page|site|website|app|application|server|archive|reader|address|network|browser|article|artículo|artigo|artikel|record|item|file|document|paper|text|full text|pdf|abstract|content|service|link|resource|identifier|seite|página)\b")),
     (1.5, re.compile(r"(?i)\b(?:javascript|js|scripts?|scripting|cookies|active content|client-side|browser|navegador|navigateur)\b")),
@@ -128,8 +131,12 @@ REPORT = [
     (3.0, re.compile(r"(?i)\b(?:data|results?|findings?|evidence) (?:(?:do|does|did) not support|(?:was|were) (?:unavailable|not available))\b")),
 ]
 SURE, OPEN = 3.0, 2.0
-#: A segment left open is a notice if so many documents hold it, as often as not strange to the rest of their texts.
+#: A segment that its wording leaves open is a notice if so many documents hold it, so often strange to the rest of their texts.
 COPIES, STRANGE = 3, 0.8
+#: One that speaks to its reader and has this score needs two.
+ADDRESSED = 1.5
+#: Longest segment that can be a notice.
+SHORT = 300
 #: Letters that case-insensitive patterns take for plain ones.
 _FOLD = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
 
@@ -141,14 +148,27 @@ def fold(text: str) -> str:
     return text.lower()
 
 
+_SPACES = frozenset(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def _all_of(op, av) -> set[str] | None:
     """Every text that a node of a parsed pattern matches, if they are few."""
     if op == C.LITERAL:
         return {fold(chr(av))}
     if op == C.AT or op in (C.ASSERT, C.ASSERT_NOT):
         return {""}
-    if op == C.IN and len(av) <= 8 and all(o == C.LITERAL for o, _ in av):
-        return {fold(chr(c)) for _, c in av}
+    if op == C.IN:
+        found = set()
+        for o, x in av:
+            if o == C.LITERAL:
+                found.add(fold(chr(x)))
+            elif o == C.RANGE and x[1] - x[0] < 64:
+                found |= {fold(chr(c)) for c in range(x[0], x[1] + 1)}
+            elif o == C.CATEGORY and x == C.CATEGORY_SPACE:
+                found |= _SPACES
+            else:
+                return None
+        return found
     if op == C.SUBPATTERN:
         return _strung(av[3])
     if op == C.BRANCH:
@@ -185,7 +205,7 @@ def required(items) -> set[str] | None:
             continue
         if op in (C.MAX_REPEAT, C.MIN_REPEAT) and av[0] and (one := _strung(av[2])) is not None:
             options += [x for x in (_crossed([run] + [one] * av[0]), _crossed([one] * av[0])) if x]
-            run = {""}
+            run = one  # the last of them stands before what follows
             continue
         options.append(run)
         run = {""} if every is None else every
@@ -249,7 +269,7 @@ def spans(text: str) -> list[tuple[int, int]]:
     """Where the segments of a text lie."""
     found, at = [], 0
     for m in _SEGMENT.finditer(text):
-        found.append((at, m.start()))
+        found.append((at, m.start() + (text[m.start()] != "\n")))  # a stop belongs to its sentence
         at = m.end()
     found.append((at, len(text)))
     return [(a, b) for a, b in found if a < b and not text[a:b].isspace()]
@@ -269,8 +289,7 @@ def placeholder(text: str, mask: int = ALL) -> str | None:
                     continue
                 return name
     seen: dict[tuple[str, str], set[str]] = {}
-    marks = any(c in text for c in "{$«#@~^§¤‹⟦⟨[") or re.search("%[A-Za-z]|<[A-Za-z]|:[A-Za-z]{4,}:", text)
-    for m in MARKED.finditer(text) if marks else ():
+    for m in MARKED.finditer(text) if _MARKS.search(text) else ():
         before, name, after = m.groups()
         if _MIRROR.get(before[-1], before[-1]) != after[0]:
             continue
@@ -290,14 +309,14 @@ def placeholder(text: str, mask: int = ALL) -> str | None:
     return None
 
 
-def filler(segment: str, mask: int = ALL) -> str | None:
-    """The kind of filler that a segment is, if any."""
+def filler(segment: str, mask: int = ALL, words: list[str] | None = None) -> str | None:
+    """The kind of filler that a segment is, if any; words: its words in lower case, or none if they are no pseudo-Latin."""
     own = _automaton()[1]
     if mask & own[FILLER] and FILLER.search(segment):
         return "filler"
     if mask & own[REPEATED] and REPEATED.search(segment):
         return "repeated filler"
-    words = _WORD.findall(segment.lower())
+    words = _WORD.findall(segment.lower()) if words is None else words
     if len(LATIN.intersection(words)) >= 3 and sum(w in LATIN for w in words) >= 0.75 * len(words):
         return "pseudo-Latin"
     return None
@@ -305,75 +324,95 @@ def filler(segment: str, mask: int = ALL) -> str | None:
 
 def notice_score(segment: str, mask: int = ALL) -> float:
     """Evidence of a notice less that of a report about notices."""
-    if len(segment) > 300:
+    if len(segment) > SHORT:
         return 0.0
     most, patterns = _most(mask & _automaton()[3])
-    if most < OPEN:
-        return 0.0
-    score = sum(w for w, p in patterns if p.search(segment))
-    return score - sum(w for w, p in REPORT if p.search(segment)) if score >= OPEN else score
+    score = sum(w for w, p in patterns if p.search(segment)) if most else 0.0
+    return score - sum(w for w, p in REPORT if p.search(segment)) if score else score
+
+
+#: What is said of a segment besides its wording: strange to its host, speaking to its reader.
+IS_STRANGE, IS_ADDRESS = 1, 2
+_READER = NOTICE[4][1]
 
 
-def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[list[str], list[tuple[int, bool]]]:
-    """(kinds of residue found, segments left open as (fingerprint, strange to the rest of the text and the address)).
+def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[list[str], dict[int, int]]:
+    """(kinds of residue found, the bits above by fingerprint of the short segments whose wording says something for a notice).
 
     gated: patterns are only tried where a text that each of their matches holds was seen; the outcome is the same.
     """
     if not text:
-        return [], []
-    found, left = [], []
+        return [], {}
+    found, left, low = [], {}, fold(text)
     places = spans(text)
-    masks = possible(fold(text), [b for _, b in places] or [len(text)]) if gated else [ALL] * len(places)
+    masks = possible(low, [b for _, b in places] or [len(text)]) if gated else [ALL] * len(places)
     kind = placeholder(text, reduce(or_, masks, 0))
     if kind:
         found.append(kind)
     warn = not (text.lstrip()[:1] == "{" and '":' in text)
-    parts = [text[a:b] for a, b in places]
     scores: list[float] = []
-    for part, mask in zip(parts, masks):
-        if kind := filler(part, mask):
+    latin = not gated or len(LATIN.intersection(_WORD.findall(low))) >= 3
+    for (a, b), mask in zip(places, masks):
+        if kind := filler(text[a:b], mask, None if latin else []):
             found.append(kind)
-        scores.append(notice_score(part, mask) if warn else 0.0)
-    for i, (part, score) in enumerate(zip(parts, scores)):
-        if score >= OPEN and i + 1 < len(parts) and scores[i + 1] >= OPEN:
-            score += 1.0  # notices come in several sentences
-        if score >= SURE:
+        scores.append(notice_score(text[a:b], mask) if warn else 0.0)
+    if not any(score > 0 for score in scores):
+        return found, left
+    said = [_WORD.findall(low[a:b]) for a, b in places]
+    seen, shared = set(), set(_WORD.findall(address.lower()))
+    for words in said:
+        terms = set(words)
+        shared |= terms & seen
+        seen |= terms
+    for i, ((a, b), score) in enumerate(zip(places, scores)):
+        if score <= 0:
+            continue
+        sure = score + 1.0 if score >= OPEN and i + 1 < len(scores) and scores[i + 1] >= OPEN else score  # notices come in several sentences
+        if sure >= SURE:
             found.append("notice")
-        elif score >= OPEN:
-            own = {w for w in _WORD.findall(part.lower()) if len(w) > 3}
-            rest = {w for j, p in enumerate(parts) if j != i for w in _WORD.findall(p.lower())} | set(_WORD.findall(address.lower()))
-            skeleton = re.sub(r"\d+", "#", " ".join(part.split()).lower())
-            left.append((xxhash.xxh64_intdigest(skeleton) - (1 << 63), not own & rest))
+        strange = not any(len(w) > 3 and w in shared for w in said[i])
+        bits = strange * IS_STRANGE + bool(score >= ADDRESSED and _READER.search(text[a:b])) * IS_ADDRESS
+        skeleton = re.sub(r"\d+", "#", " ".join(low[a:b].split()))
+        h = xxhash.xxh64_intdigest(skeleton) - (1 << 63)
+        left[h] = bits & left.get(h, bits)
     return found, left
 
 
-RESULT = T.StructType(
-    [
-        T.StructField("kinds", T.ArrayType(T.StringType())),
-        T.StructField("left", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("strange", T.BooleanType())]))),
-    ]
-)
+RESULT = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("said", T.ArrayType(T.IntegerType()))])
 
 
 def residue(df: DataFrame, key: str, text: str, slug: list[str]) -> DataFrame:
-    """key and kinds (sorted, comma-separated) of the documents with residue; slug names the columns of their address."""
+    """key and kinds (sorted, comma-separated) of the documents with residue; slug names the columns of their address, the
+    first of which is the host.
+
+    A segment that wording alone doesn't settle is a notice by host evidence if
+
+    * COPIES documents of one host or of all hold it, STRANGE of them as a stranger to their text;
+    * or it speaks to its reader, and two documents or more hold it, all as a stranger.
+    """
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, titles in batches:
             rows = [examine(t, s or "") for t, s in zip(texts, titles)]
-            yield pd.DataFrame({"kinds": [sorted(set(k)) for k, _ in rows], "left": [[{"h": h, "strange": s} for h, s in left] for _, left in rows]})
+            yield pd.DataFrame({"kinds": [sorted(set(k)) for k, _ in rows], "h": [list(left) for _, left in rows], "said": [list(left.values()) for _, left in rows]})
 
     looked = (
         df.filter(F.length(text) > 0)
-        .select(key, run(F.col(text), F.translate(F.concat_ws(" ", *slug), "_", " ")).alias("r"))
-        .select(key, "r.kinds", "r.left")
-        .filter((F.size("kinds") > 0) | (F.size("left") > 0))
+        .select(key, F.coalesce(F.col(slug[0]).cast("string"), F.lit("")).alias("host"), run(F.col(text), F.translate(F.concat_ws(" ", *slug), "_", " ")).alias("r"))
+        .select(key, "host", "r.kinds", "r.h", "r.said")
+        .filter((F.size("kinds") > 0) | (F.size("h") > 0))
     )
     looked = stage(looked)
     sure = looked.filter(F.size("kinds") > 0).select(key, F.array_join("kinds", ", ").alias("kinds"))
-    open_ones = looked.filter(F.size("kinds") == 0).select(key, F.explode("left").alias("s")).select(key, "s.h", "s.strange")
-    copied = open_ones.groupBy("h").agg(F.countDistinct(key).alias("n"), F.avg(F.col("strange").cast("double")).alias("strange"))
-    known = copied.filter((F.col("n") >= COPIES) & (F.col("strange") >= STRANGE)).select("h")
-    hosted = open_ones.join(known, "h", "left_semi").select(key, F.lit("copied notice").alias("kinds"))
-    return sure.unionByName(hosted).groupBy(key).agg(F.max("kinds").alias("kinds"))
+    held = looked.select(key, F.xxhash64("host").alias("host"), F.explode(F.arrays_zip("h", "said")).alias("s")).select(key, "host", "s.h", "s.said")
+    bit = lambda b: F.col("said").bitwiseAND(b) > 0
+    # a document counts once however often it was delivered; partial sums keep hot segments small
+    docs = held.groupBy("host", "h", key).agg(F.min(bit(IS_STRANGE)).alias("strange"), F.max(bit(IS_ADDRESS)).alias("reader"))
+    by_host = docs.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum(F.col("strange").cast("long")).alias("strange"), F.max("reader").alias("reader"))
+    copied = (F.col("n") >= COPIES) & (F.col("strange") >= STRANGE * F.col("n"))
+    by_host = stage(by_host.withColumn("known", copied))
+    in_all = by_host.groupBy("h").agg(F.sum("n").alias("n"), F.sum("strange").alias("strange"), F.max("reader").alias("reader"))
+    everywhere = in_all.filter(copied | (F.col("reader") & (F.col("n") >= 2) & (F.col("strange") == F.col("n")))).select("h")
+    hosted = held.join(everywhere, "h", "left_semi").select(key).unionByName(held.join(by_host.filter("known").select("host", "h"), ["host", "h"], "left_semi").select(key))
+    return sure.unionByName(hosted.select(key, F.lit("copied notice").alias("kinds"))).groupBy(key).agg(F.max("kinds").alias("kinds"))

@@ -119,3 +119,35 @@ def test_nothing_is_dropped_unseen(text):
 @pytest.mark.parametrize("text", ["Patients (type 2 diabetes) were enrolled.", "These data do not support road salt as a remedy. Limitations should be noted: cost data were unavailable.", "Earlier reports described an early link between walking and pressure, but cost data were unavailable."])
 def test_sound_without_gates(text):
     assert R.examine(text)[0] == []
+
+
+BODIES = ["Lichens grew on old walls. Lichens covered old walls in the north.", "Tides moved the sand. The sand of all tides was weighed.", "Bees visited clover. Clover and bees were counted.", "Rivers froze early. Early ice on rivers was thin."]
+
+
+def found(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    return {r["doc_id"] for r in R.residue(df, "doc_id", "text", ["source"]).collect()}
+
+
+def test_unlisted_wording_is_judged_by_its_copies(spark):
+    line = "Verify you are human. Complete the check below to continue to papers.example.org."
+    assert R.examine(line)[0] == []
+    assert found(spark, [(line, "a"), (f"{line}\n\n{BODIES[0]}", "b"), (BODIES[1], "b")]) == {0, 1}
+    assert found(spark, [(line, "a"), (BODIES[0], "b"), (BODIES[1], "b")]) == set()
+
+
+@pytest.mark.parametrize("line", ["Materials and further methods", "Filler text such as lorem ipsum was shown to readers in the control condition.", "Sites that required JavaScript were rendered in a headless browser before coding."])
+def test_copies_without_the_wording_of_a_notice_are_sound(spark, line):
+    assert found(spark, [(line, "a"), *((f"{line}\n{b}", "b") for b in BODIES)]) == set()
+
+
+def test_copies_within_one_host(spark):
+    line = "Use the search box instead."
+    # elsewhere the line belongs to its texts; the host that puts it into strange ones is known by itself
+    own = f"{line} Readers had a search box and used the search box instead of lists."
+    assert found(spark, [*((f"{b} {line}", "a") for b in BODIES[:3]), *((own, "b") for _ in range(4))]) == {0, 1, 2}
+
+
+def test_shared_sentences_are_sound(spark):
+    line = "Walls and sand, clover and rivers were compared."
+    assert found(spark, [*((f"{b} {line}", "a") for b in BODIES)]) == set()
