@@ -91,19 +91,20 @@ def criteria_of(reviews: DataFrame, criteria: DataFrame, draft: str) -> DataFram
     return joined.select("review", F.coalesce("criteria", F.lit(draft)).alias("criteria"), F.when(F.col("criteria").isNull(), "working-draft").otherwise("published").alias("status"))
 
 
-def web_duplicates(df: DataFrame, by: list[str], position: str, rounds: int = 50) -> DataFrame:
+def web_duplicates(df: DataFrame, by: list[str], position: str) -> DataFrame:
     """First-wins de-duplication on either of two keys: DOI, or title and year; returns df with ``kept``.
 
     A row is dropped if an earlier kept row of its group has its DOI or its title and year; the keys of dropped rows are
     forgotten. Decided in rounds: a row all of whose earlier sharers are dropped is kept, one with an earlier kept sharer
-    is dropped. Each round settles at least the first open row of every chain; none is decided on the driver.
+    is dropped. Each round settles at least the first open row of every chain, so it ends with none open, after as many
+    rounds as the longest chain has links; none is decided on the driver.
     """
     doi = normalise_doi(F.col("doi"))
     title = F.nullif(F.lower(F.trim(F.regexp_replace("title", r"\s+", " "))), F.lit(""))
     keys = F.array_compact(F.array(F.concat(F.lit("d:"), doi), F.concat(F.lit("t:"), title, F.lit("\x1f"), F.coalesce(F.col("year").cast("string"), F.lit("None")))))
     rows = df.withColumn("_keys", keys)
     state = stage(rows.select(*by, position, F.explode_outer("_keys").alias("key")).withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(rounds):
+    while True:
         # per key the first kept and the first open row: a key of any number of rows is a pair of numbers
         first = state.filter("key is not null and (kept or kept is null)").groupBy(*by, "key").agg(F.min(F.when(F.col("kept"), F.col(position))).alias("kept_at"), F.min(F.when(F.col("kept").isNull(), F.col(position))).alias("open_at"))
         marked = state.join(first, [*by, "key"], "left").select(*by, position, F.coalesce(F.col("kept_at") < F.col(position), F.lit(False)).alias("seen"), F.coalesce(F.col("open_at") < F.col(position), F.lit(False)).alias("waits"))

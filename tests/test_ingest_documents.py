@@ -84,6 +84,13 @@ def test_web_duplicates_are_greedy(spark):
     assert {r["pos"]: r["kept"] for r in ingest.web_duplicates(df, ["g"], "pos").collect()} == greedy(rows)
 
 
+def test_web_duplicates_settle_long_chains(spark):
+    # every row shares its DOI or its title and year with the next, so that a round settles one row
+    rows = [(i, f"10.1/{(i + 1) // 2}", f"Title {i // 2}", 2020) for i in range(58)]
+    df = spark.createDataFrame([("g", *r) for r in rows], "g string, pos int, doi string, title string, year int").coalesce(1)
+    assert {r["pos"]: r["kept"] for r in ingest.web_duplicates(df, ["g"], "pos").collect()} == greedy(rows)
+
+
 def test_upsert_replaces_whole_rows(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, at int, v string")
     new = spark.createDataFrame([("b", 2, None), ("b", 3, "z"), ("c", 1, "n")], old.schema)
