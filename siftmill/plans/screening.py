@@ -142,6 +142,26 @@ def arm_disagreements(spark, d):
     return rows.select("review", "work_id", *(F.col("said")[a]["value"].alias(f"value_{i}") for i, a in enumerate(ARMS)))
 
 
+def _all_arms(spark, d):
+    """The models of all runs, by name: as many as were configured."""
+    return [r["model"] for r in b.runs(spark, d).select("model").filter("model is not null").distinct().orderBy("model").collect()]
+
+
+def arm_consensus_all(spark, d):
+    """Consensus of all models on the records that each of them saw; flagged has every model with its count."""
+    names = _all_arms(spark, d)
+    rows = agreement.arms(_arms(spark, d), names)
+    flagged = F.concat_ws(" ", *(F.concat(F.lit(f"{a}:"), F.col(f"`flagged_{a}`").cast("string")) for a in names))
+    return rows.select("review", "n_records", "n_rated_by_every_arm", flagged.alias("flagged"), "n_unanimous", "n_disagreed", "both", "either")
+
+
+def arm_disagreements_all(spark, d):
+    """Records on which any two models with verified answers differ, with the value of every model that rated them."""
+    rows = agreement.disagreements(_arms(spark, d).filter("value is not null and arm is not null"))
+    said = F.array_join(F.transform(F.map_entries("said"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["value"])), " ")
+    return rows.select("review", "work_id", F.size("said").cast("bigint").alias("n_rated"), said.alias("said"))
+
+
 def suggestion_combine(spark, d):
     """One answer per record from all models."""
     order = F.row_number().over(metrics.W.partitionBy("review", "work_id").orderBy("arm"))
@@ -274,7 +294,7 @@ def cached_prompts(spark, d):
 
 NAMES = [
     verify_span, verification_failures, verification_by_review, review_metrics, run_ranking_metrics, failure_matrix, confidence_histogram, latest_runs, latency_summary, cache_savings, override_summary,
-    override_accuracy, prevalence, year_histogram, metadata_coverage, spend_meter, rater_agreement_ac1, inter_run_ac1, confidence_ac2, model_human_pabak, wilson_recall, arm_consensus, arm_disagreements,
+    override_accuracy, prevalence, year_histogram, metadata_coverage, spend_meter, rater_agreement_ac1, inter_run_ac1, confidence_ac2, model_human_pabak, wilson_recall, arm_consensus, arm_disagreements, arm_consensus_all, arm_disagreements_all,
     suggestion_combine, reading_order, discovered_records, recover_proposals, verifier_ablation, prompt_stage_ablation, typology_failures, typology_distribution, typology_wrong, typology_sample, stratified_sample, label_aware_sample,
     screen_responses, cache_lookup, field_coverage, corpus_fingerprint, upsert_decisions, reviews_without_records, criteria_status, clean_works, web_duplicates, cached_prompts,
 ]

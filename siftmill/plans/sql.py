@@ -150,6 +150,15 @@ SQL = {
             count(CASE WHEN rated = 2 AND ev THEN 1 END) AS both, count(CASE WHEN rated = 2 AND an THEN 1 END) AS either FROM e GROUP BY review""",
     "arm_disagreements": f"""WITH {DECISIONS}, {ARMS} SELECT review, work_id, max(CASE WHEN arm = 'quillet-7b' THEN value END) AS value_0, max(CASE WHEN arm = 'tessel-large' THEN value END) AS value_1
         FROM g WHERE {TWO} GROUP BY 1, 2 HAVING count(DISTINCT value) > 1 AND count(*) = count(value)""",
+    "arm_consensus_all": f"""WITH {DECISIONS}, {ARMS}, names AS (SELECT DISTINCT model AS arm FROM screening_run WHERE model IS NOT NULL), every AS (SELECT count(*) AS k FROM names),
+        e AS (SELECT review, work_id, count(DISTINCT arm) AS seen, count(value) AS rated, bool_and(value = 'gap_stated') AS ev, bool_or(value = 'gap_stated') AS an FROM g WHERE arm IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT arm) = (SELECT k FROM every)),
+        f AS (SELECT review, arm, count(CASE WHEN value = 'gap_stated' THEN 1 END) AS n FROM g JOIN e USING (review, work_id) WHERE arm IS NOT NULL GROUP BY 1, 2),
+        l AS (SELECT review, string_agg(arm || ':' || n, ' ' ORDER BY arm) AS flagged FROM f GROUP BY 1)
+        SELECT e.review, count(*) AS n_records, count(CASE WHEN rated = k THEN 1 END) AS n_rated_by_every_arm, any_value(flagged) AS flagged,
+            count(CASE WHEN rated = k AND ev = an THEN 1 END) AS n_unanimous, count(CASE WHEN rated = k AND ev <> an THEN 1 END) AS n_disagreed,
+            count(CASE WHEN rated = k AND ev THEN 1 END) AS both, count(CASE WHEN rated = k AND an THEN 1 END) AS either FROM e JOIN l USING (review), every GROUP BY e.review""",
+    "arm_disagreements_all": f"""WITH {DECISIONS}, {ARMS} SELECT review, work_id, count(*) AS n_rated, string_agg(arm || ':' || value, ' ' ORDER BY arm) AS said
+        FROM g WHERE value IS NOT NULL AND arm IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT value) > 1""",
     "suggestion_combine": f"""WITH {DECISIONS}, {ARMS}, o AS (SELECT *, row_number() OVER (PARTITION BY review, work_id ORDER BY arm) AS k, decision = 'include' AND span_verified AS says FROM g),
         e AS (SELECT review, work_id, count(*) AS n_arms, count(CASE WHEN span_verified THEN 1 END) AS nv, count(DISTINCT CASE WHEN span_verified THEN says END) AS answers,
             coalesce(arg_min(decision, CASE WHEN says THEN k END), arg_min(decision, k)) AS decision, coalesce(arg_min(span_verified, CASE WHEN says THEN k END), arg_min(span_verified, k)) AS lead_verified,

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmill.operators import ablation, agreement, metrics, responses, sampling, typology
+from siftmill.plans import screening
 
 MATRIX = ["11.1", "2232", "3333", "3333", "2222", "1234", "4444", "1121", "2222", ".555", "..11", "..3."]
 
@@ -172,3 +173,17 @@ def test_field_answers(spark):
     assert got == {"a": ("adults", "exact_after_normalisation"), "b": (None, "not_stated_possibly_truncated"), "c": (None, "not_found")}
     cover = {r["field"]: (r["n"], r["share"]) for r in responses.field_coverage(rows, ["id"], ["a", "b", "c", "d"]).collect()}
     assert cover["d"] == (0, None) and cover["a"] == (1, 1.0)
+
+
+def test_all_models_are_arms(spark, tmp_path):
+    from datetime import datetime
+
+    models = {"r1": "m-a", "r2": "m-b", "r3": "m-c"}
+    said = {"W1": "iie", "W2": "iii", "W3": "ie"}  # W3 was not seen by the third model
+    spark.createDataFrame(list(models.items()), "run_id string, model string").write.parquet(f"{tmp_path}/screening_run.parquet")
+    rows = [(f"r{k + 1}", "rev", w, "include" if c == "i" else "exclude", True, "q", datetime(2026, 1, 1)) for w, cs in said.items() for k, c in enumerate(cs)]
+    spark.createDataFrame(rows, "run_id string, review string, work_id string, decision string, span_verified boolean, evidence_span string, created_at timestamp").write.parquet(f"{tmp_path}/screening_decision.parquet")
+    r = screening.arm_consensus_all(spark, str(tmp_path)).first()
+    assert (r["n_records"], r["n_rated_by_every_arm"], r["flagged"], r["n_unanimous"], r["n_disagreed"], r["both"], r["either"]) == (2, 2, "m-a:2 m-b:2 m-c:1", 1, 1, 1, 2)
+    got = {(r["work_id"], r["n_rated"], r["said"]) for r in screening.arm_disagreements_all(spark, str(tmp_path)).collect()}
+    assert got == {("W1", 3, "m-a:gap_stated m-b:gap_stated m-c:not_stated"), ("W3", 2, "m-a:gap_stated m-b:not_stated")}
