@@ -5,12 +5,18 @@ A text is divided into segments (lines and sentences), and three kinds of eviden
 * placeholder detectors: unfilled slots in any of the usual bracketings, values that were never filled in, filler text;
 * wording: a notice speaks to its reader about the page it stands for, in the present, and has no place in a report about
   error pages or scripts, which tells in the past who saw, used or counted them; both sides are scored;
-* host evidence, for all short segments with any wording of a notice that don't report: in how many documents, of a source
-  and of all, the segment stands, and how often it shares no terms with the address (source, kind) and the rest of the text
-  (``residue``). Without any such wording it decides nothing: headings, list items and sentences on filler or TODO comments
-  are copied into strange texts too, and are sound.
-
-Cases: null and empty texts have no residue; JSON answers, formulas, bracketed notes and code names are sound.
+* terms: which words and pairs of words the notices of these documents have more often than their other text. They are
+  learned from the segments that wording alone settles, against the counts over all texts (``Terms``), so that notices in
+  other words of the same kind are weighed too. Segments that tell of the past get nothing from their terms;
+* host evidence, for all segments with any wording or terms of a notice that don't report: in how many documents, of a
+  source and of all, the segment stands, and how often it shares no terms with the address (source, kind) and the rest of
+  the text. Alone it decides nothing: headings, list items and sentences on filler or TODO comments are copied into strange
+  texts too, and are sound.
+
+Wording, terms and host evidence add up to one score (``residue``).
+
+Cases: null and empty texts have no residue; JSON answers, formulas, bracketed notes and code names are sound; where no
+segment is settled by its wording there are no terms, and the rest decides.
 """
 
 from __future__ import annotations
@@ -18,11 +24,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from operator import or_
+from operator import eq, or_
 from re import _constants as C
 from re import _parser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,12 +80,14 @@ UNFILLED = re.compile(
 )
 FIGURES = re.compile(r"\b(?:XX+|YY+|ZZ+)\b[^.\n]{0,60}(?:\b(?:XX+|YY+|ZZ+)\b|\.X{2,})|\b(?:XX+|YY+|ZZ+)\s?%|[=<>]\s?\d*\.X{2,}|\bN ?= ?X{2,}\b")
 FILLER = re.compile(
-    r"(?i)^\W*(?:this is (?:a )?(?:placeholder|sample|dummy|example) text\b|(?:placeholder|sample|dummy|example) text (?:for|goes)\b|(?:type|insert|enter|add|write|put|paste) (?:the |your |a |some )?[\w ]{1,30} here\b"
+    r"(?i)^\W*(?:this is (?:a )?(?:placeholder|sample|dummy|example) text\b|(?:placeholder|sample|dummy|example) text (?:for|goes)\b|(?:placeholder|sample|dummy|example) (?:\w+ )?text\W*$|(?:type|insert|enter|add|write|put|paste) (?:the |your |a |some )?[\w ]{1,30} here\b"
     r"|your [\w ]{1,30} (?:goes|go|will appear|will go|belongs) here\b|(?:click|tap|double-click) (?:here )?to (?:edit|add)\b|replace this (?:text|paragraph|line)\b"
     r"|text (?:will follow|follows|to follow|coming soon)\b|(?:content )?coming soon\b|to be (?:completed|written|added|supplied)\b)"
     r"|\bwill be replaced (?:before|upon|on|after|at) (?:release|publication)\b"
     r"|^\W*(?:TODO|FIXME|TK)\s*:|\bTODO: (?:add|write|insert|fill|check|complete|update)\b|^\W*TBD\b(?:[\s.,]*TBD\b)*\W*$|\bTBD TBD\b"
 )
+#: One word over and over.
+STUTTER = re.compile(r"\b([^\W\d_]{2,})(?:[\s.,;:]+\1\b){4,}")
 REPEATED = re.compile(r"(?:x{3,}\s*){3,}|(?:asdf|qwer|blah)(?:\W+(?:asdf|qwer|blah|jkl)){2,}", re.I)
 #: Words of the usual pseudo-Latin filler.
 LATIN = frozenset(
@@ -135,8 +145,16 @@ SURE, OPEN = 3.0, 2.0
 COPIES, STRANGE = 3, 0.8
 #: One that speaks to its reader and has this score needs two.
 ADDRESSED = 1.5
-#: Longest segment that can be a notice.
+#: Length of a segment from which on its wording counts less, in proportion: long sentences say many things.
 SHORT = 300
+#: What terms add at most, and for each unit of their log-odds; least log-odds that make a segment worth a look.
+TERMS_MOST, TERMS_WEIGHT, TERMS_LEAST = 3.5, 0.3, 3.0
+#: What is added for copies in strange texts.
+COPIED = 1.0
+#: Buckets of terms.
+TERM_BITS = 20
+#: Reports tell of the past; notices, where they do, are known by their wording.
+_PAST = re.compile(r"(?i)\b(?:was|were|had|been|\w{2,}ed)\b")
 #: Letters that case-insensitive patterns take for plain ones.
 _FOLD = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"))
 
@@ -324,32 +342,60 @@ def filler(segment: str, mask: int = ALL, words: list[str] | None = None) -> str
 
 def notice_score(segment: str, mask: int = ALL) -> float:
     """Evidence of a notice less that of a report about notices."""
-    if len(segment) > SHORT:
-        return 0.0
     most, patterns = _most(mask & _automaton()[3])
     score = sum(w for w, p in patterns if p.search(segment)) if most else 0.0
+    if len(segment) > SHORT:
+        score *= SHORT / len(segment)
     return score - sum(w for w, p in REPORT if p.search(segment)) if score else score
 
 
-#: What is said of a segment besides its wording: strange to its host, speaking to its reader.
+#: What is said of a segment besides its score: strange to its host, speaking to its reader.
 IS_STRANGE, IS_ADDRESS = 1, 2
 _READER = NOTICE[4][1]
+_DIGIT_RUN = re.compile(r"\d+")
+
+
+def skeleton(segment: str) -> str:
+    """What copies of a segment have in common: its words in lower case, numbers as one mark."""
+    return _DIGIT_RUN.sub("#", " ".join(segment.split()))
+
+
+def fingerprint(segment: str) -> int:
+    return xxhash.xxh64_intdigest(skeleton(segment)) - (1 << 63)
+
+
+def is_json(text: str) -> bool:
+    return text.lstrip()[:1] == "{" and '":' in text
+
+
+def _shared(said: list[list[str]], address: str) -> set[str]:
+    """Words that the address or several segments have."""
+    seen, shared = set(), set(_WORD.findall(address.lower()))
+    for words in said:
+        terms = set(words)
+        shared |= terms & seen
+        seen |= terms
+    return shared
 
 
-def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[list[str], dict[int, int]]:
-    """(kinds of residue found, the bits above by fingerprint of the short segments whose wording says something for a notice).
+def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[list[str], dict[int, tuple[float, int]], list[str]]:
+    """(kinds of residue found; (score, bits above) by fingerprint of the segments whose wording says something for a
+    notice; skeletons of those that it settles).
 
     gated: patterns are only tried where a text that each of their matches holds was seen; the outcome is the same.
     """
     if not text:
-        return [], {}
-    found, left, low = [], {}, fold(text)
+        return [], {}, []
+    found, left, sure, low = [], {}, [], fold(text)
     places = spans(text)
     masks = possible(low, [b for _, b in places] or [len(text)]) if gated else [ALL] * len(places)
     kind = placeholder(text, reduce(or_, masks, 0))
     if kind:
         found.append(kind)
-    warn = not (text.lstrip()[:1] == "{" and '":' in text)
+    words = low.split()
+    if sum(map(eq, words, words[1:])) >= 3 and STUTTER.search(low):  # marks may stand between some of them
+        found.append("repeated word")
+    warn = not is_json(text)
     scores: list[float] = []
     latin = not gated or len(LATIN.intersection(_WORD.findall(low))) >= 3
     for (a, b), mask in zip(places, masks):
@@ -357,62 +403,186 @@ def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[li
             found.append(kind)
         scores.append(notice_score(text[a:b], mask) if warn else 0.0)
     if not any(score > 0 for score in scores):
-        return found, left
+        return found, left, sure
     said = [_WORD.findall(low[a:b]) for a, b in places]
-    seen, shared = set(), set(_WORD.findall(address.lower()))
-    for words in said:
-        terms = set(words)
-        shared |= terms & seen
-        seen |= terms
+    shared = _shared(said, address)
     for i, ((a, b), score) in enumerate(zip(places, scores)):
         if score <= 0:
             continue
-        sure = score + 1.0 if score >= OPEN and i + 1 < len(scores) and scores[i + 1] >= OPEN else score  # notices come in several sentences
-        if sure >= SURE:
+        total = score + 1.0 if score >= OPEN and i + 1 < len(scores) and scores[i + 1] >= OPEN else score  # notices come in several sentences
+        if total >= SURE:
             found.append("notice")
+            sure.append(skeleton(low[a:b]))
         strange = not any(len(w) > 3 and w in shared for w in said[i])
         bits = strange * IS_STRANGE + bool(score >= ADDRESSED and _READER.search(text[a:b])) * IS_ADDRESS
-        skeleton = re.sub(r"\d+", "#", " ".join(low[a:b].split()))
-        h = xxhash.xxh64_intdigest(skeleton) - (1 << 63)
-        left[h] = bits & left.get(h, bits)
-    return found, left
+        h = fingerprint(low[a:b])
+        was = left.get(h, (score, bits))
+        left[h] = (max(score, was[0]), bits & was[1])
+    return found, left, sure
+
+
+# Terms: which words do the notices of these documents have?
+
+_TERM = re.compile(r"[^\W\d_]+|\d+")
+_codes: dict[str, int] = {}
+_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def terms_of(segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets of all words, buckets of the pairs that begin with them, which of these lie within a segment), and where the
+    segments begin is told by the pairs that don't; segments in lower case, each with a word."""
+    codes, sizes = [], []
+    for segment in segments:
+        words = _TERM.findall(segment)
+        sizes.append(len(words))
+        for w in words:
+            code = _codes.get(w)
+            if code is None:
+                if len(_codes) > 500_000:
+                    _codes.clear()
+                code = _codes[w] = xxhash.xxh64_intdigest("#" if w[0].isdigit() else w)
+            codes.append(code)
+    c = np.array(codes, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        pair = c * _K[0] + np.roll(c, -1) * _K[1]
+        pair = (pair ^ (pair >> np.uint64(31))) * _K[1]
+    inside = np.ones(len(c), dtype=bool)
+    inside[np.cumsum(sizes) - 1] = False
+    shift = np.uint64(64 - TERM_BITS)
+    return (c >> shift).astype(np.int64), (pair >> shift).astype(np.int64), inside
+
+
+class Terms:
+    """Log-odds of words and pairs of words in notices against all texts, in a table of fixed size."""
+
+    def __init__(self, notices: np.ndarray, n_notices: int, texts: np.ndarray, n_segments: int):
+        odds = np.log((notices + 0.05) / (n_notices + 1.0)) - np.log((texts + 0.5) / (n_segments + 1.0))
+        self.odds = np.where(notices + texts > 0, odds, 0.0).astype(np.float32)
+
+    def of(self, segments: list[str]) -> np.ndarray:
+        """Log-odds of each segment, over the root of its number of terms."""
+        words, pairs, inside = terms_of(segments)
+        each = self.odds[words] + np.where(inside, self.odds[pairs], 0.0)
+        begins = np.concatenate([[0], np.flatnonzero(~inside)[:-1] + 1])
+        sizes = np.diff(np.concatenate([begins, [len(words)]]))
+        return np.add.reduceat(each, begins) / np.sqrt(2 * sizes - 1)
+
+
+def _with_words(segments: list[str]) -> list[str]:
+    return [s for s in segments if _TERM.search(s)]
+
+
+def _count(column: str):
+    """Arrow function that counts the terms and the segments of texts, in buckets; bucket -1 holds the segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, total = np.zeros(1 << TERM_BITS, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                parts = _with_words([text] if column == "notice" else segments(fold(text)))
+                if not parts:
+                    continue
+                total += len(parts)
+                words, pairs, inside = terms_of(parts)
+                np.add.at(counts, words, 1)
+                np.add.at(counts, pairs[inside], 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], total))], names=["at", "n"])
+
+    return run
+
+
+def _table(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """Counts of terms in a table of fixed size, which is all that reaches the driver, and the number of segments."""
+    rows = df.select(column).filter(F.length(column) > 0).mapInArrow(_count(column), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
+    counts = np.zeros(1 << TERM_BITS, np.float64)
+    counts[at[at >= 0]] = n[at >= 0]
+    return counts, int(n[at < 0].sum())
+
+
+def train_terms(notices: DataFrame, df: DataFrame, text: str) -> Terms | None:
+    """The terms of the distinct notices (notice) against all texts of df; None without notices."""
+    known, n = _table(notices.select("notice").distinct(), "notice")
+    return Terms(known, n, *_table(df, text)) if n else None
+
+
+def weigh(text: str | None, address: str, terms: Terms) -> dict[int, tuple[float, int]]:
+    """(what its terms add, bits) by fingerprint of the segments whose terms say something for a notice."""
+    if not text or is_json(text):
+        return {}
+    low = fold(text)
+    places = [(a, b) for a, b in spans(text) if _TERM.search(low, a, b)]
+    if not places:
+        return {}
+    odds = terms.of([low[a:b] for a, b in places])
+    at = np.flatnonzero(odds >= TERMS_LEAST)
+    found: dict[int, tuple[float, int]] = {}
+    if not len(at):
+        return found
+    said = [_WORD.findall(low[a:b]) for a, b in places]
+    shared = _shared(said, address)
+    for i in at.tolist():
+        a, b = places[i]
+        segment = text[a:b]
+        if _PAST.search(segment) or any(p.search(segment) for _, p in REPORT):
+            continue
+        strange = not any(len(w) > 3 and w in shared for w in said[i])
+        found[fingerprint(low[a:b])] = (min(TERMS_MOST, TERMS_WEIGHT * float(odds[i])), strange * IS_STRANGE)
+    return found
 
 
-RESULT = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("said", T.ArrayType(T.IntegerType()))])
+RESULT = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("score", T.ArrayType(T.FloatType())), T.StructField("said", T.ArrayType(T.IntegerType())), T.StructField("sure", T.ArrayType(T.StringType()))])
+WEIGHED = T.StructType(RESULT.fields[1:4])
 
 
 def residue(df: DataFrame, key: str, text: str, slug: list[str]) -> DataFrame:
     """key and kinds (sorted, comma-separated) of the documents with residue; slug names the columns of their address, the
     first of which is the host.
 
-    A segment that wording alone doesn't settle is a notice by host evidence if
+    A segment is a notice if its wording reaches SURE; or if host evidence supports what wording and terms leave open:
 
-    * COPIES documents of one host or of all hold it, STRANGE of them as a stranger to their text;
-    * or it speaks to its reader, and two documents or more hold it, all as a stranger.
+    * wording, terms and COPIED, where COPIES documents of one host or of all hold it, STRANGE of them as a stranger to
+      their text, reach SURE; with any wording at all such copies are enough;
+    * it speaks to its reader, and two documents or more hold it, all as a stranger;
+    * wording and terms reach SURE, and it has some of either.
     """
+    address = F.translate(F.concat_ws(" ", *slug), "_", " ")
+    host = F.coalesce(F.col(slug[0]).cast("string"), F.lit("")).alias("host")
 
     @F.pandas_udf(RESULT)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, titles in batches:
             rows = [examine(t, s or "") for t, s in zip(texts, titles)]
-            yield pd.DataFrame({"kinds": [sorted(set(k)) for k, _ in rows], "h": [list(left) for _, left in rows], "said": [list(left.values()) for _, left in rows]})
-
-    looked = (
-        df.filter(F.length(text) > 0)
-        .select(key, F.coalesce(F.col(slug[0]).cast("string"), F.lit("")).alias("host"), run(F.col(text), F.translate(F.concat_ws(" ", *slug), "_", " ")).alias("r"))
-        .select(key, "host", "r.kinds", "r.h", "r.said")
-        .filter((F.size("kinds") > 0) | (F.size("h") > 0))
-    )
-    looked = stage(looked)
+            yield pd.DataFrame({"kinds": [sorted(set(k)) for k, _, _ in rows], "h": [list(left) for _, left, _ in rows], "score": [[v[0] for v in left.values()] for _, left, _ in rows], "said": [[v[1] for v in left.values()] for _, left, _ in rows], "sure": [s for _, _, s in rows]})
+
+    whole = df.filter(F.length(text) > 0)
+    looked = stage(whole.select(key, host, look(F.col(text), address).alias("r")).select(key, "host", "r.*").filter((F.size("kinds") > 0) | (F.size("h") > 0)))
     sure = looked.filter(F.size("kinds") > 0).select(key, F.array_join("kinds", ", ").alias("kinds"))
-    held = looked.select(key, F.xxhash64("host").alias("host"), F.explode(F.arrays_zip("h", "said")).alias("s")).select(key, "host", "s.h", "s.said")
+    flat = lambda rows: rows.select(key, F.xxhash64("host").alias("host"), F.explode(F.arrays_zip("h", "score", "said")).alias("s")).select(key, "host", "s.*")
+    held = flat(looked).withColumn("terms", F.lit(0.0).cast("float"))
+    model = train_terms(looked.select(F.explode("sure").alias("notice")), whole, text)
+    if model is not None:
+        shared = df.sparkSession.sparkContext.broadcast(model)
+
+        @F.pandas_udf(WEIGHED)
+        def weighed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for texts, titles in batches:
+                rows = [weigh(t, s or "", shared.value) for t, s in zip(texts, titles)]
+                yield pd.DataFrame({"h": [list(r) for r in rows], "score": [[v[0] for v in r.values()] for r in rows], "said": [[v[1] for v in r.values()] for r in rows]})
+
+        more = whole.select(key, host, weighed(F.col(text), address).alias("r")).select(key, "host", "r.*").filter(F.size("h") > 0)
+        held = held.unionByName(flat(more).select(key, "host", "h", F.lit(0.0).cast("float").alias("score"), "said", F.col("score").alias("terms")))
     bit = lambda b: F.col("said").bitwiseAND(b) > 0
     # a document counts once however often it was delivered; partial sums keep hot segments small
-    docs = held.groupBy("host", "h", key).agg(F.min(bit(IS_STRANGE)).alias("strange"), F.max(bit(IS_ADDRESS)).alias("reader"))
-    by_host = docs.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum(F.col("strange").cast("long")).alias("strange"), F.max("reader").alias("reader"))
+    docs = stage(held.groupBy("host", "h", key).agg(F.max("score").alias("score"), F.max("terms").alias("terms"), F.min(bit(IS_STRANGE)).alias("strange"), F.max(bit(IS_ADDRESS)).alias("reader")))
+    parts = [F.max("score").alias("score"), F.max("terms").alias("terms"), F.max("reader").alias("reader")]
+    by_host = docs.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum(F.col("strange").cast("long")).alias("strange"), *parts)
     copied = (F.col("n") >= COPIES) & (F.col("strange") >= STRANGE * F.col("n"))
-    by_host = stage(by_host.withColumn("known", copied))
-    in_all = by_host.groupBy("h").agg(F.sum("n").alias("n"), F.sum("strange").alias("strange"), F.max("reader").alias("reader"))
-    everywhere = in_all.filter(copied | (F.col("reader") & (F.col("n") >= 2) & (F.col("strange") == F.col("n")))).select("h")
-    hosted = held.join(everywhere, "h", "left_semi").select(key).unionByName(held.join(by_host.filter("known").select("host", "h"), ["host", "h"], "left_semi").select(key))
+    open_ = F.col("score") + F.col("terms")
+    supported = copied & ((F.col("score") > 0) | (open_ + COPIED >= SURE))
+    by_host = stage(by_host.withColumn("known", supported))
+    in_all = by_host.groupBy("h").agg(F.sum("n").alias("n"), F.sum("strange").alias("strange"), *parts)
+    everywhere = in_all.filter(supported | (F.col("reader") & (F.col("n") >= 2) & (F.col("strange") == F.col("n"))) | (open_ >= SURE)).select("h")
+    hosted = docs.join(everywhere, "h", "left_semi").select(key).unionByName(docs.join(by_host.filter("known").select("host", "h"), ["host", "h"], "left_semi").select(key))
     return sure.unionByName(hosted.select(key, F.lit("copied notice").alias("kinds"))).groupBy(key).agg(F.max("kinds").alias("kinds"))

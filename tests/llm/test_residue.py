@@ -110,7 +110,7 @@ LOREM = (
 
 @pytest.mark.parametrize(
     "text",
-    [*R.segments(LOREM), "503 Service Unavailable", "Service Temporarily Unavailable", "This article is not available to you.", "Please wait while we verify that you are human.", "To be completed.", "To be written.", "Text to follow.", "Tap to edit."],
+    [*R.segments(LOREM), "503 Service Unavailable", "Service Temporarily Unavailable", "This article is not available to you.", "Please wait while we verify that you are human.", "test test test test test test", "Sample abstract text.", "We are sorry, but we could not load the article that you asked for at this moment, " + "because the connection between this reader and the archive that holds it was lost while the page was being put together, " * 2 + "so please check your network and reload this page.", "To be completed.", "To be written.", "Text to follow.", "Tap to edit."],
 )
 def test_nothing_is_dropped_unseen(text):
     assert R.examine(text)[0] and R.examine(f"{SOUND} {text}")[0]
@@ -141,6 +141,18 @@ def test_copies_without_the_wording_of_a_notice_are_sound(spark, line):
     assert found(spark, [(line, "a"), *((f"{line}\n{b}", "b") for b in BODIES)]) == set()
 
 
+def test_terms_are_learned_from_what_wording_settles(spark):
+    known = ["No record matches this link. Please reload the page.", "This page is not available. Please check the link and reload the page.", "Please reload the page or check the link of this record."]
+    rows = [(k, "a") for k in known] + [(b, "b") for b in BODIES * 3]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    notices = spark.createDataFrame([(R.skeleton(R.fold(s)),) for k in known for s in R.segments(k)], "notice string")
+    terms = R.train_terms(notices, df, "text")
+    odds = terms.of(["please reload this page", "tides moved the sand"])
+    assert odds[0] > R.TERMS_LEAST > 0 > odds[1]
+    assert R.weigh("Check the link and reload the page.", "", terms) and not R.weigh("Pages were reloaded and links checked.", "", terms)
+    assert R.train_terms(notices.limit(0), df, "text") is None
+
+
 def test_copies_within_one_host(spark):
     line = "Use the search box instead."
     # elsewhere the line belongs to its texts; the host that puts it into strange ones is known by itself
