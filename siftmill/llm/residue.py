@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftmill.session import stage
 
@@ -125,7 +126,7 @@ NOTICE = [
         ),
     ),
     (2.5, re.compile(r"(?i)\b(?:timed out|time-?out|(?:page|file|article|resource|document) (?:was )?not found|internal server error|bad gateway|gateway timeout|service unavailable|too many requests|access denied|forbidden|session has expired|has expired|unusual traffic|down for maintenance|technical fault|technical difficult\w+|stays? blank|introuvable|nicht gefunden|no encontrad[ao]|não encontrad[ao]|fatal error|stack trace|on line \d+)\b")),
-    (2.0, re.compile(r"(?i)\b(?:error|erreur|fehler|status|http|code)\s*:?\s*[45]\d\d\b|\b[45]\d\d\s*[:|–-]|^\W*[45]\d\d\W")),
+    (2.0, re.compile(r"(?i)\b(?:error|erreur|fehler|status|http|code)\s*:?\s*[45][0-9][0-9]\b|\b[45][0-9][0-9]\s*[:|–-]|^\W*[45][0-9][0-9]\W")),
     (2.5, re.compile(r"(?i)^\W*(?:request id|content-type|http/\d|x-[a-z-]+:|server:|ray id|incident id|reference #|error code)\b|\.(?:php|jsp|aspx|cgi)\b")),
     (2.0, re.compile(r"(?i)\bif (?:nothing happens|this persists|the problem persists|you (?:see|read|are seeing|believe|think))\b|\bblocking is off\b|\bad blocker\b|\b(?:switched|turned) (?:on|off)\b")),
     (6.0, re.compile(r"^\s*File \"[^\"]+\", line \d+|Traceback \(most recent call last\)|^\s*at [\w.$]+\([\w.]+:\d+\)|^\W*[A-Za-z.]*(?:Error|Exception): |\bSQLSTATE\b|\bstack trace:|^\s*Warning: \w+\(\)|^\s*Notice: Undefined ")),
@@ -238,33 +239,47 @@ def required(items) -> set[str] | None:
     return max(options, key=lambda x: (min(map(len, x)), -len(x))) if options else None
 
 
+class Bits:
+    """A bit for every pattern, and the automaton of the texts that patterns require."""
+
+    def __init__(self) -> None:
+        import ahocorasick
+
+        self.slots = [1 << i for i in range(len(SLOTS))]
+        whole = [_NUMBERED, UNRESOLVED, CAPITALS, UNFILLED, FIGURES]
+        patterns = [*(p for _, p in SLOTS), *whole, FILLER, REPEATED, *(p for _, p in NOTICE)]
+        at = {id(p): 1 << i for i, p in enumerate(patterns)}  # a pattern's hash is slow
+        self.of = lambda pattern: at[id(pattern)]
+        self.any_slot = sum(self.slots)
+        self.whole = [at[id(p)] for p in whole]
+        self.filler, self.repeated = at[id(FILLER)], at[id(REPEATED)]
+        self.notice = [at[id(p)] for _, p in NOTICE]
+        self.any_notice = sum(self.notice)
+        texts: dict[str, int] = {}
+        self.always = 0
+        for p in patterns:
+            needed = required(_parser.parse(p.pattern, p.flags))
+            if needed is None:
+                self.always |= at[id(p)]
+            for c in needed or ():
+                texts[c] = texts.get(c, 0) | at[id(p)]
+        self.found = ahocorasick.Automaton()
+        for c, bit in texts.items():
+            self.found.add_word(c, bit)
+        self.found.make_automaton()
+
+
 @lru_cache(maxsize=1)
-def _automaton():
-    """(automaton of the texts that patterns require, with the bits of the patterns; bit of each pattern; bits of those that require nothing; bits of notices)."""
-    import ahocorasick
-
-    bits: dict[str, int] = {}
-    own, always = {}, 0
-    for i, pattern in enumerate([*(p for _, p in SLOTS), _NUMBERED, UNRESOLVED, CAPITALS, UNFILLED, FIGURES, FILLER, REPEATED, *(p for _, p in NOTICE)]):
-        own[pattern] = 1 << i
-        needed = required(_parser.parse(pattern.pattern, pattern.flags))
-        if needed is None:
-            always |= 1 << i
-        for c in needed or ():
-            bits[c] = bits.get(c, 0) | 1 << i
-    found = ahocorasick.Automaton()
-    for c, bit in bits.items():
-        found.add_word(c, bit)
-    found.make_automaton()
-    return found, own, always, sum(own[p] for _, p in NOTICE)
+def pattern_bits() -> Bits:
+    return Bits()
 
 
 def possible(low: str, ends: list[int]) -> list[int]:
     """Bits of the patterns that can match in each part of a folded text, in one pass; ends: where the parts end."""
-    found, _, always, _ = _automaton()
-    masks, k = [always] * len(ends), 0
+    known = pattern_bits()
+    masks, k = [known.always] * len(ends), 0
     last = len(ends) - 1
-    for at, bit in found.iter(low):
+    for at, bit in known.found.iter(low):
         while k < last and at >= ends[k]:
             k += 1
         masks[k] |= bit
@@ -278,8 +293,7 @@ ALL = -1
 @lru_cache(maxsize=100_000)
 def _most(mask: int) -> tuple[float, tuple[tuple[float, re.Pattern], ...]]:
     """(highest score of a notice, patterns of notices with their weights) that bits allow."""
-    own = _automaton()[1]
-    left = tuple((w, p) for w, p in NOTICE if mask & own[p])
+    left = tuple((w, p) for (w, p), bit in zip(NOTICE, pattern_bits().notice) if mask & bit)
     return sum(w for w, _ in left), left
 
 
@@ -297,11 +311,16 @@ def segments(text: str) -> list[str]:
     return [text[a:b] for a, b in spans(text)]
 
 
-def placeholder(text: str, mask: int = ALL) -> str | None:
-    """The kind of unfilled slot that a whole text holds, if any; mask: the patterns that can match."""
-    own = _automaton()[1]
-    for name, pattern in SLOTS if mask & (1 << len(SLOTS)) - 1 else ():
-        if mask & own[pattern]:
+#: No match of the patterns of unfilled values and figures is longer.
+_REACH = 120
+
+
+def placeholder(text: str, masks: list[int] | None = None, places: list[tuple[int, int]] | None = None) -> str | None:
+    """The kind of unfilled slot that a whole text holds, if any; masks: the patterns that can match in its parts."""
+    known = pattern_bits()
+    mask = ALL if masks is None else reduce(or_, masks, 0)
+    for (name, pattern), bit in zip(SLOTS, known.slots) if mask & known.any_slot else ():
+        if mask & bit:
             for m in pattern.finditer(text):
                 if name == "bare slots" and ('"' in m.group() or re.search(r"(?i)\b(?:slots?|variable|field|engine|syntax)\b", text[max(0, m.start() - 40) : m.end() + 40])):
                     continue
@@ -321,18 +340,22 @@ def placeholder(text: str, mask: int = ALL) -> str | None:
         names.add(name)
         if len(names) > 1 and before not in (":", "<"):
             return "marked names"
-    for name, pattern in (("numbered slots", _NUMBERED), ("unresolved reference", UNRESOLVED), ("note in capitals", CAPITALS), ("unfilled value", UNFILLED), ("unfilled figure", FIGURES)):
-        if mask & own[pattern] and pattern.search(text):
+    for name, pattern, bit in zip(("numbered slots", "unresolved reference", "note in capitals", "unfilled value", "unfilled figure"), (_NUMBERED, UNRESOLVED, CAPITALS, UNFILLED, FIGURES), known.whole):
+        if not mask & bit:
+            continue
+        if masks is None or pattern not in (UNFILLED, FIGURES):
+            if pattern.search(text):
+                return name
+        elif any(m & bit and pattern.search(text, max(0, a - _REACH), b + _REACH) for (a, b), m in zip(places, masks)):
             return name
     return None
 
 
 def filler(segment: str, mask: int = ALL, words: list[str] | None = None) -> str | None:
     """The kind of filler that a segment is, if any; words: its words in lower case, or none if they are no pseudo-Latin."""
-    own = _automaton()[1]
-    if mask & own[FILLER] and FILLER.search(segment):
+    if mask & pattern_bits().filler and FILLER.search(segment):
         return "filler"
-    if mask & own[REPEATED] and REPEATED.search(segment):
+    if mask & pattern_bits().repeated and REPEATED.search(segment):
         return "repeated filler"
     words = _WORD.findall(segment.lower()) if words is None else words
     if len(LATIN.intersection(words)) >= 3 and sum(w in LATIN for w in words) >= 0.75 * len(words):
@@ -342,7 +365,7 @@ def filler(segment: str, mask: int = ALL, words: list[str] | None = None) -> str
 
 def notice_score(segment: str, mask: int = ALL) -> float:
     """Evidence of a notice less that of a report about notices."""
-    most, patterns = _most(mask & _automaton()[3])
+    most, patterns = _most(mask & pattern_bits().any_notice)
     score = sum(w for w, p in patterns if p.search(segment)) if most else 0.0
     if len(segment) > SHORT:
         score *= SHORT / len(segment)
@@ -378,18 +401,19 @@ def _shared(said: list[list[str]], address: str) -> set[str]:
     return shared
 
 
-def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[list[str], dict[int, tuple[float, int]], list[str]]:
+def examine(text: str | None, address: str = "", gated: bool = True, tokens: list[str] | None = None) -> tuple[list[str], dict[int, tuple[float, int]], list[str]]:
     """(kinds of residue found; (score, bits above) by fingerprint of the segments whose wording says something for a
     notice; skeletons of those that it settles).
 
     gated: patterns are only tried where a text that each of their matches holds was seen; the outcome is the same.
+    tokens: what _TERM finds in the folded text, if that is known.
     """
     if not text:
         return [], {}, []
     found, left, sure, low = [], {}, [], fold(text)
     places = spans(text)
     masks = possible(low, [b for _, b in places] or [len(text)]) if gated else [ALL] * len(places)
-    kind = placeholder(text, reduce(or_, masks, 0))
+    kind = placeholder(text, masks if gated else None, places)
     if kind:
         found.append(kind)
     words = low.split()
@@ -397,11 +421,12 @@ def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[li
         found.append("repeated word")
     warn = not is_json(text)
     scores: list[float] = []
-    latin = not gated or len(LATIN.intersection(_WORD.findall(low))) >= 3
+    latin = not gated or len(LATIN.intersection(_TERM.findall(low) if tokens is None else tokens)) >= 3
+    fillers, notices = pattern_bits().filler | pattern_bits().repeated, pattern_bits().any_notice if warn else 0
     for (a, b), mask in zip(places, masks):
-        if kind := filler(text[a:b], mask, None if latin else []):
+        if (latin or mask & fillers) and (kind := filler(text[a:b], mask, None if latin else [])):
             found.append(kind)
-        scores.append(notice_score(text[a:b], mask) if warn else 0.0)
+        scores.append(notice_score(text[a:b], mask) if mask & notices else 0.0)
     if not any(score > 0 for score in scores):
         return found, left, sure
     said = [_WORD.findall(low[a:b]) for a, b in places]
@@ -423,33 +448,39 @@ def examine(text: str | None, address: str = "", gated: bool = True) -> tuple[li
 
 # Terms: which words do the notices of these documents have?
 
-_TERM = re.compile(r"[^\W\d_]+|\d+")
-_codes: dict[str, int] = {}
+_TERM = re.compile(r"[^\W\d_]+|\d+|[.!?][\"”’»)\]]*\s|\n")
+_HAS_TERM = re.compile(r"[^\W_]")
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+_MOST_CODES = 1_000_000
+
+
+class _Codes(dict):
+    """A number for every word; 0 for the end of a segment."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MOST_CODES:
+            self.clear()
+        first = word[0]
+        self[word] = code = 0 if first in ".!?\n" else xxhash.xxh64_intdigest("#" if first.isdigit() else word) | 1
+        return code
+
 
+_codes = _Codes()
 
-def terms_of(segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets of all words, buckets of the pairs that begin with them, which of these lie within a segment), and where the
-    segments begin is told by the pairs that don't; segments in lower case, each with a word."""
-    codes, sizes = [], []
-    for segment in segments:
-        words = _TERM.findall(segment)
-        sizes.append(len(words))
-        for w in words:
-            code = _codes.get(w)
-            if code is None:
-                if len(_codes) > 500_000:
-                    _codes.clear()
-                code = _codes[w] = xxhash.xxh64_intdigest("#" if w[0].isdigit() else w)
-            codes.append(code)
-    c = np.array(codes, dtype=np.uint64)
+
+def terms_of(low: str, tokens: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text in lower case: the buckets of its words, those of the pairs that begin with them, and whether a pair lies
+    within a segment; a segment ends with each pair that doesn't."""
+    tokens = _TERM.findall(low) if tokens is None else tokens
+    codes = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
+    words = codes != 0
+    after = np.append(codes[1:], np.uint64(0))
+    c, n = codes[words], after[words]
     with np.errstate(over="ignore"):
-        pair = c * _K[0] + np.roll(c, -1) * _K[1]
+        pair = c * _K[0] + n * _K[1]
         pair = (pair ^ (pair >> np.uint64(31))) * _K[1]
-    inside = np.ones(len(c), dtype=bool)
-    inside[np.cumsum(sizes) - 1] = False
     shift = np.uint64(64 - TERM_BITS)
-    return (c >> shift).astype(np.int64), (pair >> shift).astype(np.int64), inside
+    return (c >> shift).astype(np.int64), (pair >> shift).astype(np.int64), n != 0
 
 
 class Terms:
@@ -459,52 +490,60 @@ class Terms:
         odds = np.log((notices + 0.05) / (n_notices + 1.0)) - np.log((texts + 0.5) / (n_segments + 1.0))
         self.odds = np.where(notices + texts > 0, odds, 0.0).astype(np.float32)
 
-    def of(self, segments: list[str]) -> np.ndarray:
-        """Log-odds of each segment, over the root of its number of terms."""
-        words, pairs, inside = terms_of(segments)
+    def of(self, low: str) -> np.ndarray:
+        """Log-odds of each segment with words, over the root of its number of terms."""
+        words, pairs, inside = terms_of(low)
+        if not len(words):
+            return np.empty(0)
         each = self.odds[words] + np.where(inside, self.odds[pairs], 0.0)
-        begins = np.concatenate([[0], np.flatnonzero(~inside)[:-1] + 1])
-        sizes = np.diff(np.concatenate([begins, [len(words)]]))
-        return np.add.reduceat(each, begins) / np.sqrt(2 * sizes - 1)
+        ends = np.flatnonzero(~inside) + 1
+        begins = np.concatenate([[0], ends[:-1]])
+        return np.add.reduceat(each, begins) / np.sqrt(2 * (ends - begins) - 1)
 
 
-def _with_words(segments: list[str]) -> list[str]:
-    return [s for s in segments if _TERM.search(s)]
+class Counts:
+    """Counts of terms in buckets, and of segments."""
 
+    def __init__(self) -> None:
+        self.n, self.segments, self.open = np.zeros(1 << TERM_BITS, np.int64), 0, []
 
-def _count(column: str):
-    """Arrow function that counts the terms and the segments of texts, in buckets; bucket -1 holds the segments."""
+    def add(self, low: str, tokens: list[str] | None = None) -> None:
+        words, pairs, inside = terms_of(low, tokens)
+        self.segments += len(inside) - int(inside.sum())
+        self.open += [words, pairs[inside]]
+        if len(self.open) > 2_000:
+            self.settle()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(1 << TERM_BITS, np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                parts = _with_words([text] if column == "notice" else segments(fold(text)))
-                if not parts:
-                    continue
-                total += len(parts)
-                words, pairs, inside = terms_of(parts)
-                np.add.at(counts, words, 1)
-                np.add.at(counts, pairs[inside], 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], total))], names=["at", "n"])
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, count) of all that was added; bucket -1 holds the segments."""
+        if self.open:
+            self.n += np.bincount(np.concatenate(self.open), minlength=1 << TERM_BITS)
+            self.open = []
+        at = np.flatnonzero(self.n)
+        return np.append(at, -1).astype(np.int32), np.append(self.n[at], self.segments)
 
-    return run
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = Counts()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            counts.add(fold(text))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in counts.settle()], names=["at", "n"])
 
-def _table(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """Counts of terms in a table of fixed size, which is all that reaches the driver, and the number of segments."""
-    rows = df.select(column).filter(F.length(column) > 0).mapInArrow(_count(column), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+
+def _table(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """Counts (at, n) in a table of fixed size, which is all that reaches the driver, and the number of segments."""
+    rows = counts.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = rows.column("at").to_numpy(), rows.column("n").to_numpy()
-    counts = np.zeros(1 << TERM_BITS, np.float64)
-    counts[at[at >= 0]] = n[at >= 0]
-    return counts, int(n[at < 0].sum())
+    table = np.zeros(1 << TERM_BITS, np.float64)
+    table[at[at >= 0]] = n[at >= 0]
+    return table, int(n[at < 0].sum())
 
 
-def train_terms(notices: DataFrame, df: DataFrame, text: str) -> Terms | None:
-    """The terms of the distinct notices (notice) against all texts of df; None without notices."""
-    known, n = _table(notices.select("notice").distinct(), "notice")
-    return Terms(known, n, *_table(df, text)) if n else None
+def train_terms(notices: DataFrame, texts: DataFrame) -> Terms | None:
+    """The terms of the distinct notices (notice) against the counts (at, n) of all texts; None without notices."""
+    known, n = _table(notices.select("notice").distinct().mapInArrow(_count, "at int, n bigint"))
+    return Terms(known, n, *_table(texts)) if n else None
 
 
 def weigh(text: str | None, address: str, terms: Terms) -> dict[int, tuple[float, int]]:
@@ -512,14 +551,12 @@ def weigh(text: str | None, address: str, terms: Terms) -> dict[int, tuple[float
     if not text or is_json(text):
         return {}
     low = fold(text)
-    places = [(a, b) for a, b in spans(text) if _TERM.search(low, a, b)]
-    if not places:
-        return {}
-    odds = terms.of([low[a:b] for a, b in places])
+    odds = terms.of(low)
     at = np.flatnonzero(odds >= TERMS_LEAST)
     found: dict[int, tuple[float, int]] = {}
     if not len(at):
         return found
+    places = [(a, b) for a, b in spans(low) if _HAS_TERM.search(low, a, b)]
     said = [_WORD.findall(low[a:b]) for a, b in places]
     shared = _shared(said, address)
     for i in at.tolist():
@@ -532,8 +569,55 @@ def weigh(text: str | None, address: str, terms: Terms) -> dict[int, tuple[float
     return found
 
 
-RESULT = T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("score", T.ArrayType(T.FloatType())), T.StructField("said", T.ArrayType(T.IntegerType())), T.StructField("sure", T.ArrayType(T.StringType()))])
-WEIGHED = T.StructType(RESULT.fields[1:4])
+LEFT = "host string, h array<bigint>, score array<float>, said array<int>"
+LOOKED = f"{LEFT}, kinds array<string>, sure array<string>, at array<int>, n array<bigint>"
+
+
+def _left(keys: list, hosts: list, rows: list[dict[int, tuple[float, int]]]) -> dict[str, list]:
+    return {"key": keys, "host": hosts, "h": [list(r) for r in rows], "score": [[v[0] for v in r.values()] for r in rows], "said": [[v[1] for v in r.values()] for r in rows]}
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(i).to_pylist() for i in range(4)))
+
+
+def _looker(schema: pa.Schema):
+    """Arrow function: each document with residue or wording of a notice, and, in a row of its own, the counts of terms of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        empty = {"kinds": [], "sure": [], "at": None, "n": None}
+        for batch in batches:
+            keys, hosts, lefts, more = [], [], [], {name: [] for name in empty}
+            for key, host, address, text in _rows(batch):
+                low = fold(text)
+                tokens = _TERM.findall(low)
+                counts.add(low, tokens)
+                kinds, left, sure = examine(text, address, tokens=tokens)
+                if kinds or left:
+                    keys.append(key)
+                    hosts.append(host)
+                    lefts.append(left)
+                    for name, value in (empty | {"kinds": sorted(set(kinds)), "sure": sure}).items():
+                        more[name].append(value)
+            if keys:
+                yield pa.RecordBatch.from_pydict(_left(keys, hosts, lefts) | more, schema=schema)
+        at, n = counts.settle()
+        yield pa.RecordBatch.from_pydict(_left([None], [None], [{}]) | {"kinds": [[]], "sure": [[]], "at": [at], "n": [n]}, schema=schema)
+
+    return run
+
+
+def _weigher(schema: pa.Schema, model):
+    """Arrow function: each document whose terms say something for a notice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(key, host, left) for key, host, address, text in _rows(batch) if (left := weigh(text, address, model.value))]
+            if found:
+                yield pa.RecordBatch.from_pydict(_left(*map(list, zip(*found))), schema=schema)
+
+    return run
 
 
 def residue(df: DataFrame, key: str, text: str, slug: list[str]) -> DataFrame:
@@ -547,35 +631,23 @@ def residue(df: DataFrame, key: str, text: str, slug: list[str]) -> DataFrame:
     * it speaks to its reader, and two documents or more hold it, all as a stranger;
     * wording and terms reach SURE, and it has some of either.
     """
+    spark = df.sparkSession
     address = F.translate(F.concat_ws(" ", *slug), "_", " ")
-    host = F.coalesce(F.col(slug[0]).cast("string"), F.lit("")).alias("host")
-
-    @F.pandas_udf(RESULT)
-    def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, titles in batches:
-            rows = [examine(t, s or "") for t, s in zip(texts, titles)]
-            yield pd.DataFrame({"kinds": [sorted(set(k)) for k, _, _ in rows], "h": [list(left) for _, left, _ in rows], "score": [[v[0] for v in left.values()] for _, left, _ in rows], "said": [[v[1] for v in left.values()] for _, left, _ in rows], "sure": [s for _, _, s in rows]})
-
-    whole = df.filter(F.length(text) > 0)
-    looked = stage(whole.select(key, host, look(F.col(text), address).alias("r")).select(key, "host", "r.*").filter((F.size("kinds") > 0) | (F.size("h") > 0)))
-    sure = looked.filter(F.size("kinds") > 0).select(key, F.array_join("kinds", ", ").alias("kinds"))
-    flat = lambda rows: rows.select(key, F.xxhash64("host").alias("host"), F.explode(F.arrays_zip("h", "score", "said")).alias("s")).select(key, "host", "s.*")
+    texts = df.filter(F.length(text) > 0).select(F.col(key).alias("key"), F.coalesce(F.col(slug[0]).cast("string"), F.lit("")), address, text)
+    kind = texts.schema["key"].dataType
+    schema = lambda ddl: T.StructType([T.StructField("key", kind), *T.StructType.fromDDL(ddl).fields])
+    found = stage(texts.mapInArrow(_looker(to_arrow_schema(schema(LOOKED))), schema(LOOKED)))
+    looked, counts = found.filter("at is null"), found.filter("at is not null").select(F.explode(F.arrays_zip("at", "n")).alias("c")).select("c.*")
+    sure = looked.filter(F.size("kinds") > 0).select("key", F.array_join("kinds", ", ").alias("kinds"))
+    flat = lambda rows: rows.select("key", F.xxhash64("host").alias("host"), F.explode(F.arrays_zip("h", "score", "said")).alias("s")).select("key", "host", "s.*")
     held = flat(looked).withColumn("terms", F.lit(0.0).cast("float"))
-    model = train_terms(looked.select(F.explode("sure").alias("notice")), whole, text)
+    model = train_terms(looked.select(F.explode("sure").alias("notice")), counts)
     if model is not None:
-        shared = df.sparkSession.sparkContext.broadcast(model)
-
-        @F.pandas_udf(WEIGHED)
-        def weighed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-            for texts, titles in batches:
-                rows = [weigh(t, s or "", shared.value) for t, s in zip(texts, titles)]
-                yield pd.DataFrame({"h": [list(r) for r in rows], "score": [[v[0] for v in r.values()] for r in rows], "said": [[v[1] for v in r.values()] for r in rows]})
-
-        more = whole.select(key, host, weighed(F.col(text), address).alias("r")).select(key, "host", "r.*").filter(F.size("h") > 0)
-        held = held.unionByName(flat(more).select(key, "host", "h", F.lit(0.0).cast("float").alias("score"), "said", F.col("score").alias("terms")))
+        more = texts.mapInArrow(_weigher(to_arrow_schema(schema(LEFT)), spark.sparkContext.broadcast(model)), schema(LEFT))
+        held = held.unionByName(flat(more).select("key", "host", "h", F.lit(0.0).cast("float").alias("score"), "said", F.col("score").alias("terms")))
     bit = lambda b: F.col("said").bitwiseAND(b) > 0
     # a document counts once however often it was delivered; partial sums keep hot segments small
-    docs = stage(held.groupBy("host", "h", key).agg(F.max("score").alias("score"), F.max("terms").alias("terms"), F.min(bit(IS_STRANGE)).alias("strange"), F.max(bit(IS_ADDRESS)).alias("reader")))
+    docs = stage(held.groupBy("host", "h", "key").agg(F.max("score").alias("score"), F.max("terms").alias("terms"), F.min(bit(IS_STRANGE)).alias("strange"), F.max(bit(IS_ADDRESS)).alias("reader")))
     parts = [F.max("score").alias("score"), F.max("terms").alias("terms"), F.max("reader").alias("reader")]
     by_host = docs.groupBy("host", "h").agg(F.count("*").alias("n"), F.sum(F.col("strange").cast("long")).alias("strange"), *parts)
     copied = (F.col("n") >= COPIES) & (F.col("strange") >= STRANGE * F.col("n"))
@@ -584,5 +656,5 @@ def residue(df: DataFrame, key: str, text: str, slug: list[str]) -> DataFrame:
     by_host = stage(by_host.withColumn("known", supported))
     in_all = by_host.groupBy("h").agg(F.sum("n").alias("n"), F.sum("strange").alias("strange"), *parts)
     everywhere = in_all.filter(supported | (F.col("reader") & (F.col("n") >= 2) & (F.col("strange") == F.col("n"))) | (open_ >= SURE)).select("h")
-    hosted = docs.join(everywhere, "h", "left_semi").select(key).unionByName(docs.join(by_host.filter("known").select("host", "h"), ["host", "h"], "left_semi").select(key))
-    return sure.unionByName(hosted.select(key, F.lit("copied notice").alias("kinds"))).groupBy(key).agg(F.max("kinds").alias("kinds"))
+    hosted = docs.join(everywhere, "h", "left_semi").select("key").unionByName(docs.join(by_host.filter("known").select("host", "h"), ["host", "h"], "left_semi").select("key"))
+    return sure.unionByName(hosted.select("key", F.lit("copied notice").alias("kinds"))).groupBy(F.col("key").alias(key)).agg(F.max("kinds").alias("kinds"))

@@ -97,7 +97,7 @@ def test_gates_pass_what_patterns_match(pattern):
     texts = [t for x in alternatives(R._parser.parse(pattern.pattern, pattern.flags)) for t in (x, x.upper(), x.replace("i", "\u0130").replace("s", "\u017f")) if pattern.search(t)]
     assert texts
     for t in texts:
-        assert R.possible(R.fold(t), [len(t)])[0] & R._automaton()[1][pattern], t
+        assert R.possible(R.fold(t), [len(t)])[0] & R.pattern_bits().of(pattern), t
         for whole in (t, f"{SOUND} {t}", f"{t}\nPlease go on."):
             assert R.examine(whole) == R.examine(whole, gated=False)
 
@@ -146,11 +146,14 @@ def test_terms_are_learned_from_what_wording_settles(spark):
     rows = [(k, "a") for k in known] + [(b, "b") for b in BODIES * 3]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string")
     notices = spark.createDataFrame([(R.skeleton(R.fold(s)),) for k in known for s in R.segments(k)], "notice string")
-    terms = R.train_terms(notices, df, "text")
-    odds = terms.of(["please reload this page", "tides moved the sand"])
+    texts = df.select("text").mapInArrow(R._count, "at int, n bigint")
+    terms = R.train_terms(notices, texts)
+    odds = terms.of("please reload this page.\ntides moved the sand")
     assert odds[0] > R.TERMS_LEAST > 0 > odds[1]
     assert R.weigh("Check the link and reload the page.", "", terms) and not R.weigh("Pages were reloaded and links checked.", "", terms)
-    assert R.train_terms(notices.limit(0), df, "text") is None
+    for text in ("One. Two?” Three\n\n– \nfour 5.6 e.g. six", "", "...", "a.b (c.) d.\n"):
+        assert len(terms.of(text)) == len([s for s in R.segments(text) if R._HAS_TERM.search(s)])
+    assert R.train_terms(notices.limit(0), texts) is None
 
 
 def test_copies_within_one_host(spark):
