@@ -22,7 +22,9 @@ segment is settled by its wording there are no terms, and the rest decides.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 from operator import eq, or_
 from re import _constants as C
@@ -372,6 +374,101 @@ def notice_score(segment: str, mask: int = ALL) -> float:
     return score - sum(w for w, p in REPORT if p.search(segment)) if score else score
 
 
+# Words of texts in arrays.
+
+_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
+_LETTER, _DIGIT, _STOP, _CLOSER, _SPACE, _LINE = 1, 2, 3, 4, 5, 6
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every character of the basic plane; others are letters where Python says so (their last entry)."""
+    table = np.zeros(0x10001, np.uint8)
+    for code in range(0x10000):
+        c = chr(code)
+        table[code] = _LETTER if _WORD.match(c) else _DIGIT if c.isdecimal() else _STOP if c in ".!?" else _CLOSER if c in "\"”’»)]" else _LINE if c == "\n" else _SPACE if c.isspace() else 0
+    table[0x10000] = _LETTER
+    return table
+
+
+@lru_cache(maxsize=1)
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, as many as the longest text so far has needed."""
+    return [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(size: int) -> tuple[np.ndarray, np.ndarray]:
+    held = _powers()
+    while len(held[0]) < size:
+        for k, base in enumerate((0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                held[k] = np.concatenate([held[k], held[k] * np.uint64(pow(base, len(held[k]), 1 << 64))])
+    return held[0], held[1]
+
+
+@dataclass
+class Words:
+    """The words of a text in lower case: buckets of each and of the pair that it begins, whether the next word is in the same
+    segment, where they begin, and whether they are of letters. Digits are one word."""
+
+    one: np.ndarray
+    two: np.ndarray
+    inside: np.ndarray
+    begins: np.ndarray
+    letters: np.ndarray
+
+    @property
+    def firsts(self) -> np.ndarray:
+        """Index of each segment's first word."""
+        return np.concatenate([[0], np.flatnonzero(~self.inside)[:-1] + 1]) if len(self.one) else np.empty(0, np.int64)
+
+
+def words_of(low: str) -> Words:
+    """All words of a text, whole arrays at a time: a word's hash is the difference of two prefix sums."""
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _classes()[np.minimum(c, 0x10000)]
+    word = (kind == _LETTER) | (kind == _DIGIT)
+    edge = kind[1:] != kind[:-1]
+    begins = np.flatnonzero(word & np.concatenate([[True], edge]))
+    ends = np.flatnonzero(word & np.concatenate([edge, [True]])) + 1
+    power, inverse = _grown(len(c) + 1)
+    shift = np.uint64(64 - TERM_BITS)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((c.astype(np.uint64) + _K[2]) * power[: len(c)])])
+        h = (sums[ends] - sums[begins]) * inverse[begins]
+        letters = kind[begins] == _LETTER
+        h = np.where(letters, (h ^ (h >> np.uint64(29))) * _K[1], _K[0])
+        after = np.append(h[1:], np.uint64(0))
+        pair = h * _K[0] + after * _K[1]
+        pair = (pair ^ (pair >> np.uint64(31))) * _K[1]
+    stop = np.flatnonzero(kind == _STOP)
+    last = np.append(kind, 0)
+    at = stop + 1
+    while (closer := last[at] == _CLOSER).any():
+        at = at + closer
+    stop = np.concatenate([stop[(last[at] == _SPACE) | (last[at] == _LINE)], np.flatnonzero(kind == _LINE)])
+    segment = np.searchsorted(np.sort(stop), begins)
+    inside = np.append(segment[1:] == segment[:-1], False) if len(begins) else np.empty(0, bool)
+    return Words((h >> shift).astype(np.int64), (pair >> shift).astype(np.int64), inside, begins, letters)
+
+
+@lru_cache(maxsize=1)
+def _latin_buckets() -> np.ndarray:
+    known = np.zeros(1 << TERM_BITS, bool)
+    known[words_of(" ".join(sorted(LATIN))).one] = True
+    return known
+
+
+def latin_places(words: Words) -> list[int]:
+    """Where words begin that stand in segments which may be pseudo-Latin: three words of it or more, and three in four."""
+    hits = _latin_buckets()[words.one] & words.letters
+    if np.count_nonzero(hits) < 3:
+        return []
+    firsts = words.firsts
+    n, of = np.add.reduceat(hits.astype(np.int64), firsts), np.add.reduceat(words.letters.astype(np.int64), firsts)
+    return words.begins[firsts[(n >= 3) & (n >= 0.75 * of)]].tolist()
+
+
 #: What is said of a segment besides its score: strange to its host, speaking to its reader.
 IS_STRANGE, IS_ADDRESS = 1, 2
 _READER = NOTICE[4][1]
@@ -401,12 +498,12 @@ def _shared(said: list[list[str]], address: str) -> set[str]:
     return shared
 
 
-def examine(text: str | None, address: str = "", gated: bool = True, tokens: list[str] | None = None) -> tuple[list[str], dict[int, tuple[float, int]], list[str]]:
+def examine(text: str | None, address: str = "", gated: bool = True, words: Words | None = None) -> tuple[list[str], dict[int, tuple[float, int]], list[str]]:
     """(kinds of residue found; (score, bits above) by fingerprint of the segments whose wording says something for a
     notice; skeletons of those that it settles).
 
     gated: patterns are only tried where a text that each of their matches holds was seen; the outcome is the same.
-    tokens: what _TERM finds in the folded text, if that is known.
+    words: those of the folded text, if they are known.
     """
     if not text:
         return [], {}, []
@@ -416,15 +513,16 @@ def examine(text: str | None, address: str = "", gated: bool = True, tokens: lis
     kind = placeholder(text, masks if gated else None, places)
     if kind:
         found.append(kind)
-    words = low.split()
-    if sum(map(eq, words, words[1:])) >= 3 and STUTTER.search(low):  # marks may stand between some of them
+    parts = low.split()
+    if sum(map(eq, parts, parts[1:])) >= 3 and STUTTER.search(low):  # marks may stand between some of them
         found.append("repeated word")
     warn = not is_json(text)
     scores: list[float] = []
-    latin = not gated or len(LATIN.intersection(_TERM.findall(low) if tokens is None else tokens)) >= 3
+    latin = latin_places(words or words_of(low)) if gated else []
     fillers, notices = pattern_bits().filler | pattern_bits().repeated, pattern_bits().any_notice if warn else 0
     for (a, b), mask in zip(places, masks):
-        if (latin or mask & fillers) and (kind := filler(text[a:b], mask, None if latin else [])):
+        may_be_latin = not gated or bool(latin) and any(a <= at < b for at in latin)
+        if (may_be_latin or mask & fillers) and (kind := filler(text[a:b], mask, None if may_be_latin else [])):
             found.append(kind)
         scores.append(notice_score(text[a:b], mask) if mask & notices else 0.0)
     if not any(score > 0 for score in scores):
@@ -448,40 +546,6 @@ def examine(text: str | None, address: str = "", gated: bool = True, tokens: lis
 
 # Terms: which words do the notices of these documents have?
 
-_TERM = re.compile(r"[^\W\d_]+|\d+|[.!?][\"”’»)\]]*\s|\n")
-_HAS_TERM = re.compile(r"[^\W_]")
-_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-_MOST_CODES = 1_000_000
-
-
-class _Codes(dict):
-    """A number for every word; 0 for the end of a segment."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _MOST_CODES:
-            self.clear()
-        first = word[0]
-        self[word] = code = 0 if first in ".!?\n" else xxhash.xxh64_intdigest("#" if first.isdigit() else word) | 1
-        return code
-
-
-_codes = _Codes()
-
-
-def terms_of(low: str, tokens: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text in lower case: the buckets of its words, those of the pairs that begin with them, and whether a pair lies
-    within a segment; a segment ends with each pair that doesn't."""
-    tokens = _TERM.findall(low) if tokens is None else tokens
-    codes = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
-    words = codes != 0
-    after = np.append(codes[1:], np.uint64(0))
-    c, n = codes[words], after[words]
-    with np.errstate(over="ignore"):
-        pair = c * _K[0] + n * _K[1]
-        pair = (pair ^ (pair >> np.uint64(31))) * _K[1]
-    shift = np.uint64(64 - TERM_BITS)
-    return (c >> shift).astype(np.int64), (pair >> shift).astype(np.int64), n != 0
-
 
 class Terms:
     """Log-odds of words and pairs of words in notices against all texts, in a table of fixed size."""
@@ -490,15 +554,13 @@ class Terms:
         odds = np.log((notices + 0.05) / (n_notices + 1.0)) - np.log((texts + 0.5) / (n_segments + 1.0))
         self.odds = np.where(notices + texts > 0, odds, 0.0).astype(np.float32)
 
-    def of(self, low: str) -> np.ndarray:
+    def of(self, words: Words) -> np.ndarray:
         """Log-odds of each segment with words, over the root of its number of terms."""
-        words, pairs, inside = terms_of(low)
-        if not len(words):
+        if not len(words.one):
             return np.empty(0)
-        each = self.odds[words] + np.where(inside, self.odds[pairs], 0.0)
-        ends = np.flatnonzero(~inside) + 1
-        begins = np.concatenate([[0], ends[:-1]])
-        return np.add.reduceat(each, begins) / np.sqrt(2 * (ends - begins) - 1)
+        firsts = words.firsts
+        sizes = np.diff(np.append(firsts, len(words.one)))
+        return np.add.reduceat(self.odds[words.one] + np.where(words.inside, self.odds[words.two], 0.0), firsts) / np.sqrt(2 * sizes - 1)
 
 
 class Counts:
@@ -507,10 +569,9 @@ class Counts:
     def __init__(self) -> None:
         self.n, self.segments, self.open = np.zeros(1 << TERM_BITS, np.int64), 0, []
 
-    def add(self, low: str, tokens: list[str] | None = None) -> None:
-        words, pairs, inside = terms_of(low, tokens)
-        self.segments += len(inside) - int(inside.sum())
-        self.open += [words, pairs[inside]]
+    def add(self, words: Words) -> None:
+        self.segments += len(words.inside) - int(words.inside.sum())
+        self.open += [words.one, words.two[words.inside]]
         if len(self.open) > 2_000:
             self.settle()
 
@@ -527,7 +588,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = Counts()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.add(fold(text))
+            counts.add(words_of(fold(text)))
     yield pa.RecordBatch.from_arrays([pa.array(x) for x in counts.settle()], names=["at", "n"])
 
 
@@ -551,21 +612,24 @@ def weigh(text: str | None, address: str, terms: Terms) -> dict[int, tuple[float
     if not text or is_json(text):
         return {}
     low = fold(text)
-    odds = terms.of(low)
+    words = words_of(low)
+    odds = terms.of(words)
     at = np.flatnonzero(odds >= TERMS_LEAST)
     found: dict[int, tuple[float, int]] = {}
     if not len(at):
         return found
-    places = [(a, b) for a, b in spans(low) if _HAS_TERM.search(low, a, b)]
+    places = spans(low)
+    begins = words.begins[words.firsts].tolist()
+    place_of = {k: bisect_right(places, (begins[k], len(low))) - 1 for k in at.tolist()}
     said = [_WORD.findall(low[a:b]) for a, b in places]
     shared = _shared(said, address)
-    for i in at.tolist():
+    for k, i in place_of.items():
         a, b = places[i]
         segment = text[a:b]
         if _PAST.search(segment) or any(p.search(segment) for _, p in REPORT):
             continue
         strange = not any(len(w) > 3 and w in shared for w in said[i])
-        found[fingerprint(low[a:b])] = (min(TERMS_MOST, TERMS_WEIGHT * float(odds[i])), strange * IS_STRANGE)
+        found[fingerprint(low[a:b])] = (min(TERMS_MOST, TERMS_WEIGHT * float(odds[k])), strange * IS_STRANGE)
     return found
 
 
@@ -590,10 +654,9 @@ def _looker(schema: pa.Schema):
         for batch in batches:
             keys, hosts, lefts, more = [], [], [], {name: [] for name in empty}
             for key, host, address, text in _rows(batch):
-                low = fold(text)
-                tokens = _TERM.findall(low)
-                counts.add(low, tokens)
-                kinds, left, sure = examine(text, address, tokens=tokens)
+                words = words_of(fold(text))
+                counts.add(words)
+                kinds, left, sure = examine(text, address, words=words)
                 if kinds or left:
                     keys.append(key)
                     hosts.append(host)

@@ -148,14 +148,21 @@ def test_terms_are_learned_from_what_wording_settles(spark):
     notices = spark.createDataFrame([(R.skeleton(R.fold(s)),) for k in known for s in R.segments(k)], "notice string")
     texts = df.select("text").mapInArrow(R._count, "at int, n bigint")
     terms = R.train_terms(notices, texts)
-    odds = terms.of("please reload this page.\ntides moved the sand")
+    odds = terms.of(R.words_of("please reload this page.\ntides moved the sand"))
     assert odds[0] > R.TERMS_LEAST > 0 > odds[1]
     assert R.weigh("Check the link and reload the page.", "", terms) and not R.weigh("Pages were reloaded and links checked.", "", terms)
     for text in ("One. Two?” Three\n\n– \nfour 5.6 e.g. six", "", "...", "a.b (c.) d.\n"):
-        assert len(terms.of(text)) == len([s for s in R.segments(text) if R._HAS_TERM.search(s)])
+        assert len(terms.of(R.words_of(text))) == len([s for s in R.segments(text) if R.re.search(r"[^\W_]", s)])
     assert R.train_terms(notices.limit(0), texts) is None
 
 
+def test_words_of_texts():
+    one = R.words_of("two ends two. ends 12 ends 7\nxxtwo two7ends 𝒳")
+    assert one.one[0] == one.one[2] == one.one[8] != one.one[1] == one.one[3] == one.one[5] == one.one[10] and one.one[4] == one.one[6] == one.one[9] and one.one[7] != one.one[0]
+    assert one.two[0] != one.two[1] and one.two[1] != one.two[3] and R.words_of("ends two").two[0] == one.two[1]
+    assert one.inside.tolist() == [i not in (2, 6, len(one.one) - 1) for i in range(len(one.one))]
+
+
 def test_copies_within_one_host(spark):
     line = "Use the search box instead."
     # elsewhere the line belongs to its texts; the host that puts it into strange ones is known by itself
