@@ -498,12 +498,12 @@ def _shared(said: list[list[str]], address: str) -> set[str]:
     return shared
 
 
-def examine(text: str | None, address: str = "", gated: bool = True, words: Words | None = None) -> tuple[list[str], dict[int, tuple[float, int]], list[str]]:
+def examine(text: str | None, address: str = "", gated: bool = True, latin: list[int] | None = None) -> tuple[list[str], dict[int, tuple[float, int]], list[str]]:
     """(kinds of residue found; (score, bits above) by fingerprint of the segments whose wording says something for a
     notice; skeletons of those that it settles).
 
     gated: patterns are only tried where a text that each of their matches holds was seen; the outcome is the same.
-    words: those of the folded text, if they are known.
+    latin: where segments that may be pseudo-Latin begin, if that is known.
     """
     if not text:
         return [], {}, []
@@ -518,10 +518,10 @@ def examine(text: str | None, address: str = "", gated: bool = True, words: Word
         found.append("repeated word")
     warn = not is_json(text)
     scores: list[float] = []
-    latin = latin_places(words or words_of(low)) if gated else []
+    latin = [] if not gated else latin_places(words_of(low)) if latin is None else latin
     fillers, notices = pattern_bits().filler | pattern_bits().repeated, pattern_bits().any_notice if warn else 0
     for (a, b), mask in zip(places, masks):
-        may_be_latin = not gated or bool(latin) and any(a <= at < b for at in latin)
+        may_be_latin = not gated or latin and any(a <= at < b for at in latin)
         if (may_be_latin or mask & fillers) and (kind := filler(text[a:b], mask, None if may_be_latin else [])):
             found.append(kind)
         scores.append(notice_score(text[a:b], mask) if mask & notices else 0.0)
@@ -607,29 +607,31 @@ def train_terms(notices: DataFrame, texts: DataFrame) -> Terms | None:
     return Terms(known, n, *_table(texts)) if n else None
 
 
-def weigh(text: str | None, address: str, terms: Terms) -> dict[int, tuple[float, int]]:
-    """(what its terms add, bits) by fingerprint of the segments whose terms say something for a notice."""
+def weigh(text: str | None, address: str, terms: Terms, told: list[tuple[int, float]] | None = None) -> dict[int, tuple[float, int]]:
+    """(what its terms add, bits) by fingerprint of the segments whose terms say something for a notice.
+
+    told: where such segments begin, with their log-odds, if that is known.
+    """
     if not text or is_json(text):
         return {}
     low = fold(text)
-    words = words_of(low)
-    odds = terms.of(words)
-    at = np.flatnonzero(odds >= TERMS_LEAST)
+    if told is None:
+        words = words_of(low)
+        told = [(at, odds) for at, odds in zip(words.begins[words.firsts].tolist(), terms.of(words).tolist()) if odds >= TERMS_LEAST]
     found: dict[int, tuple[float, int]] = {}
-    if not len(at):
+    if not told:
         return found
     places = spans(low)
-    begins = words.begins[words.firsts].tolist()
-    place_of = {k: bisect_right(places, (begins[k], len(low))) - 1 for k in at.tolist()}
     said = [_WORD.findall(low[a:b]) for a, b in places]
     shared = _shared(said, address)
-    for k, i in place_of.items():
+    for at, odds in told:
+        i = bisect_right(places, (at, len(low))) - 1
         a, b = places[i]
         segment = text[a:b]
         if _PAST.search(segment) or any(p.search(segment) for _, p in REPORT):
             continue
         strange = not any(len(w) > 3 and w in shared for w in said[i])
-        found[fingerprint(low[a:b])] = (min(TERMS_MOST, TERMS_WEIGHT * float(odds[k])), strange * IS_STRANGE)
+        found[fingerprint(low[a:b])] = (min(TERMS_MOST, TERMS_WEIGHT * odds), strange * IS_STRANGE)
     return found
 
 
@@ -641,8 +643,33 @@ def _left(keys: list, hosts: list, rows: list[dict[int, tuple[float, int]]]) ->
     return {"key": keys, "host": hosts, "h": [list(r) for r in rows], "score": [[v[0] for v in r.values()] for r in rows], "said": [[v[1] for v in r.values()] for r in rows]}
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(batch.column(i).to_pylist() for i in range(4)))
+#: Characters of texts whose words are found in one go.
+_CHUNK = 200_000
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], Words, np.ndarray]]:
+    """Rows (key, host, address, text), the words of all their texts together, and where each text begins there."""
+    for batch in batches:
+        rows, size = [], 0
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            rows.append(row)
+            size += len(row[3])
+            if size > _CHUNK:
+                yield rows, *_joined(rows)
+                rows, size = [], 0
+        if rows:
+            yield rows, *_joined(rows)
+
+
+def _joined(rows: list[tuple]) -> tuple[Words, np.ndarray]:
+    begins = np.cumsum([0, *(len(r[3]) + 1 for r in rows[:-1])])  # folding keeps lengths
+    return words_of("\n".join(fold(r[3]) for r in rows)), begins
+
+
+def _by_text(places: np.ndarray, begins: np.ndarray) -> tuple[list[int], list[int]]:
+    """(number of its text, place within it) of every place."""
+    of = np.searchsorted(begins, places, side="right") - 1
+    return of.tolist(), (places - begins[of]).tolist()
 
 
 def _looker(schema: pa.Schema):
@@ -650,21 +677,19 @@ def _looker(schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        empty = {"kinds": [], "sure": [], "at": None, "n": None}
-        for batch in batches:
-            keys, hosts, lefts, more = [], [], [], {name: [] for name in empty}
-            for key, host, address, text in _rows(batch):
-                words = words_of(fold(text))
-                counts.add(words)
-                kinds, left, sure = examine(text, address, words=words)
+        for rows, words, begins in _chunks(batches):
+            counts.add(words)
+            latin: dict[int, list[int]] = {}
+            for i, at in zip(*_by_text(np.array(latin_places(words), np.int64), begins)):
+                latin.setdefault(i, []).append(at)
+            found = []
+            for i, (key, host, address, text) in enumerate(rows):
+                kinds, left, sure = examine(text, address, latin=latin.get(i, []))
                 if kinds or left:
-                    keys.append(key)
-                    hosts.append(host)
-                    lefts.append(left)
-                    for name, value in (empty | {"kinds": sorted(set(kinds)), "sure": sure}).items():
-                        more[name].append(value)
-            if keys:
-                yield pa.RecordBatch.from_pydict(_left(keys, hosts, lefts) | more, schema=schema)
+                    found.append((key, host, left, sorted(set(kinds)), sure))
+            if found:
+                keys, hosts, lefts, kinds, sure = map(list, zip(*found))
+                yield pa.RecordBatch.from_pydict(_left(keys, hosts, lefts) | {"kinds": kinds, "sure": sure, "at": [None] * len(keys), "n": [None] * len(keys)}, schema=schema)
         at, n = counts.settle()
         yield pa.RecordBatch.from_pydict(_left([None], [None], [{}]) | {"kinds": [[]], "sure": [[]], "at": [at], "n": [n]}, schema=schema)
 
@@ -675,8 +700,13 @@ def _weigher(schema: pa.Schema, model):
     """Arrow function: each document whose terms say something for a notice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(key, host, left) for key, host, address, text in _rows(batch) if (left := weigh(text, address, model.value))]
+        for rows, words, begins in _chunks(batches):
+            odds = model.value.of(words)
+            high = np.flatnonzero(odds >= TERMS_LEAST)
+            told: dict[int, list[tuple[int, float]]] = {}
+            for i, at, value in zip(*_by_text(words.begins[words.firsts[high]], begins), odds[high].tolist()):
+                told.setdefault(i, []).append((at, value))
+            found = [(key, host, left) for i, places in told.items() for key, host, address, text in [rows[i]] if (left := weigh(text, address, model.value, places))]
             if found:
                 yield pa.RecordBatch.from_pydict(_left(*map(list, zip(*found))), schema=schema)
 
