@@ -1,10 +1,11 @@
 """Visually identical text with different characters: one consistent form for every value.
 
-Per token (a stretch of letters and marks) the script sets of its letters are intersected. A letter that looks like a
-Latin one has both its own script and Latin in its set. A token whose own scripts have nothing in common, while all its
-letters can be Latin, is a mixed-script confusable and gets its Latin spelling; a token made of look-alikes only is a
-whole-script confusable if nothing else in the value is written in that script. Then full-width forms, separate accents,
-invisible characters and unusual spaces are brought to their plain forms.
+Per token (a stretch of letters and marks) the resolved script sets of its letters are intersected: a letter's set holds
+its own script and every script with a letter that looks like it (Latin, Cyrillic, Greek, Armenian, Coptic, Cherokee, Lisu).
+A token whose letters belong to several scripts, while Latin is in the intersection, is a mixed-script confusable and gets
+its Latin spelling; a token made of look-alikes only is a whole-script confusable if nothing else in the value is written in
+that script. Then full-width forms, words in mathematical letters, separate accents, invisible characters and unusual spaces
+are brought to their plain forms.
 
 Left alone: dashes, quotation marks, fractions, superscripts, signs, ligatures, words properly Greek or Cyrillic, Greek
 symbols beside Latin letters (``μm``, ``IFN-γ``), accents for which no single character exists.
@@ -25,13 +26,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of other alphabets that look like a Latin letter.
-LOOKS_LIKE = dict(
-    zip(
-        "аеорсухіјѕԁһӏԛԝ" "АВЕКМНОРСТУХІЈЅԚԜӀҮ" "ο" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "օոսցհ" "ϲϳ",
-        "aeopcyxijsdhlqw" "ABEKMHOPCTYXIJSQWIY" "o" "ABEZHIKMNOPTYX" "onugh" "cj",
-    )
-)
+#: Letters of other alphabets that look like a Latin letter, and that letter.
+_PAIRS = {
+    "Cyrillic": ("аеорсухіјѕԁһӏԛԝ" "АВЕКМНОРСТУХІЈЅԚԜӀҮ", "aeopcyxijsdhlqw" "ABEKMHOPCTYXIJSQWIY"),
+    "Greek": ("ο" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ϲϳ", "o" "ABEZHIKMNOPTYX" "cj"),
+    "Armenian": ("օոսցհ", "onugh"),
+    "Coptic": ("ⲟⲣⲥ" "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬ", "opc" "BHIKMNOPCTX"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4RWVSLCPKB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+}
+LOOKS_LIKE = {c: like for foreign, latin in _PAIRS.values() for c, like in zip(foreign, latin)}
+#: Scripts in which each Latin letter has a look-alike.
+_ALIKE: dict[str, set[str]] = {}
+for _script, (_foreign, _latin) in _PAIRS.items():
+    for _c in _latin:
+        _ALIKE.setdefault(_c, set()).add(_script)
 #: Greek letters in common use as symbols; look-alikes only between two small Latin letters.
 SYMBOLS = dict(zip("αγικνρυχ", "ayikvpux"))
 #: Characters without width besides those of category Cf.
@@ -41,7 +50,9 @@ INVISIBLE = re.compile(f"[{_FORMAT}{_NO_WIDTH}]")
 SPACE = re.compile("[   -     　\x0b\x0c\x85]")
 WIDE = re.compile("[！-～｟｠￠-￦]")
 _ACCENT = re.compile("[^\\s̀-ͯ᪰-᫿᷀-᷿⃐-⃿][̀-ͯ᪰-᫿᷀-᷿⃐-⃿]+")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ԰-֏ἀ-῿]")
+_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-\u13ffἀ-῿Ⲁ-\u2cff\ua4d0-\ua4ff]")
+#: Words in letters of mathematical styles; single ones are variables.
+_STYLED = re.compile("[\U0001d400-\U0001d6a5\u210e]{2,}")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 #: What sends a value to Python at all (Java's syntax): everything above, and any letter of those scripts.
 TRIGGER = (
@@ -51,36 +62,40 @@ TRIGGER = (
 
 
 @lru_cache(maxsize=8192)
-def scripts(char: str) -> frozenset[str]:
-    """The scripts that a letter can be read in; empty set of limits (all) for marks: None is not used."""
+def own_script(char: str) -> str:
+    """The script that a letter belongs to."""
     name = unicodedata.name(char, "").split(" ", 1)[0]
-    own = {"LATIN": "Latin", "GREEK": "Greek", "CYRILLIC": "Cyrillic", "ARMENIAN": "Armenian", "MICRO": "Greek"}.get(name, name)
-    return frozenset({own, "Latin"} if char in LOOKS_LIKE else {own})
+    return {"MICRO": "Greek"}.get(name, name.capitalize())
 
 
 @lru_cache(maxsize=8192)
-def _own(char: str) -> str:
-    return next(iter(scripts(char) - {"Latin"}), "Latin") if char in LOOKS_LIKE else next(iter(scripts(char)))
+def scripts(char: str) -> frozenset[str]:
+    """The scripts that a letter can be read in: its own, and those in which another letter looks like it."""
+    if char in LOOKS_LIKE:  # by way of the Latin letter
+        return frozenset({own_script(char), "Latin"} | _ALIKE[LOOKS_LIKE[char]])
+    return frozenset({own_script(char)} | _ALIKE.get(char, set()))
+
+
+def resolved(token: str) -> frozenset[str] | None:
+    """The scripts that a whole token can be read in: the intersection of its letters' sets; None where nothing limits it."""
+    found = None
+    for i, c in enumerate(token):
+        if unicodedata.combining(c):
+            continue
+        now = scripts(c)
+        if c in SYMBOLS and 0 < i < len(token) - 1 and _plain_small(token[i - 1]) and _plain_small(token[i + 1]):
+            now = now | {"Latin"}
+        found = now if found is None else found & now
+    return found
 
 
 def latin_spelling(token: str) -> str | None:
-    """The Latin spelling of a token that mixes scripts with look-alikes; None if it doesn't, or has none."""
-    letters = [c for c in token if not unicodedata.combining(c)]
-    if not any(_own(c) == "Latin" for c in letters) or not _FOREIGN.search(token):
+    """The Latin spelling of a token whose letters belong to several scripts while all can be read as Latin; else None."""
+    if not _FOREIGN.search(token) or len({own_script(c) for c in token if not unicodedata.combining(c)}) < 2:
         return None
-    out, changed = [], False
-    for i, c in enumerate(token):
-        if c in LOOKS_LIKE:
-            out.append(LOOKS_LIKE[c])
-            changed = True
-        elif c in SYMBOLS and 0 < i < len(token) - 1 and _plain_small(token[i - 1]) and _plain_small(token[i + 1]):
-            out.append(SYMBOLS[c])
-            changed = True
-        elif unicodedata.combining(c) or "Latin" in scripts(c):
-            out.append(c)
-        else:
-            return None  # the intersection of the resolved sets is empty
-    return "".join(out) if changed else None
+    if "Latin" not in (resolved(token) or ()):
+        return None
+    return "".join(LOOKS_LIKE.get(c) or SYMBOLS.get(c, c) for c in token)
 
 
 def _plain_small(c: str) -> bool:
@@ -98,6 +113,8 @@ def unify(text: str | None) -> tuple[str | None, bool]:
     now = INVISIBLE.sub("", text)
     if WIDE.search(now):
         now = WIDE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), now)
+    if _STYLED.search(now):
+        now = _STYLED.sub(lambda m: unicodedata.normalize("NFKC", m.group()), now)
     now = SPACE.sub(" ", now)
     now = _ACCENT.sub(_compose, now)
     if _FOREIGN.search(now):
@@ -114,9 +131,9 @@ def unify(text: str | None) -> tuple[str | None, bool]:
             elif len(token) > 1 and all(c in LOOKS_LIKE for c in token):
                 whole.append(token)
             else:
-                proper.update(_own(c) for c in token if not unicodedata.combining(c))
+                proper.update(own_script(c) for c in token if not unicodedata.combining(c))
         for token in whole:
-            if not any(_own(c) in proper for c in token) and re.search("[a-z]{2}", now):
+            if not any(own_script(c) in proper for c in token) and re.search("[a-z]{2}", now):
                 spelled[token] = "".join(LOOKS_LIKE[c] for c in token)
         if spelled:
             now = _ACCENT.sub(_compose, _TOKEN.sub(lambda m: spelled.get(m.group(), m.group()), now))

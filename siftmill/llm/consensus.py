@@ -15,16 +15,24 @@ larger; a record without any label has no consensus and no row; ties go to exclu
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.session import stage
+from siftmill.session import BROADCAST_ROWS, stage
 
 #: Quantile of the chi-squared bound on an error variance.
 QUANTILE = 0.25
-ROUNDS, TOLERANCE = 40, 1e-5
+#: Rounds after which a result that has not settled is given with a warning; change of the class-wise error rates and the
+#: prior below which it has.
+ROUNDS, TOLERANCE = 500, 1e-5
+#: Sums per annotator; those that give the rates and the prior of all.
+SUMS = ("n", "n1", "n0", "s1", "s0", "v_items", "items")
 
 
 def latest_labels(df: DataFrame, item: list[str], annotator: str, label: str, at: str) -> DataFrame:
@@ -89,28 +97,128 @@ def _truths(labels: DataFrame, weights: DataFrame, item: list[str], prior: float
     return total.select(*item, (1 / (1 + F.exp(-F.least(F.greatest(F.col("s") + odds, F.lit(-500.0)), F.lit(500.0))))).alias("v"))
 
 
-def discover(df: DataFrame, item: list[str], annotator: str, label: str, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(labels, truths(item, v), weights(annotator, ...)) after the rounds have settled.
+def _totals(sums: dict[str, float]) -> tuple[float, float, float]:
+    """Error rates on either class over all annotators, and the share of include."""
+    return sums["s1"] / max(sums["n1"], 1e-9), sums["s0"] / max(sums["n0"], 1e-9), min(max(sums["v_items"] / sums["items"], 1e-6), 1 - 1e-6)
 
-    Annotators' statistics, a row each, are written between rounds; four sums of theirs reach the driver.
-    """
-    labels = stage(latest_labels(df, item, annotator, label, at))
-    truths = labels.groupBy(*item).agg(F.avg("y").alias("v"))
-    stats = stage(_statistics(labels, truths, item), 1)
-    before = None
-    weights = _weights(stats, 0.5, 0.5)
+
+def _settle(first, step: Callable, totals: Callable):
+    """Alternate until the totals of the statistics no longer change: (statistics, totals), or None where nothing was labelled."""
+    stats, before = first, None
     for _ in range(ROUNDS):
-        row = stats.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("n1", "n0", "s1", "s0", "v_items", "items"))).first()
-        if not row["items"]:
-            break
-        now = (row["s1"] / max(row["n1"], 1e-9), row["s0"] / max(row["n0"], 1e-9), min(max(row["v_items"] / row["items"], 1e-6), 1 - 1e-6))
-        weights = _weights(stats, now[0], now[1])
-        truths = _truths(labels, weights, item, now[2])
+        sums = totals(stats)
+        if not sums["items"]:
+            return None
+        now = _totals(sums)
         if before and max(abs(a - b) for a, b in zip(now, before)) < TOLERANCE:
-            break
+            return stats, now
         before = now
-        stats = stage(_statistics(labels, truths, item), 1)
-    return labels, truths, weights
+        stats = step(stats, now)
+    warnings.warn("truths and annotators had not settled", stacklevel=3)
+    return stats, now
+
+
+def _round(v_of: Callable, size: int):
+    """Arrow function: sums per annotator of a part of the items, whose labels (i, y) lie in one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(SUMS), size))
+        for batch in batches:
+            i, y, begins, m = _flat(batch)
+            if len(i):
+                v, m = np.repeat(v_of(i, y, begins, m), m), np.repeat(m, m)
+                for k, x in enumerate((np.ones(len(i)), v, 1 - v, v * (1 - y), (1 - v) * y, v / m, 1 / m)):
+                    sums[k] += np.bincount(i, x, size)
+        at = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in sums)], names=["i", *SUMS])
+
+    return run
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Annotators and labels of all items in a row, where each item begins, and how many labels it has."""
+    i, y = batch.column(batch.schema.get_field_index("i")), batch.column(batch.schema.get_field_index("y"))
+    offsets = i.offsets.to_numpy()
+    return i.flatten().to_numpy(), y.flatten().to_numpy().astype(np.float64), (offsets - offsets[0])[:-1], np.diff(offsets)
+
+
+def _weighted(stats: np.ndarray, now: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of both labels per annotator, as in :func:`_weights`."""
+    n, n1, n0, s1, s0 = stats[:5]
+    miss, false = (s1 + now[0]) / (n1 + 1), (s0 + now[1]) / (n0 + 1)
+    clip = lambda x: np.clip(x, 0.002, 0.998)
+    m = np.maximum(n, 1.0)
+    sure = np.maximum(1 - 2 / (9 * m) + NormalDist().inv_cdf(QUANTILE) * np.sqrt(2 / (9 * m)), 0.05) ** 3
+    return sure * np.log(clip(1 - miss) / clip(false)), sure * np.log(clip(miss) / clip(1 - false))
+
+
+def _likely(weights, prior: float) -> Callable:
+    """Probability of include per item from the weights of its labels; weights: a broadcast pair of arrays."""
+
+    def v_of(i: np.ndarray, y: np.ndarray, begins: np.ndarray, m: np.ndarray) -> np.ndarray:
+        include, exclude = weights.value
+        s = np.add.reduceat(np.where(y == 1, include[i], exclude[i]), begins) + np.log(prior / (1 - prior))
+        return 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+
+    return v_of
+
+
+def _discover_arrays(labels: DataFrame, names: list[str], item: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(truths, weights) with an item's labels in one row and the annotators' weights on every executor: a round shuffles
+    partial sums of annotators only."""
+    spark = labels.sparkSession
+    index = spark.createDataFrame([(a, k) for k, a in enumerate(names)], "annotator string, i int")
+    numbered = labels.withColumn("annotator", F.col("annotator").cast("string")).join(F.broadcast(index), "annotator")
+    pairs = F.array_sort(F.collect_list(F.struct("i", "y")))
+    items = stage(numbered.groupBy(*item).agg(pairs.alias("l")).select(*item, F.col("l.i").alias("i"), F.transform("l.y", lambda y: y.cast("tinyint")).alias("y")))
+
+    def sums(v_of: Callable) -> np.ndarray:
+        columns = ", ".join(f"{c} double" for c in SUMS)
+        rows = items.select("i", "y").mapInArrow(_round(v_of, len(names)), f"i int, {columns}").groupBy("i").agg(*(F.sum(c).alias(c) for c in SUMS)).toArrow()
+        out = np.zeros((len(SUMS), len(names)))
+        for k, c in enumerate(SUMS):
+            out[k, rows.column("i").to_numpy()] = rows.column(c).to_numpy()
+        return out
+
+    shared = lambda stats, now: spark.sparkContext.broadcast(_weighted(stats, now))
+    first = sums(lambda i, y, begins, m: np.add.reduceat(y, begins) / m)
+    stats, now = _settle(first, lambda stats, now: sums(_likely(shared(stats, now), now[2])), lambda stats: dict(zip(SUMS, stats.sum(axis=1))))
+    last = _likely(shared(stats, now), now[2])
+
+    def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, y, begins, m = _flat(batch)
+            v = last(i, y, begins, m) if len(i) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(item))), pa.array(v)], names=[*item, "v"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in labels.select(*item).dtypes)
+    truths = items.mapInArrow(truth, f"{kinds}, v double")
+    rows = [(a, *map(float, stats[:, k])) for k, a in enumerate(names)]
+    return truths, _weights(spark.createDataFrame(rows, "annotator string, " + ", ".join(f"{c} double" for c in SUMS)), now[0], now[1])
+
+
+def _discover_joined(labels: DataFrame, item: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(truths, weights) where the annotators are too many for every executor: by joins; six sums reach the driver a round."""
+    first = labels.groupBy(*item).agg(F.avg("y").alias("v"))
+    totals = lambda stats: stats.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS[1:])).first().asDict()
+    truths = lambda stats, now: _truths(labels, _weights(stats, now[0], now[1]), item, now[2])
+    settled = _settle(stage(_statistics(labels, first, item)), lambda stats, now: stage(_statistics(labels, truths(stats, now), item)), totals)
+    if settled is None:
+        return first, _weights(_statistics(labels, first, item), 0.5, 0.5)
+    stats, now = settled
+    return truths(stats, now), _weights(stats, now[0], now[1])
+
+
+def discover(df: DataFrame, item: list[str], annotator: str, label: str, at: str, most: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels, truths(item, v), weights(annotator, ...)) after the rounds have settled.
+
+    Up to most annotators, who are counted first, their weights are sent to every executor; beyond, they are joined.
+    """
+    labels = stage(latest_labels(df, item, annotator, label, at))
+    names = labels.select(F.col("annotator").cast("string")).distinct().limit(most + 1).collect()
+    if 0 < len(names) <= most:
+        return labels, *_discover_arrays(labels, sorted(r[0] for r in names), item)
+    return labels, *_discover_joined(labels, item)
 
 
 def consensus(df: DataFrame, item: list[str], annotator: str, label: str, at: str) -> DataFrame:

@@ -286,14 +286,14 @@ def _best(text: str, model: Model, allowed: tuple[int, ...] = tuple(range(len(CH
     return top, CHAINS[best], "".join([*parts, text[at:]]), broken
 
 
-def examine(text: str | None, model: Model, margin: float = MARGIN, depth: int = 4) -> Finding:
-    """Unwind the wrong decodings of a value."""
+def examine(text: str | None, model: Model, margin: float = MARGIN) -> Finding:
+    """Unwind the wrong decodings of a value, however many: every step makes it likelier by the margin, so it ends."""
     if not text or text.isascii():
         return Finding(False, True, text or "", [], 0.0)
     # letters of another alphabet put for Latin ones are another fault
     plain = _LETTERS.sub(lambda m: latin_spelling(m.group()) or m.group(), text) if _MIXED.search(text) else text
     now, chains, gains, broken, allowed = plain, [], 0.0, 0, tuple(range(len(CHAINS)))
-    for _ in range(depth):
+    while True:
         gain, chain, result, left = _best(now, model, allowed)
         if chain is None or gain < margin:
             break
@@ -305,7 +305,8 @@ def examine(text: str | None, model: Model, margin: float = MARGIN, depth: int =
             break
         now = result
     lost = "�" in now or broken > 0
-    return Finding(bool(chains) or lost, not lost, now, chains, gains)
+    # what still reads as garbled after some steps was not got back
+    return Finding(bool(chains) or lost, not lost and not (chains and looks_garbled(now)), now, chains, gains)
 
 
 FOUND = T.StructType(

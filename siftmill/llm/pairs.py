@@ -164,17 +164,21 @@ def _leaves(value) -> Iterator[str]:
             yield from _leaves(v)
 
 
-def is_refusal(text: str) -> bool:
-    """Whether a text declines to judge: it aligns with a refusal template, or has speaker, inability and act."""
-    words = tokens(text)
-    if len(words) > 80:
-        return False
-    for template in REFUSALS:
-        n = len(template)
-        for i in range(len(words) - n + 1):
-            if words[i] == template[0] and common_subsequence(list(template), words[i : i + n + 1]) == n:
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: First words of the templates, so that sentences without any are passed over.
+_FIRST = {t[0] for t in REFUSALS}
+
+
+def is_refusal(text: str, known: str = "") -> bool:
+    """Whether a text of any length declines to judge: one of its sentences aligns with a refusal template, or has speaker,
+    inability and act. Sentences that stand in known (folded: rules and record) are no one's own words."""
+    for sentence in _SENTENCE.split(text):
+        words = tokens(sentence)
+        if not words or len(words) > 3 and f" {' '.join(words)} " in known:
+            continue
+        for i, word in enumerate(words) if not _FIRST.isdisjoint(words) else ():
+            if word in _FIRST and any(t[0] == word and common_subsequence(list(t), words[i : i + len(t) + 1]) == len(t) for t in REFUSALS):
                 return True
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
         inability = _INABILITY.search(sentence)
         if inability and _SPEAKER.search(sentence) and _ACT.search(sentence[: inability.start()] + " " + sentence[inability.end() :]):
             return True
@@ -227,7 +231,7 @@ def defect(request: str | None, response: str | None) -> str | None:
         return "empty"
     texts = [unify(t)[0] for t in texts]
     record = unify(f"{title}\n{abstract}")[0]
-    if isinstance(decision, str) and not decided and len(decision) < 60 and _OFFER.search(decision):  # the choice itself, handed back
+    if isinstance(decision, str) and not decided and _OFFER.search(decision):  # the choice itself, handed back
         return "copies_request"
     folded = None
     loose = []
@@ -240,8 +244,9 @@ def defect(request: str | None, response: str | None) -> str | None:
         if f" {words} " not in folded:
             loose.append(text)
     if loose:
+        heard = f" {_folded(rules)} {folded} "
         for text in loose:
-            if is_refusal(text) and containment(tokens(text), tokens(record)) < 0.5:
+            if is_refusal(text, heard) and containment(tokens(text), tokens(record)) < 0.5:
                 return "refusal"
         for text in loose:
             if is_copy(text, rules, record):

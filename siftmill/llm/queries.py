@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm import chunking, confusables, consensus, mixing, mojibake, neardup, packing, pairs, residue, tokens, truncation
-from siftmill.session import stage, table
+from siftmill.session import broadcast_if_small, stage, table
 
 SECTION_LIMIT, BODY_LIMIT, OVERLAP = 2_000, 24_000, 150
 
@@ -18,13 +18,17 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     return sections.unionByName(chunking.cut_kinds(bodies, ["pmcid", "section_no"], "body", BODY_LIMIT, OVERLAP))
 
 
+def _once(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's row once: only rows whose key occurs again are shuffled with their texts."""
+    again = broadcast_if_small(stage(df.groupBy(*keys).count().filter("count > 1").select(*keys)))
+    return df.join(again, keys, "left_anti").unionByName(df.join(again, keys, "left_semi").dropDuplicates(keys))
+
+
 def p1_pieces(spark: SparkSession, base: str) -> DataFrame:
     """All pieces of all sections and bodies (section_no 0), re-deliveries once."""
     keys = ["pmcid", "section_no"]
-    sections = table(spark, base, "paper_section").select(*keys, "text").filter("text is not null").dropDuplicates(keys)
-    bodies = (
-        table(spark, base, "paper_fulltext").select("pmcid", F.lit(0).alias("section_no"), F.col("body").alias("text")).filter("text is not null").dropDuplicates(keys)
-    )
+    sections = _once(table(spark, base, "paper_section").select(*keys, "text").filter("text is not null"), keys)
+    bodies = _once(table(spark, base, "paper_fulltext").select("pmcid", F.lit(0).alias("section_no"), F.col("body").alias("text")).filter("text is not null"), keys)
     return chunking.split(sections, keys, "text", SECTION_LIMIT, OVERLAP).unionByName(chunking.split(bodies, keys, "text", BODY_LIMIT, OVERLAP))
 
 

@@ -34,7 +34,7 @@ def unwrap(answer: str) -> tuple[str, str]:
     if m:
         return "json", _FENCE_END.sub("", text[m.end() :])
     at = text.find("```")
-    if 0 <= at < 200 and (inner := _FENCE.sub("", text[at:])).lstrip().startswith("{"):
+    if at >= 0 and (inner := _FENCE.sub("", text[at:])).lstrip().startswith("{"):
         return "json", _FENCE_END.sub("", inner).strip()
     return "prose", text
 
@@ -249,6 +249,10 @@ def train_endings(df: DataFrame, column: str) -> Endings:
     return model
 
 
+#: What stops inside a tag, a character reference, an escape or a multibyte sequence.
+_BROKEN = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}$|</?$|&(?:#[0-9]*|#x[0-9a-fA-F]*|am|amp|ap|apo|apos|lt|gt|qu|quo|quot|nb|nbs|nbsp)$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|[�ÂÃ]$")
+
+
 def abstract_is_cut(text: str | None, model: Endings, at_limit: bool = False) -> bool:
     """Whether an abstract stops inside a word or a sentence; at a field limit of its source, any open end is a cut."""
     if not text or not text.strip():
@@ -259,7 +263,7 @@ def abstract_is_cut(text: str | None, model: Endings, at_limit: bool = False) ->
     tail = re.split(r"(?<=[.!?])\s+", bare[-600:])[-1]
     if _TERMINAL.search(bare) and not (omission and prose_is_open(tail)):
         return False
-    if prose_is_open(tail):
+    if prose_is_open(tail) or _BROKEN.search(bare):
         return True
     if _TAIL.search(bare[-400:]):
         return False

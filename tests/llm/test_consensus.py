@@ -95,3 +95,13 @@ def test_agreement_by_hand(spark):
     rows = [("W1", "a", "include", 0), ("W1", "b", "include", 0), ("W2", "a", "exclude", 0), ("W2", "b", "include", 0), ("W3", "a", "exclude", 0)]
     r = C.agreement(frame(spark, rows), *ARGS).first()
     assert (r["n_items"], r["n_labels"], r["observed"], r["expected"], r["alpha"]) == (2, 4, 0.5, 0.5, 0.0)
+
+
+def test_joins_and_arrays_agree(spark):
+    _, rows = simulated(5, 120)
+    df = frame(spark, rows)
+    few, many = C.discover(df, *ARGS), C.discover(df, *ARGS, most=3)
+    for a, b, keys in ((few[1], many[1], ["review", "work_id"]), (few[2], many[2], ["annotator"])):
+        one, other = ({tuple(r[k] for k in keys): r for r in x.collect()} for x in (a, b))
+        assert one.keys() == other.keys()
+        assert all(abs(one[k][c] - other[k][c]) < 1e-6 for k in one for c in a.columns if c not in keys)

@@ -82,3 +82,11 @@ def test_model_does_not_depend_on_garbled_rows(spark):
     bad = [(garbled(t[0], "utf-8", "cp1252"),) for t in clean[:4]]
     a, b = (M.train(spark.createDataFrame(rows, "a string"), ["a"]) for rows in (clean, clean + bad))
     assert a.score("étudié") == b.score("étudié")
+
+
+def test_text_garbled_five_times(model):
+    text = now = "L’école élevée a été étudiée à côté. Les résultats révèlent la fréquence."
+    for _ in range(5):
+        now = garbled(now, "utf-8", "cp1252")
+    found = M.examine(now, model)
+    assert found.garbled and (found.text == text) == found.restored

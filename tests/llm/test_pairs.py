@@ -124,3 +124,11 @@ def test_frames(spark):
     assert got == {("k1", "copies_request"), ("k2", "empty"), ("k4", "empty"), (None, "truncated")}
     assert P.defects(df.limit(0), "cache_key", "q", "r").count() == 0
     assert not answer_is_cut("")
+
+
+def test_refusals_of_any_length():
+    request = "Judge the record. If you cannot judge it, say exclude.\n\nCRITERIA:\nTrials of walking.\n\nTITLE:\nWalking\n\nABSTRACT:\nWe cannot assess the effect of walking on sleep. I decline to say more."
+    filler = "The record speaks of walking and sleep, of several groups and their results, and of what they were asked. " * 12
+    assert P.defect(request, f"{filler} I must decline to judge this record. {filler}") == "refusal"
+    assert P.defect(request, '{"decision": "exclude", "confidence": 0.5, "evidence_span": "' + filler + 'I am unable to judge."}') == "refusal"
+    assert P.defect(request, f"Exclude. {filler} We cannot assess the effect of walking on sleep. I decline to say more.") is None

@@ -69,3 +69,14 @@ def test_frames(spark):
     got = [tuple(r) for r in X.cut_spans(spans, works, ["run_id", "review", "work_id"], ["review", "work_id"]).collect()]
     assert got == [("u", "r", "1")]
     assert X.cut_spans(spans.limit(0), works, ["run_id", "review", "work_id"], ["review", "work_id"]).count() == 0
+
+
+@pytest.mark.parametrize("end", ["soil <i", "soil </", "soil &am", "soil &#82", "soil \\u00e", "soil \\", "soil \ufffd", "soil \u00c3"])
+def test_broken_ends(end):
+    model = X.Endings()
+    assert X.abstract_is_cut(f"Grass was counted. The {end}", model)
+
+
+@pytest.mark.parametrize("end", ["paid for R&D.", "was 2 < 3 m.", "of <i>soil</i>.", "saw A&B Ltd."])
+def test_sound_ends(end):
+    assert not X.abstract_is_cut(f"Grass was counted. The {end}", X.Endings())
