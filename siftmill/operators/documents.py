@@ -43,83 +43,135 @@ PAPER = (
 )
 
 
-def _text(node) -> str:
-    return "" if node is None else re.sub(r"\s+", " ", "".join(node.itertext())).strip()
+def _text(node) -> str | None:
+    """All text below a node, white space collapsed; None where there is none."""
+    found = "" if node is None else " ".join("".join(node.itertext()).split())
+    return found or None
+
+
+def _local(node) -> str:
+    """A node's tag without its namespace."""
+    return node.tag.rsplit("}", 1)[-1] if isinstance(node.tag, str) else ""
+
+
+def _links(node) -> Iterator[str]:
+    """Addresses that a node and all below it refer to."""
+    return (value for n in node.iter() for name, value in n.attrib.items() if name.endswith("href") and value)
+
+
+class _Reader:
+    """One walk over a marked-up paper; a method per tag takes what it is there for, and tells whether to go below it."""
+
+    def __init__(self) -> None:
+        self.front: dict[str, str | None] = {}
+        self.sections, self.loose, self.tables, self.figures = [], [], [], []
+        self.formulas: list[tuple[bool, str]] = []
+        self.supplements: dict[str, dict] = {}
+
+    def walk(self, node, part: str = "") -> None:
+        tag = _local(node)
+        if tag in ("front", "body"):
+            part = part or tag
+        take = getattr(self, "on_" + tag.replace("-", "_"), None)
+        if take:
+            take(node, part)
+        for child in node:
+            self.walk(child, part)
+
+    def first(self, name: str | None, value: str | None) -> None:
+        if name and value:
+            self.front.setdefault(name, value)
+
+    def on_article_id(self, node, part: str) -> None:
+        if part == "front":
+            self.front[node.get("pub-id-type")] = _text(node)  # the last one stands
+
+    def on_article_title(self, node, part: str) -> None:
+        if part == "front":
+            self.first("title", _text(node))
+
+    def on_abstract(self, node, part: str) -> None:
+        if part == "front":
+            self.first("abstract", _text(node))
+
+    def on_sec(self, node, part: str) -> None:
+        """Paragraphs of the section itself; sections within it are rows of their own."""
+        if part != "body":
+            return
+        title = _text(node.find("title"))
+        prose = [t for p in node.findall("p") if (t := _text(p))]
+        if prose and not re.search(BACK_MATTER, title or ""):
+            self.sections.append({"title": title, "text": "\n".join(prose)})
+
+    def on_p(self, node, part: str) -> None:
+        if part == "body" and (text := _text(node)):
+            self.loose.append(text)
+
+    def on_table_wrap(self, node, part: str) -> None:
+        cells = [row for tr in node.iter("tr") if (row := [c for c in tr if _local(c) in ("td", "th")])]
+        span = lambda c, name: int(v) if (v := c.get(name) or "").isdigit() else 1
+        self.tables.append(
+            {
+                "label": _text(node.find("label")),
+                "caption": _text(node.find("caption")),
+                "rows": [[_text(c) or "" for c in row] for row in cells],
+                "spans": [[{k: span(c, k) for k in ("rowspan", "colspan")} for c in row] for row in cells],
+                "footnotes": [t for foot in node.findall("table-wrap-foot") if (t := _text(foot))],
+            }
+        )
+
+    def on_fig(self, node, part: str) -> None:
+        caption = _text(node.find("caption"))
+        kind = "heat_map" if re.search("(?i)heat[ -]?map", caption or "") else "figure"
+        self.figures.append({"label": _text(node.find("label")), "caption": caption, "kind": kind, "refs": [next(found) for g in node.iter("graphic") if (found := _peek(_links(g)))]})
+
+    def on_disp_formula(self, node, part: str) -> None:
+        self._formula(node, False)
+
+    def on_inline_formula(self, node, part: str) -> None:
+        self._formula(node, True)
+
+    def _formula(self, node, inline: bool) -> None:
+        named = {name: next((n for n in node.iter() if _local(n) == name), None) for name in ("tex-math", "math")}
+        text = (named["tex-math"].text if named["tex-math"] is not None else None) or _text(named["math"] if named["math"] is not None else node)
+        if text:
+            self.formulas.append((inline, text))
+
+    def on_supplementary_material(self, node, part: str) -> None:
+        for ref in _links(node):
+            self.supplements.setdefault(ref, {"label": _text(node.find("label")) or ref, "caption": _text(node.find("caption")) or "", "ref": ref})
 
+    on_supplement = on_media = on_supplementary_material
 
-def _href(node) -> str | None:
-    return next((v for k, v in node.attrib.items() if k.rsplit("}", 1)[-1] == "href" and v), None)
+    def row(self) -> dict:
+        if not self.sections and self.loose:
+            self.sections = [{"title": None, "text": "\n".join(self.loose)}]
+        return {
+            "pmcid": self.front.get("pmcid") or self.front.get("pmc"),
+            **{name: self.front.get(name) for name in ("doi", "title", "abstract")},
+            "sections": self.sections,
+            "tables": self.tables,
+            "figures": self.figures,
+            "equations": [text for _, text in sorted(self.formulas, key=lambda f: f[0])],  # displayed ones first
+            "supplements": list(self.supplements.values()),
+        }
 
 
-def _number(value: str | None) -> int:
-    return int(value) if value and value.isdigit() else 1
+def _peek(found: Iterator[str]) -> Iterator[str] | None:
+    """found with at least one item, or None."""
+    for one in found:
+        return iter([one])
+    return None
 
 
 def parse_paper(key: str, xml: str | None) -> dict:
-    """One JATS document as a row of PAPER; ok is false where it isn't XML."""
-    empty = {name.split()[0]: None for name in PAPER.split(", ") if " " in name}
+    """One JATS document as a row of PAPER; ok is false, and all else null, where it isn't XML."""
+    reader = _Reader()
     try:
-        root = ET.fromstring(xml or "")
+        reader.walk(ET.fromstring(xml or ""))
     except ET.ParseError:
-        return {**empty, "id": key, "ok": False}
-    front, body = root.find(".//front"), root.find(".//body")
-    ids = {} if front is None else {n.get("pub-id-type"): _text(n) for n in front.iter("article-id")}
-    sections = []
-    for sec in [] if body is None else body.iter("sec"):
-        heading = _text(sec.find("title")) or None
-        prose = "\n".join(t for t in map(_text, sec.findall("p")) if t)
-        if prose and not (heading and re.search(BACK_MATTER, heading)):
-            sections.append({"title": heading, "text": prose})
-    if body is not None and not sections:
-        prose = "\n".join(t for t in map(_text, body.iter("p")) if t)
-        sections = [{"title": None, "text": prose}] if prose else []
-    tables = []
-    for wrap in root.iter("table-wrap"):
-        grid = [[c for c in row if c.tag in ("td", "th")] for row in wrap.iter("tr")]
-        grid = [cells for cells in grid if cells]
-        tables.append(
-            {
-                "label": _text(wrap.find("label")) or None,
-                "caption": _text(wrap.find("caption")) or None,
-                "rows": [[_text(c) for c in cells] for cells in grid],
-                "spans": [[{"rowspan": _number(c.get("rowspan")), "colspan": _number(c.get("colspan"))} for c in cells] for cells in grid],
-                "footnotes": [t for t in map(_text, wrap.findall("table-wrap-foot")) if t],
-            }
-        )
-    figures = []
-    for fig in root.iter("fig"):
-        caption = _text(fig.find("caption")) or None
-        refs = [h for h in map(_href, fig.iter("graphic")) if h]
-        figures.append({"label": _text(fig.find("label")) or None, "caption": caption, "kind": "heat_map" if re.search("(?i)heat[ -]?map", caption or "") else "figure", "refs": refs})
-    equations = []
-    for kind in ("disp-formula", "inline-formula"):
-        for formula in root.iter(kind):
-            tags = {n.tag.rsplit("}", 1)[-1]: n for n in reversed(list(formula.iter()))}
-            tex = tags.get("tex-math")
-            text = (tex.text if tex is not None else None) or _text(tags.get("math", formula))
-            if text:
-                equations.append(text)
-    supplements, seen = [], set()
-    for node in root.iter():
-        if node.tag in ("supplementary-material", "supplement", "media"):
-            for linked in node.iter():
-                ref = _href(linked)
-                if ref and ref not in seen:
-                    seen.add(ref)
-                    supplements.append({"label": _text(node.find("label")) or ref, "caption": _text(node.find("caption")), "ref": ref})
-    return {
-        "id": key,
-        "ok": True,
-        "pmcid": ids.get("pmcid") or ids.get("pmc") or None,
-        "doi": ids.get("doi") or None,
-        "title": (None if front is None else _text(front.find(".//article-title"))) or None,
-        "abstract": (None if front is None else _text(front.find(".//abstract"))) or None,
-        "sections": sections,
-        "tables": tables,
-        "figures": figures,
-        "equations": equations,
-        "supplements": supplements,
-    }
+        return {**dict.fromkeys(p.split()[0] for p in _columns()), "id": key, "ok": False}
+    return {"id": key, "ok": True, **reader.row()}
 
 
 def parse_papers(df: DataFrame, key: str, xml: str) -> DataFrame:
@@ -155,21 +207,28 @@ def is_fragment(papers: DataFrame) -> Column:
     return (F.length(body_of(F.col("sections"))) < WHOLE_BODY) & bare
 
 
-def table_grid(rows: list[list[str]], spans: list[list[dict]], most: int = 100) -> list[list[str]]:
-    """A table's cells repeated over the rows and columns that they span, within most rows and columns."""
-    grid: dict[tuple[int, int], str] = {}
-    for r, (cells, sizes) in enumerate(zip(rows[:most], spans[:most])):
-        c = 0
+def table_grid(rows: list[list[str]], spans: list[list[dict]], widest: int = 100) -> list[list[str]]:
+    """A table as a rectangle: each cell's text stands in the first place that it spans, the others are blank.
+
+    Every row is kept; a single span counts for widest places at most.
+    """
+    taken: dict[int, set[int]] = {}
+    grid: list[dict[int, str]] = []
+    for r, (cells, sizes) in enumerate(zip(rows, spans)):
+        line: dict[int, str] = {}
+        at = 0
         for cell, size in zip(cells, sizes):
-            while (r, c) in grid:
-                c += 1
-            for dr in range(min(int(size["rowspan"]), most - r)):
-                for dc in range(min(int(size["colspan"]), most - c)):
-                    grid[r + dr, c + dc] = cell
-            c += int(size["colspan"])
-    width = 1 + max((c for _, c in grid), default=-1)
-    height = 1 + max((r for r, _ in grid), default=-1)
-    return [[grid.get((r, c), "") for c in range(min(width, most))] for r in range(min(height, most))]
+            held = taken.setdefault(r, set())
+            while at in held:
+                at += 1
+            line[at] = cell
+            high, wide = (min(max(1, int(size[k])), widest) for k in ("rowspan", "colspan"))
+            for below in range(r, r + high):
+                taken.setdefault(below, set()).update(range(at, at + wide))
+            at += wide
+        grid.append(line)
+    width = max((max(places) + 1 for r, places in taken.items() if r < len(grid) and places), default=0)
+    return [[line.get(c, "") for c in range(width)] for line in grid]
 
 
 def sections_kept(sections: DataFrame) -> DataFrame:
@@ -241,6 +300,12 @@ def coverage(counts: DataFrame, fragment: Column) -> DataFrame:
     return rows.withColumn("status", status).drop("fragment")
 
 
+def readability() -> Column:
+    """Whether a paper can be read, from its class of availability and an open copy's address (elsewhere)."""
+    status = F.col("availability")
+    return F.when(status == "full", "held").when(F.col("elsewhere").isNotNull(), "elsewhere").when(status.isin("lookup_failed", "error"), "unknown").otherwise("none")
+
+
 def availability(df: DataFrame) -> Column:
     """Class of a lookup from (error, doi, found, pmcid, has_text, is_fragment) columns."""
     c = F.col
@@ -257,7 +322,7 @@ def availability(df: DataFrame) -> Column:
 
 def match_assets(refs: DataFrame, assets: DataFrame, by: str = "pmcid") -> DataFrame:
     """Each reference with the asset of its exact name if that is unique, else of its stem if that is unique, else null."""
-    name = lambda c: F.lower(F.regexp_extract(c, r"([^/\\]+)$", 1))
+    name = lambda c: F.regexp_extract(c, r"([^/\\]+)$", 1)
     stem = lambda c: F.regexp_replace(name(c), r"\.[^.]*$", "")
     held = assets.select(by, F.col("name").alias("asset"), name(F.col("name")).alias("n"), stem(F.col("name")).alias("s"))
     once = lambda k: held.groupBy(by, k).agg(F.count("*").alias("c"), F.min("asset").alias(f"by_{k}")).filter("c = 1").drop("c")

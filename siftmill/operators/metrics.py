@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmill.operators.ranking import decision_order, positions, ranking_metrics
+from siftmill.session import broadcast_if_small
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -87,7 +88,7 @@ def failure_matrix(decisions: DataFrame) -> DataFrame:
     counts = decisions.filter(~F.col("span_verified")).groupBy("review", F.coalesce("verify_note", F.lit("")).alias("note")).agg(F.count("*").alias("n"))
     total = counts.groupBy("note").agg(F.sum("n").alias("total"))
     placed = total.withColumn("column_no", F.row_number().over(W.orderBy(F.col("total").desc(), "note")).cast("bigint"))  # a row per note
-    return counts.join(F.broadcast(placed), "note").select("review", "note", "n", ratio(F.col("n"), F.sum("n").over(W.partitionBy("review"))).alias("share"), "column_no")
+    return counts.join(broadcast_if_small(placed), "note").select("review", "note", "n", ratio(F.col("n"), F.sum("n").over(W.partitionBy("review"))).alias("share"), "column_no")
 
 
 def confidence_histogram(decisions: DataFrame, bins: int = 10) -> DataFrame:
@@ -167,29 +168,31 @@ def metadata_coverage(works: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select("n", pairs.alias("p")).select("p.field", "p.n_present", "n", ratio(F.col("p.n_present"), F.col("n")).alias("share"))
 
 
-def spend_meter(decisions: DataFrame, budget: float, buckets: int = 64) -> DataFrame:
+def spend_meter(decisions: DataFrame, budget: float, block: int = 65_536) -> DataFrame:
     """Per run the paid calls in their order with the running cost, up to and with the first that reaches the budget.
 
-    The order of calls is cut into time ranges whose totals are summed first, so no run is one sorted task.
+    Calls are numbered in ranges, and blocks of numbers are summed first, so that no run and no burst is one sorted task.
     """
-    paid = decisions.filter("cost_usd > 0").select("run_id", "review", "work_id", "created_at", "cost_usd")
-    bounds = W.partitionBy("run_id")
-    t = F.unix_micros("created_at")
-    span = paid.groupBy("run_id").agg(F.min(t).alias("t0"), F.max(t).alias("t1"))
-    rows = paid.join(span, "run_id").withColumn("part", F.floor((t - F.col("t0")) * buckets / (F.col("t1") - F.col("t0") + 1)).cast("int"))
+    keys = ["run_id", "created_at", "review", "work_id"]
+    paid = decisions.filter("cost_usd > 0").select(*keys, "cost_usd")
+    rows = positions(paid, ["run_id"], [F.col(k).asc() for k in keys[1:]], "_k").withColumn("part", F.floor((F.col("_k") - 1) / block))
     sums = rows.groupBy("run_id", "part").agg(F.sum("cost_usd").alias("s"))
-    before = sums.select("run_id", "part", (F.sum("s").over(bounds.orderBy("part")) - F.col("s")).alias("offset"))
-    inside = W.partitionBy("run_id", "part").orderBy("created_at", "review", "work_id").rowsBetween(W.unboundedPreceding, 0)
+    before = sums.select("run_id", "part", (F.sum("s").over(W.partitionBy("run_id").orderBy("part")) - F.col("s")).alias("offset"))
+    inside = W.partitionBy("run_id", "part").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
     running = rows.join(before, ["run_id", "part"]).withColumn("spent", F.round(F.col("offset") + F.sum("cost_usd").over(inside), 8))
     return running.filter(F.round(F.col("spent") - F.col("cost_usd"), 8) < budget).select("run_id", "review", "work_id", "created_at", "spent", (F.col("spent") >= budget).alias("aborts"))
 
 
 def coverage_with_totals(papers: DataFrame, group: str) -> DataFrame:
-    """Per group and over all (null group): papers, fragments, share usable, upper median length of bodies."""
-    sizes = papers.select(group, F.length("body").alias("size"), "is_fragment")
-    middle = lambda c: F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
-    return (
-        sizes.rollup(group)
-        .agg(F.grouping(group).alias("g"), F.count("*").alias("n"), count_if(F.col("is_fragment")).alias("n_fragments"), middle(F.col("size")).cast("bigint").alias("upper_median"))
-        .select(F.when(F.col("g") == 1, "all").otherwise(F.col(group)).alias(group), "n", "n_fragments", ratio(F.col("n") - F.col("n_fragments"), F.col("n")).alias("usable"), "upper_median")
-    )
+    """Per group and over all: papers, fragments, share usable, upper median length of bodies.
+
+    Papers are counted by size first; the median is read off the counts, so no group is collected.
+    """
+    sizes = papers.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias(group), F.length("body").alias("size"), "is_fragment")
+    counts = sizes.groupBy(group, "size").agg(F.count("*").alias("n"), count_if(F.col("is_fragment")).alias("f"))
+    both = counts.unionByName(counts.withColumn(group, F.lit("all")))
+    both = both.groupBy(group, "size").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    totals = both.groupBy(group).agg(F.sum("n").alias("total"), F.sum("f").alias("n_fragments"), F.sum(F.when(F.col("size").isNotNull(), F.col("n"))).alias("sized"))
+    so_far = F.sum("n").over(W.partitionBy(group).orderBy("size").rowsBetween(W.unboundedPreceding, 0))  # a row per length
+    middle = both.filter("size is not null").withColumn("c", so_far).join(totals.select(group, "sized"), group).filter(F.col("c") > F.floor(F.col("sized") / 2)).groupBy(group).agg(F.min("size").cast("bigint").alias("upper_median"))
+    return totals.join(middle, group, "left").select(group, F.col("total").alias("n"), "n_fragments", ratio(F.col("total") - F.col("n_fragments"), F.col("total")).alias("usable"), "upper_median")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,9 +11,12 @@ from pyspark.sql import functions as F
 from siftmill.functions.text import normalise
 from siftmill.functions.verify import is_verified, verdict
 from siftmill.operators.documents import GAP_CUE
-from siftmill.operators.ingest import web_duplicates
+from siftmill.operators import ranking
+from siftmill.operators.ingest import web_duplicates, without_records
+from siftmill.operators.metrics import count_if, to_human
 from siftmill.operators.ranking import cosine, positions
 from siftmill.operators.responses import field_answers, screen
+from siftmill.session import stage
 
 #: Shortest abstract worth screening; most gaps of a paper.
 ABSTRACT_CHARS, GAPS = 200, 5
@@ -71,3 +76,29 @@ def reading_order(combined: DataFrame, by: list[str], position: str = "position"
     the nearest to the question first, those without a similarity in their source order."""
     ordered = combined.withColumn("_s", -F.coalesce("similarity", F.lit(0.0)))
     return positions(ordered, by, [F.col("reading_group").asc(), F.col("_s").asc(), F.col(position).asc()]).drop("_s")
+
+
+@dataclass(frozen=True)
+class HarnessConfig:
+    """What a run does: how records are ranked, how many of each review are decided, and the recall that is aimed at."""
+
+    strategy: str = "bm25"
+    max_records: int | None = None
+    recall_target: str = "0.95"
+    seed: int = 42
+
+
+def harness(config: HarnessConfig, works: DataFrame, questions: DataFrame, decisions: DataFrame, truth: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Per review from configuration to metrics: records ranked, the head cut after ranking, its decisions counted, and what
+    reading down the head costs. A review without records fails before anything is ranked; one without labels has no costs.
+
+    decisions: one per record (review, work_id, decision, span_verified); records without one are read by a human.
+    """
+    if without_records(questions, works).limit(1).count():
+        raise ValueError("a review has no records")
+    ranked = ranking.rank(config.strategy, works, seed=config.seed, questions=questions, scores=scores, limit=config.max_records)
+    head = stage(ranked.select("review", "work_id", "rank"))
+    joined = head.join(decisions.select("review", "work_id", "decision", "span_verified"), ["review", "work_id"], "left")
+    closed = F.coalesce(~to_human(), F.lit(False))
+    counts = joined.groupBy("review").agg(F.count("*").alias("n_head"), F.count("decision").alias("n_screened"), count_if(F.col("span_verified")).alias("n_verified"), count_if(~closed).alias("n_to_human"))
+    return counts.join(ranking.ranking_metrics(head, truth, config.recall_target), "review", "left")

@@ -5,13 +5,20 @@ Corpus statistics are those of a review, never of all. Every order ends in the r
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftmill.functions.porter import stems
-from siftmill.functions.text import query_terms, words
-from siftmill.session import stage
+from siftmill.functions.text import query_terms, source_text, words
+from siftmill.session import broadcast_if_small, stage
 
 K1, B = 1.2, 0.75
 #: Rank constant of reciprocal rank fusion; rows that a re-ranker scores.
@@ -38,31 +45,50 @@ def limited(ranked: DataFrame, limit: int | None) -> DataFrame:
     return ranked.filter(F.col("rank") <= limit) if limit else ranked
 
 
+#: Reviews whose questions and statistics are sent to every executor at most.
+REVIEWS = 5_000
+
+
+def _asked_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """review, raw (words of the collection whose stem is a term), of (their stems): only different words go to Python."""
+    vocabulary = docs.select(F.explode("words").alias("word")).distinct()
+    stemmed = vocabulary.select("word", F.element_at(stems(F.array("word")), 1).alias("term"))
+    known = asked.select("review", F.explode(F.array_distinct("terms")).alias("term")).join(stemmed, "term")
+    return known.groupBy("review").agg(F.collect_list("word").alias("raw"), F.map_from_entries(F.collect_list(F.struct("word", "term"))).alias("of"))
+
+
 def bm25(works: DataFrame, questions: DataFrame, stemmed: bool = False, limit: int | None = None) -> DataFrame:
     """review, work_id, score, rank: all records of the reviews with a question, the best first, unmatched last by id.
 
     questions: (review, question). A record's words are those of title and abstract together; a term in more than half of
-    the records has a weight of 1e-6. Texts are read once; only postings of question terms and a row per record are shuffled
-    and written, from which the statistics are taken.
+    the records has a weight of 1e-6. Texts are read once and not shuffled: each record keeps the counts of its review's
+    terms, from which the review's statistics are taken and, sent back, its score.
     """
-    text = words(F.concat_ws(" ", "title", "abstract"))
-    terms = questions.select("review", query_terms(F.col("question")).alias("terms"))
-    docs = works.join(questions.select("review").distinct(), "review", "left_semi").select("review", "work_id", text.alias("words"))
+    asked = questions.select("review", query_terms(F.col("question")).alias("terms"))
+    if stemmed:  # terms with one stem count once each
+        asked = asked.select("review", stems(F.col("terms")).alias("terms"))
+    asked = broadcast_if_small(asked, REVIEWS)
+    docs = works.join(asked.select("review"), "review", "left_semi").select("review", "work_id", words(F.concat_ws(" ", "title", "abstract")).alias("words"))
+    times = lambda terms: F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.size(F.filter(terms, lambda w: w == t)).alias("tf")))
     if stemmed:
-        terms = terms.select("review", stems(F.col("terms")).alias("terms"))
-        docs = docs.select("review", "work_id", stems(F.col("words")).alias("words"))
-    # terms with one stem count once each; a mark that no word is stands for the record itself
-    mark = terms.select("review", F.lit("").alias("term"), F.lit(0).cast("bigint").alias("times"))
-    wanted = terms.select("review", F.explode("terms").alias("term")).groupBy("review", "term").agg(F.count("*").alias("times")).unionByName(mark.distinct())
-    found = docs.select("review", "work_id", F.size("words").alias("size"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term")).join(wanted, ["review", "term"])
-    hits = stage(found.groupBy("review", "work_id", "size", "term", "times").agg(F.count("*").alias("tf")))
-    records, tf = hits.filter("term = ''"), hits.filter("term <> ''")
-    totals = records.groupBy("review").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
-    df = tf.groupBy("review", "term").agg(F.count("*").alias("df"))
+        docs = stage(docs)
+        raw = broadcast_if_small(stage(_asked_words(docs, asked)), REVIEWS)
+        known = F.array_intersect("words", "raw")
+        counted = docs.join(raw, "review", "left").withColumn("hits", F.transform(F.filter("words", lambda w: F.array_contains(known, w)), lambda w: F.element_at("of", w)))
+    else:
+        known = F.array_intersect("words", "terms")
+        counted = docs.join(asked, "review").withColumn("hits", F.filter("words", lambda w: F.array_contains(known, w)))
+    rows = stage(counted.select("review", "work_id", F.size("words").alias("size"), F.coalesce(times(F.col("hits")), F.array()).alias("tfs")))
+    totals = rows.groupBy("review").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    df = rows.select("review", F.explode("tfs.term").alias("term")).groupBy("review", "term").agg(F.count("*").alias("df"))
+    wanted = asked.select("review", F.explode("terms").alias("term")).groupBy("review", "term").agg(F.count("*").alias("times"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scores = tf.join(df, ["review", "term"]).join(totals, "review").groupBy("review", "work_id").agg(F.round(F.sum(part), 9).alias("score"))
-    ranked = records.select("review", "work_id").join(scores, ["review", "work_id"], "left")
+    weighed = df.join(wanted, ["review", "term"]).join(totals, "review").select("review", "term", (F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times")).alias("w"))
+    each = weighed.groupBy("review").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"))
+    stats = broadcast_if_small(stage(totals.join(each, "review", "left").select("review", "mean", "weights")), REVIEWS)
+    shape = K1 * (1 - B + B * F.col("size") / F.col("mean"))
+    score = F.aggregate("tfs", F.lit(0.0), lambda s, t: s + F.element_at("weights", t["term"]) * t["tf"] * (K1 + 1) / (t["tf"] + shape))
+    ranked = rows.join(stats, "review").select("review", "work_id", F.when(F.size("tfs") > 0, F.round(score, 9)).alias("score"))
     return limited(positions(ranked, ["review"], [F.col("score").desc_nulls_last(), F.col("work_id").asc()]), limit)
 
 
@@ -81,10 +107,58 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense_rank(vectors: DataFrame, query: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: int | None = None) -> DataFrame:
     """review, key, score, rank by cosine with the review's query vector; query: (review, query_vector), a row per review."""
-    scored = vectors.join(F.broadcast(query), "review").select("review", key, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("score"))
+    scored = vectors.join(broadcast_if_small(query, REVIEWS), "review").select("review", key, F.round(cosine(F.col(vector), F.col("query_vector")), 9).alias("score"))
     return limited(positions(scored, ["review"], [F.col("score").desc(), F.col(key).asc()]), limit)
 
 
+#: Places of the vectors made from words.
+PLACES = 64
+
+
+@lru_cache(maxsize=200_000)
+def _place(word: str) -> int:
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) % PLACES
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Counts of words in PLACES hashed places: a vector of a text where no model is at hand."""
+    for many in batches:
+        yield many.map(lambda ws: None if ws is None else np.bincount(list(map(_place, ws)), minlength=PLACES).astype(float).tolist() if len(ws) else [0.0] * PLACES)
+
+
+def text_vectors(texts: DataFrame, keys: list[str], text: Column, name: str = "embedding") -> DataFrame:
+    """keys and the hashed vector of each text's words."""
+    return texts.select(*keys, hashed_vector(words(text)).alias(name))
+
+
+def remembered_vectors(texts: DataFrame, keys: list[str], text: Column, folder: str) -> DataFrame:
+    """Vectors from the table below folder, if it was made of these very texts, else made anew and kept there.
+
+    The table stands under the hash of all ids and texts, so that vectors of another corpus are never taken for these.
+    """
+    spark = texts.sparkSession
+    row = F.xxhash64(*keys, F.coalesce(text, F.lit("None")))
+    print_ = texts.select(row.alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.sum(F.pmod("h", F.lit(1_000_003))).alias("s")).first()
+    path = f"{folder.rstrip('/')}/vectors-{hashlib.sha256(repr(tuple(print_)).encode()).hexdigest()[:32]}"
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        text_vectors(texts, keys, text).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def dense(works: DataFrame, questions: DataFrame, limit: int | None = None) -> DataFrame:
+    """All records of the reviews with a question by the cosine of their vectors with the question's."""
+    query = text_vectors(questions, ["review"], F.col("question"), "query_vector")
+    return dense_rank(text_vectors(works, ["review", "work_id"], source_text(F.col("title"), F.col("abstract"))), query, "work_id", limit=limit)
+
+
+def hybrid(works: DataFrame, questions: DataFrame, limit: int | None = None) -> DataFrame:
+    """The dense and the lexical ranking fused; records without a term count with their place by id."""
+    return fuse([dense(works, questions), bm25(works, questions)], limit=limit)
+
+
 def fuse(rankings: list[DataFrame], key: str = "work_id", k: int = RRF_K, limit: int | None = None) -> DataFrame:
     """review, key, score, rank: the sum of 1 / (k + rank) over the rankings."""
     union = rankings[0].select("review", key, "rank")
@@ -105,19 +179,31 @@ def rerank(ranked: DataFrame, scores: DataFrame, key: str = "work_id", top: int
     return limited(moved.unionByName(rest), limit)
 
 
-def rank(strategy: str, works: DataFrame, *, seed: int = 42, questions: DataFrame | None = None, others: list[DataFrame] | None = None, scores: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """One ranking by the name of its strategy."""
+def rank(strategy: str, works: DataFrame, *, seed: int = 42, questions: DataFrame | None = None, scores: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """One ranking by the name of its strategy: random, bm25, dense, hybrid, or rerank (hybrid, its head by external scores)."""
     if strategy == "random":
         return random_rank(works, seed, limit)
-    if questions is None and strategy == "bm25":
-        raise ValueError("bm25 needs questions")
-    if strategy == "bm25":
-        return bm25(works, questions, limit=limit)
-    if strategy == "hybrid" and others:
-        return fuse(others, limit=limit)
-    if strategy == "rerank" and others and scores is not None:
-        return rerank(fuse(others), scores, limit=limit)
-    raise ValueError(f"unknown strategy or missing input: {strategy}")
+    made = {"bm25": bm25, "dense": dense, "hybrid": hybrid}
+    if strategy not in (*made, "rerank"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    if questions is None:
+        raise ValueError(f"{strategy} needs questions")
+    if strategy == "rerank":
+        if scores is None:
+            raise ValueError("rerank needs scores")
+        return rerank(hybrid(works, questions), scores, limit=limit)
+    return made[strategy](works, questions, limit=limit)
+
+
+def one_record(works: DataFrame, by: list[str], seed: int | None = None, key: str = "work_id") -> DataFrame:
+    """One record of each group: the first by id, or with a seed the first in hash order."""
+    order = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), F.col(key)) if seed is not None else F.struct(key)
+    return works.groupBy(*by).agg(F.min_by(F.struct(*(c for c in works.columns if c not in by)), order).alias("r")).select(*by, "r.*")
+
+
+def fetched(ranked: DataFrame, rows: DataFrame, key: str = "work_id") -> DataFrame:
+    """The rows of a ranking's records, with their ranks."""
+    return ranked.select("review", key, "rank").join(rows, ["review", key])
 
 
 def rank_rows(rows: DataFrame, by: list[str], order: list[Column], key: str = "work_id") -> DataFrame:

@@ -32,6 +32,52 @@ def parse_decision(raw: Column) -> Column:
     return F.struct(r["decision"].alias("decision"), confidence.alias("confidence"), r["evidence_span"].alias("evidence_span"), note.alias("shape_note"))
 
 
+def _bare(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(raw), r"^```[a-z]*\s*|\s*```$", ""))
+
+
+def _read(raw: Column, shape: str) -> Column:
+    return F.from_json(_bare(raw), f"{shape}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+
+
+def parse_fields(raw: Column, fields: list[str]) -> Column:
+    """Struct of a (value, evidence_span) per field and shape_note, which is null where every field is there with both texts."""
+    r = _read(raw, ", ".join(f"`{f}` struct<value:string,evidence_span:string>" for f in fields))
+    good = r["_corrupt"].isNull()
+    for f in fields:
+        good = good & r[f]["value"].isNotNull() & r[f]["evidence_span"].isNotNull()
+    return F.struct(*(r[f].alias(f) for f in fields), _note(raw, good).alias("shape_note"))
+
+
+def parse_gap(raw: Column) -> Column:
+    """Struct of value, evidence_span and shape_note of one gap answer."""
+    r = _read(raw, "value string, evidence_span string")
+    return F.struct(r["value"].alias("value"), r["evidence_span"].alias("evidence_span"), _note(raw, r["_corrupt"].isNull() & r["value"].isNotNull() & r["evidence_span"].isNotNull()).alias("shape_note"))
+
+
+def parse_gaps(raw: Column) -> Column:
+    """Struct of gaps (array of value and evidence_span) and shape_note of a list answer; an empty list is well-shaped."""
+    r = _read(raw, "gaps array<struct<value:string,evidence_span:string>>")
+    good = r["_corrupt"].isNull() & r["gaps"].isNotNull() & F.forall(r["gaps"], lambda g: g["value"].isNotNull() & g["evidence_span"].isNotNull())
+    return F.struct(r["gaps"].alias("gaps"), _note(raw, good).alias("shape_note"))
+
+
+def parse_terms(raw: Column) -> Column:
+    """Struct of terms (array of texts) and shape_note of a query expansion."""
+    r = _read(raw, "terms array<string>")
+    return F.struct(r["terms"].alias("terms"), _note(raw, r["_corrupt"].isNull() & r["terms"].isNotNull()).alias("shape_note"))
+
+
+def _note(raw: Column, good: Column) -> Column:
+    return F.when(raw.isNull() | (_bare(raw) == ""), "empty_response").when(~F.coalesce(good, F.lit(False)), "schema_validation_failed")
+
+
+def require_same_requests(looked_up: DataFrame) -> DataFrame:
+    """The result of cache_lookup; a remembered answer to another request under the same key fails the job."""
+    fail = F.raise_error(F.concat(F.lit("another request is remembered under "), F.col("cache_key"))).cast("string")
+    return looked_up.withColumn("status", F.when(F.col("status") == "mismatch", fail).otherwise(F.col("status")))
+
+
 def screen(responses: DataFrame, works: DataFrame, keys: list[str]) -> DataFrame:
     """Decisions from raw responses: parsed, shape-checked and verified against the record.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftmill.session import broadcast_if_small
+
 PARTS = 32
 
 
@@ -43,7 +45,7 @@ def proportional(df: DataFrame, by: str, n: int, seed: int, keys: list[str]) ->
     allowed = quotas(df.groupBy(by).agg(F.count("*").alias("size")), by, n)
     few = stratified(df, [by], n, seed, keys)  # no group gets more than n
     order = W.partitionBy(by).orderBy(hash_order(seed, *keys), *keys)
-    return few.join(F.broadcast(allowed.select(by, "quota")), by).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("quota")).drop("_k", "quota")
+    return few.join(broadcast_if_small(allowed.select(by, "quota")), by).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("quota")).drop("_k", "quota")
 
 
 def keep_included(df: DataFrame, by: str, n: int, seed: int, keys: list[str], label: str = "label_included") -> DataFrame:
@@ -52,5 +54,5 @@ def keep_included(df: DataFrame, by: str, n: int, seed: int, keys: list[str], la
     few = stratified(df.filter(F.col(label) != 1), [by], n, seed, keys).unionByName(df.filter(F.col(label) == 1))
     order = W.partitionBy(by).orderBy(hash_order(seed, *keys), *keys)
     excluded = few.filter(F.col(label) != 1).withColumn("_k", F.row_number().over(order))
-    ranked = excluded.unionByName(few.filter(F.col(label) == 1).withColumn("_k", F.lit(0))).join(F.broadcast(included), by)
+    ranked = excluded.unionByName(few.filter(F.col(label) == 1).withColumn("_k", F.lit(0))).join(broadcast_if_small(included), by)
     return ranked.filter((F.col(label) == 1) | (F.col("_k") <= n - F.col("_inc"))).drop("_k", "_inc")

@@ -23,13 +23,14 @@ class Automaton:
 
     def __init__(self, text: str):
         self.next: list[dict[str, int]] = [{}]
-        self.link, self.size = [-1], [0]
+        self.link, self.size, self.end = [-1], [0], [0]  # end: where the state's texts end first
         last = 0
-        for c in text:
+        for at, c in enumerate(text, 1):
             now = len(self.size)
             self.next.append({})
             self.link.append(0)
             self.size.append(self.size[last] + 1)
+            self.end.append(at)
             p = last
             while p >= 0 and c not in self.next[p]:
                 self.next[p][c] = now
@@ -43,6 +44,7 @@ class Automaton:
                     self.next.append(dict(self.next[q]))
                     self.link.append(self.link[q])
                     self.size.append(self.size[p] + 1)
+                    self.end.append(self.end[q])
                     while p >= 0 and self.next[p].get(c) == q:
                         self.next[p][c] = copy
                         p = self.link[p]
@@ -50,20 +52,31 @@ class Automaton:
             last = now
 
     def longest_run(self, text: str) -> tuple[int, int]:
-        """(length, start) of the longest run of text that occurs here; the first of equals."""
-        state = length = best = start = 0
-        for i, c in enumerate(text):
-            while state and c not in self.next[state]:
-                state = self.link[state]
-                length = self.size[state]
-            if c in self.next[state]:
-                state = self.next[state][c]
+        """(length, end in this text) of the longest run here that occurs in text; the first here of equals."""
+        state = length = best = 0
+        found = 0
+        nexts, links, sizes = self.next, self.link, self.size
+        for c in text:
+            step = nexts[state]
+            while state and c not in step:
+                state = links[state]
+                length = sizes[state]
+                step = nexts[state]
+            if c in step:
+                state = step[c]
                 length += 1
+                if length > best or length == best and self.end[state] < self.end[found]:
+                    best, found = length, state
             else:
                 state = length = 0
-            if length > best:
-                best, start = length, i - length + 1
-        return best, start
+        return best, self.end[found] if best else 0
+
+
+def longest_run(span: str, source: str) -> tuple[int, int]:
+    """(length, start in span) of the longest run of span that occurs in source; the first of equals. The automaton is that
+    of the span, which is short; the source is only read."""
+    size, end = Automaton(span).longest_run(source)
+    return size, end - size
 
 
 def classify(span: str, title: str, abstract: str, source: str, criteria: str) -> tuple[str, float]:
@@ -78,8 +91,7 @@ def classify(span: str, title: str, abstract: str, source: str, criteria: str) -
         return "too_short", 0.0
     if len(span) > len(source):
         return "longer_than_source", 0.0
-    automaton = Automaton(source)
-    size, start = automaton.longest_run(span)
+    size, start = longest_run(span, source)
     share = size / len(span)
     if abstract and title and span not in abstract and span in title:
         return "quote_from_title", 1.0
@@ -87,7 +99,7 @@ def classify(span: str, title: str, abstract: str, source: str, criteria: str) -
         return ("truncated" if size == len(span) else "near_paraphrase"), share
     if size and share >= STITCH:
         for rest in (span[:start], span[start + size :]):
-            if len(rest) >= LEAST and automaton.longest_run(rest)[0] / len(rest) >= STITCH:
+            if len(rest) >= LEAST and longest_run(rest, source)[0] / len(rest) >= STITCH:
                 return "stitched", share
     return ("partial_overlap" if share >= PARTIAL else "fabricated"), share
 

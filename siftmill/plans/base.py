@@ -28,6 +28,11 @@ def criteria(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "review_criteria")
 
 
+def questions(spark: SparkSession, base: str) -> DataFrame:
+    """Each review's question: the text of its criteria."""
+    return criteria(spark, base).select("review", F.col("criteria").alias("question"))
+
+
 def labels(spark: SparkSession, base: str, item: tuple[str, ...] = ("review", "work_id")) -> DataFrame:
     """item, rater_id, label (include or exclude): the last plain label of each rater."""
     said = F.lower(F.regexp_replace("human_decision", r"^\s+|\s+$", ""))

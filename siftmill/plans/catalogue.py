@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siftmill.plans import retrieval, screening
-from siftmill.plans.sql import SQL  # noqa: F401
+from siftmill.plans import retrieval, reviewing, screening, sql
 
-QUERIES = screening.QUERIES | retrieval.QUERIES
+QUERIES = screening.QUERIES | retrieval.QUERIES | reviewing.QUERIES
+SQL = sql.SQL | reviewing.SQL
 FLAGSHIP = "bm25_ranking_metrics"

@@ -9,47 +9,46 @@ from siftmill.operators import documents, linalg, metrics, ranking
 from siftmill.plans import base as b
 
 
-def _questions(spark, d):
-    """Each review's question: the text of its criteria."""
-    return b.criteria(spark, d).select("review", F.col("criteria").alias("question"))
-
-
 def bm25_raw(spark, d):
     """BM25 of every record against its review's criteria, on words as they stand."""
-    return ranking.bm25(b.works(spark, d), _questions(spark, d)).select("review", "work_id", "score", "rank")
+    return ranking.bm25(b.works(spark, d), b.questions(spark, d)).select("review", "work_id", "score", "rank")
 
 
 def bm25_porter(spark, d):
     """BM25 on word stems."""
-    return ranking.bm25(b.works(spark, d), _questions(spark, d), stemmed=True).select("review", "work_id", "score", "rank")
+    return ranking.bm25(b.works(spark, d), b.questions(spark, d), stemmed=True).select("review", "work_id", "score", "rank")
 
 
 def random_rank(spark, d):
     return ranking.random_rank(b.works(spark, d))
 
 
+def dense_works(spark, d):
+    """Records by the likeness of their words to their review's criteria (hashed vectors stand in for a model's)."""
+    return ranking.dense(b.works(spark, d), b.questions(spark, d))
+
+
 def hybrid_rrf(spark, d):
-    """Reciprocal rank fusion of the lexical ranking and the seeded random one."""
-    works = b.works(spark, d)
-    return ranking.fuse([ranking.bm25(works, _questions(spark, d)), ranking.random_rank(works)])
+    """Reciprocal rank fusion of the dense and the lexical ranking."""
+    return ranking.rank("hybrid", b.works(spark, d), questions=b.questions(spark, d))
 
 
 def rerank(spark, d):
-    """The lexical ranking's first twenty by the length of the abstract."""
+    """The hybrid ranking's first two hundred by an external score, here the length of the abstract."""
     works = b.works(spark, d)
     scores = works.select("review", "work_id", F.length(F.coalesce("abstract", F.lit(""))).cast("double").alias("score"))
-    return ranking.rerank(ranking.bm25(works, _questions(spark, d)), scores, top=20)
+    return ranking.rank("rerank", works, questions=b.questions(spark, d), scores=scores)
 
 
 def bm25_ranking_metrics(spark, d):
     """What reading each review in lexical order costs, against the raters' majority."""
     known = b.truth(spark, d)
-    ranked = ranking.bm25(b.works(spark, d), _questions(spark, d))
+    ranked = ranking.bm25(b.works(spark, d), b.questions(spark, d))
     return ranking.ranking_metrics(ranked, known)
 
 
 def ranking_recall_curve(spark, d):
-    return ranking.recall_curve(ranking.bm25(b.works(spark, d), _questions(spark, d)), b.truth(spark, d))
+    return ranking.recall_curve(ranking.bm25(b.works(spark, d), b.questions(spark, d)), b.truth(spark, d))
 
 
 def run_recall_curve(spark, d):
@@ -77,27 +76,50 @@ def dense_rank(spark, d):
     return ranking.dense_rank(vectors, query).withColumnRenamed("review", "label")
 
 
+def _suggested(spark, d):
+    """Terms that may expand a review's question: its titles' words, the most frequent first."""
+    said = b.works(spark, d).select("review", F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"(\p{L}{5,})"), F.lit(1))).alias("term")).groupBy("review", "term").agg(F.count("*").alias("n"))
+    first = said.withColumn("k", F.row_number().over(ranking.W.partitionBy("review").orderBy(F.col("n").desc(), "term"))).filter("k <= 40")  # a row per different word
+    return first.groupBy("review").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda s: s["term"]).alias("terms"))
+
+
+def _arms(spark, d):
+    """review, arm, question: the title-like first line and the whole criteria, each without and with accepted terms."""
+    base = b.criteria(spark, d).join(_suggested(spark, d), "review", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    kinds = {"title": F.element_at(F.split("criteria", "\n"), 1), "criteria": F.col("criteria")}
+    arms = [F.struct(F.lit(f"{kind}{more}").alias("arm"), (ranking.expanded(q, ranking.accept_terms(q, F.col("terms"))) if more else q).alias("question")) for kind, q in kinds.items() for more in ("", "_expanded")]
+    return base.select("review", F.explode(F.array(*arms)).alias("a")).select("review", "a.*")
+
+
 def query_expansion(spark, d):
-    """Terms of a review's criteria lines that expand its title-like first line."""
-    lines = F.transform(F.split("criteria", "\n"), lambda s: F.regexp_replace(s, r"^[-*]\s*", ""))
-    rows = b.criteria(spark, d).select("review", F.element_at(lines, 1).alias("question"), F.flatten(F.transform(F.slice(lines, 2, 20), lambda s: F.split(s, r"[,.;]|\bof\b|\bor\b"))).alias("terms"))
+    """What is searched for each review: the first line of its criteria, and the title words accepted for it."""
+    rows = b.criteria(spark, d).join(_suggested(spark, d), "review", "left").select("review", F.element_at(F.split("criteria", "\n"), 1).alias("question"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
     terms = ranking.accept_terms(F.col("question"), F.col("terms"))
     return rows.select("review", ft.question_key(F.col("question")).alias("question_key"), F.array_join(terms, "|").alias("accepted"), ranking.expanded(F.col("question"), terms).alias("expanded"))
 
 
 def expansion_arms(spark, d):
-    """Ranking metrics of two arms per review, the criteria's first line and all of it, and the difference."""
-    first = b.criteria(spark, d).select("review", F.element_at(F.split("criteria", "\n"), 1).alias("question"))
-    arms = first.withColumn("arm", F.lit("question")).unionByName(_questions(spark, d).withColumn("arm", F.lit("expanded")))
-    works, known = b.works(spark, d), b.truth(spark, d)
-    # one job for both arms: an arm is part of the review's name
+    """Ranking metrics of four arms per review: title and criteria, without and with accepted terms, and both differences."""
+    arms, works, known = _arms(spark, d), b.works(spark, d), b.truth(spark, d)
+    # one job for all arms: an arm is part of the review's name
     key = F.concat_ws("\x1f", "review", "arm")
-    wide = works.join(arms.select("review", "arm"), "review").withColumn("review", key)
+    part = lambda k: F.element_at(F.split("review", "\x1f"), k)
+    names = arms.select("review", "arm")
+    wide = works.select("review", "work_id", "title", "abstract").join(names, "review").withColumn("review", key)
     ranked = ranking.bm25(wide, arms.select(key.alias("review"), "question"))
-    labelled = known.join(arms.select("review", "arm").distinct(), "review").withColumn("review", key)
-    m = ranking.ranking_metrics(ranked, labelled).withColumn("arm", F.element_at(F.split("review", "\x1f"), 2)).withColumn("review", F.element_at(F.split("review", "\x1f"), 1))
-    pivot = m.groupBy("review").agg(F.max(F.when(F.col("arm") == "question", F.col("tnr"))).alias("tnr_question"), F.max(F.when(F.col("arm") == "expanded", F.col("tnr"))).alias("tnr_expanded"))
-    return pivot.withColumn("delta", F.round(F.col("tnr_expanded") - F.col("tnr_question"), 6))
+    labelled = known.join(names, "review").withColumn("review", key)
+    m = ranking.ranking_metrics(ranked, labelled).withColumn("arm", part(2)).withColumn("review", part(1))
+    one = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("tnr"))).alias(f"tnr_{arm}")
+    pivot = m.groupBy("review").agg(*(one(a) for a in ("title", "title_expanded", "criteria", "criteria_expanded")))
+    delta = lambda kind: F.round(F.col(f"tnr_{kind}_expanded") - F.col(f"tnr_{kind}"), 6).alias(f"delta_{kind}")
+    return pivot.select("*", delta("title"), delta("criteria"))
+
+
+def expansion_summary(spark, d):
+    """Per kind of question: reviews measured, improved and worsened by expansion, and the mean difference."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"delta_{k}").alias("delta")) for k in ("title", "criteria")))).alias("p")
+    rows = expansion_arms(spark, d).select(pairs).select("p.*")
+    return rows.groupBy("kind").agg(F.count("delta").alias("n"), metrics.count_if(F.col("delta") > 0).alias("improved"), metrics.count_if(F.col("delta") < 0).alias("worsened"), F.round(F.avg("delta"), 6).alias("mean_delta"))
 
 
 def gap_candidates(spark, d):
@@ -115,11 +137,47 @@ def evidence_counts(spark, d):
     return documents.evidence_passages(b.sections(spark, d)).groupBy("pmcid", "kind").agg(F.count("*").alias("n"))
 
 
+def _marked_up(spark, d):
+    """Every paper as a JATS document made of its record and sections: a table of its sections, a figure per section on results
+    (a heat map where its number is even), a supplement where the paper has a DOI."""
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", " ")
+    safe = lambda c: F.replace(F.replace(F.replace(plain(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name.split()[0]}>"))
+    no = F.col("section_no").cast("string")
+    head = F.when(F.trim(F.coalesce("title", F.lit(""))) != "", tag("title", safe(F.col("title")))).otherwise("")
+    prose = F.array_join(F.transform(F.split(safe(F.col("text")), "\n"), lambda p: tag("p", p)), "")
+    figure = tag("fig", tag("label", F.lit("Figure "), no), tag("caption", tag("p", F.when(F.col("section_no") % 2 == 0, "Heat map of ").otherwise("Plot of "), safe(F.col("title")))), F.concat(F.lit('<graphic l:href="'), no, F.lit('.png"/>')))
+    parts = b.sections(spark, d).select("pmcid", "section_no", tag("sec", head, prose).alias("sec"), tag("tr", tag("td", no), tag("td", safe(F.col("title")))).alias("row"), F.when(F.col("title").rlike(documents.RESULT_HEADING), figure).otherwise("").alias("fig"))
+    ordered = parts.groupBy("pmcid").agg(F.array_sort(F.collect_list(F.struct("section_no", "sec", "row", "fig"))).alias("l"))
+    joined = lambda name: F.coalesce(F.array_join(F.transform("l", lambda s: s[name]), ""), F.lit(""))
+    ids = F.concat(F.lit('<article-id pub-id-type="pmcid">'), "pmcid", F.lit("</article-id>"), F.when(F.col("doi").isNotNull(), F.concat(F.lit('<article-id pub-id-type="doi">'), safe(F.col("doi")), F.lit("</article-id>"))).otherwise(""))
+    front = tag("front", ids, tag("article-title", safe(F.col("title"))), tag("abstract", tag("p", safe(F.col("abstract")))))
+    table = tag("table-wrap", tag("label", F.lit("Table 1")), tag("caption", tag("p", F.lit("Sections"))), tag("table", F.lit("<tr><th>no</th><th>title</th></tr>"), joined("row")))
+    supplement = F.when(F.col("doi").isNotNull(), '<supplementary-material l:href="data.csv"><label>S1</label></supplementary-material>').otherwise("")
+    papers = b.papers(spark, d).select("pmcid", "doi", "title", "abstract").join(ordered, "pmcid", "left")
+    xml = F.concat(F.lit('<article xmlns:l="http://www.w3.org/1999/xlink">'), front, tag("body", joined("sec"), table, joined("fig")), supplement, F.lit("</article>"))
+    return documents.parse_papers(papers.select("pmcid", xml.alias("xml")), "pmcid", "xml")
+
+
+def parsed_sections(spark, d):
+    """Sections read back from the marked-up papers."""
+    rows = _marked_up(spark, d).select("pmcid", F.posexplode("sections").alias("k", "s"))
+    return rows.select("pmcid", (F.col("k") + 1).cast("bigint").alias("k"), F.length("s.title").cast("bigint").alias("title_chars"), F.sha2("s.text", 256).alias("sha256"))
+
+
+def parsed_papers(spark, d):
+    """What the marked-up papers hold: identifiers, tables with their rows, figures, heat maps, supplements, fragments."""
+    rows = _marked_up(spark, d)
+    heat = F.size(F.filter("figures", lambda f: f["kind"] == "heat_map"))
+    c = lambda x: x.cast("bigint")
+    return rows.select("pmcid", "ok", F.col("doi").isNotNull().alias("has_doi"), c(F.size("tables")).alias("n_tables"), c(F.size(F.flatten("tables.rows"))).alias("n_table_rows"), c(F.size("figures")).alias("n_figures"), c(heat).alias("n_heat_maps"), c(F.size("supplements")).alias("n_supplements"), documents.is_fragment(rows).alias("is_fragment"))
+
+
 def content_coverage(spark, d):
-    """Status of the kinds of content that prose can show, per paper."""
+    """Status of the eight kinds of content per paper: what its passages and its parsed parts hold."""
     counts = documents.evidence_passages(b.sections(spark, d)).groupBy("pmcid").agg(*(metrics.count_if(F.col("kind") == k).alias(k) for k in documents.EVIDENCE))
-    empty = [F.lit(0).alias(k) for k in ("data_tables", "heat_maps", "graphs_charts", "supplementary_files")]
-    rows = b.papers(spark, d).select("pmcid", "is_fragment").join(counts, "pmcid", "left").select("*", *empty)
+    parts = parsed_papers(spark, d).select("pmcid", F.col("n_tables").alias("data_tables"), F.col("n_heat_maps").alias("heat_maps"), F.col("n_figures").alias("graphs_charts"), F.col("n_supplements").alias("supplementary_files"))
+    rows = b.papers(spark, d).select("pmcid", "is_fragment").join(counts, "pmcid", "left").join(parts, "pmcid", "left")
     return documents.coverage(rows, F.col("is_fragment"))
 
 
@@ -154,11 +212,12 @@ def paper_identifiers(spark, d):
 
 
 def inverted_abstracts(spark, d):
-    """Abstracts rebuilt from their inverted indexes: whether they come out as they were."""
+    """Abstracts rebuilt from their inverted indexes: whether they come out as they were. Each within its row."""
     words = F.split("abstract", " ")
-    rows = b.works(spark, d).filter(F.length(F.trim("abstract")) > 0).select("review", "work_id", "abstract", F.posexplode(words).alias("at", "word"))
-    index = rows.groupBy("review", "work_id", "abstract", "word").agg(F.sort_array(F.collect_list("at")).alias("ats")).groupBy("review", "work_id", "abstract").agg(F.map_from_entries(F.collect_list(F.struct("word", "ats"))).alias("index"))
-    return index.select("review", "work_id", (ft.inverted_text(F.col("index")) == F.col("abstract")).alias("same"))
+    rows = b.works(spark, d).filter(F.length(F.trim("abstract")) > 0).select("review", "work_id", "abstract", words.alias("words"))
+    at = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    index = F.map_from_entries(F.transform(F.array_distinct("words"), lambda w: F.struct(w, F.transform(F.filter(at, lambda x: x["w"] == w), lambda x: x["i"]))))
+    return rows.select("review", "work_id", (ft.inverted_text(index) == F.col("abstract")).alias("same"))
 
 
 def span_sections(spark, d):
@@ -173,7 +232,7 @@ def semantic_map(spark, d):
 
 
 NAMES = [
-    bm25_raw, bm25_porter, random_rank, hybrid_rrf, rerank, bm25_ranking_metrics, ranking_recall_curve, run_recall_curve, decision_order, append_rest, dense_rank, query_expansion, expansion_arms,
+    bm25_raw, bm25_porter, random_rank, dense_works, hybrid_rrf, rerank, bm25_ranking_metrics, ranking_recall_curve, run_recall_curve, decision_order, append_rest, dense_rank, query_expansion, expansion_arms, expansion_summary, parsed_sections, parsed_papers,
     gap_candidates, figure_mentions, evidence_counts, content_coverage, kept_sections, prompt_source, body_roundtrip, fulltext_coverage, paper_identifiers, inverted_abstracts, span_sections, semantic_map,
 ]
 QUERIES = {q.__name__: q for q in NAMES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftmill.functions.verify import verify
-from siftmill.operators import ablation, agreement, ingest, metrics, pipeline, responses, sampling, typology
+from siftmill.operators import ablation, agreement, ingest, metrics, pipeline, ranking, responses, sampling, typology
 from siftmill.plans import base as b
 
 CATEGORIES = ["include", "exclude"]
@@ -129,25 +129,12 @@ def _arms(spark, d):
     return last.select("review", "work_id", F.col("model").alias("arm"), value.alias("value"), "r.evidence_span", "r.decision", "r.span_verified")
 
 
-ARMS = ["quillet-7b", "tessel-large"]
-
-
-def arm_consensus(spark, d):
-    return agreement.arms(_arms(spark, d), ARMS)
-
-
-def arm_disagreements(spark, d):
-    """Records on which two models with verified answers differ."""
-    rows = agreement.disagreements(_arms(spark, d).filter(F.col("arm").isin(ARMS)))
-    return rows.select("review", "work_id", *(F.col("said")[a]["value"].alias(f"value_{i}") for i, a in enumerate(ARMS)))
-
-
 def _all_arms(spark, d):
     """The models of all runs, by name: as many as were configured."""
     return [r["model"] for r in b.runs(spark, d).select("model").filter("model is not null").distinct().orderBy("model").collect()]
 
 
-def arm_consensus_all(spark, d):
+def arm_consensus(spark, d):
     """Consensus of all models on the records that each of them saw; flagged has every model with its count."""
     names = _all_arms(spark, d)
     rows = agreement.arms(_arms(spark, d), names)
@@ -155,7 +142,7 @@ def arm_consensus_all(spark, d):
     return rows.select("review", "n_records", "n_rated_by_every_arm", flagged.alias("flagged"), "n_unanimous", "n_disagreed", "both", "either")
 
 
-def arm_disagreements_all(spark, d):
+def arm_disagreements(spark, d):
     """Records on which any two models with verified answers differ, with the value of every model that rated them."""
     rows = agreement.disagreements(_arms(spark, d).filter("value is not null and arm is not null"))
     said = F.array_join(F.transform(F.map_entries("said"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["value"])), " ")
@@ -170,8 +157,9 @@ def suggestion_combine(spark, d):
 
 
 def reading_order(spark, d):
-    """All records in the order they are read: backed by the models, referred, set aside; each by id."""
-    rows = suggestion_combine(spark, d).withColumn("similarity", F.lit(None).cast("double"))
+    """All records in the order they are read: backed by the models, referred, set aside; each by its likeness to the question."""
+    near = ranking.dense(b.works(spark, d), b.questions(spark, d)).select("review", "work_id", F.col("score").alias("similarity"))
+    rows = suggestion_combine(spark, d).join(near, ["review", "work_id"], "left")
     return pipeline.reading_order(rows, ["review"], "work_id").select("review", "work_id", "reading_group", "rank")
 
 
@@ -257,15 +245,17 @@ def corpus_fingerprint(spark, d):
 
 
 def upsert_decisions(spark, d):
-    """The earlier half of each run's decisions overwritten by all of them: the last of every key stands."""
+    """The earlier deliveries of all decisions overwritten by the later ones: the last of every key stands."""
     rows = b.table(spark, d, "screening_decision").select("run_id", "review", "work_id", "decision", "confidence", "created_at")
     old = rows.filter("created_at < timestamp '2026-06-01'")
-    kept = ingest.upsert(old, rows, ["run_id", "review", "work_id"], "created_at")
+    new = rows.filter("created_at >= timestamp '2026-06-01'")
+    kept = ingest.upsert(ingest.upsert(old.limit(0), old, ["run_id", "review", "work_id"], "created_at"), new, ["run_id", "review", "work_id"], "created_at")
     return kept.select("run_id", "review", "work_id", "decision", "confidence", F.unix_micros("created_at").alias("at_us"))
 
 
 def reviews_without_records(spark, d):
-    return ingest.without_records(b.criteria(spark, d), b.works(spark, d))
+    """Reviews without a record of the last year but one."""
+    return ingest.without_records(b.criteria(spark, d), b.works(spark, d).filter("year = 2024"))
 
 
 def criteria_status(spark, d):
@@ -294,7 +284,7 @@ def cached_prompts(spark, d):
 
 NAMES = [
     verify_span, verification_failures, verification_by_review, review_metrics, run_ranking_metrics, failure_matrix, confidence_histogram, latest_runs, latency_summary, cache_savings, override_summary,
-    override_accuracy, prevalence, year_histogram, metadata_coverage, spend_meter, rater_agreement_ac1, inter_run_ac1, confidence_ac2, model_human_pabak, wilson_recall, arm_consensus, arm_disagreements, arm_consensus_all, arm_disagreements_all,
+    override_accuracy, prevalence, year_histogram, metadata_coverage, spend_meter, rater_agreement_ac1, inter_run_ac1, confidence_ac2, model_human_pabak, wilson_recall, arm_consensus, arm_disagreements,
     suggestion_combine, reading_order, discovered_records, recover_proposals, verifier_ablation, prompt_stage_ablation, typology_failures, typology_distribution, typology_wrong, typology_sample, stratified_sample, label_aware_sample,
     screen_responses, cache_lookup, field_coverage, corpus_fingerprint, upsert_decisions, reviews_without_records, criteria_status, clean_works, web_duplicates, cached_prompts,
 ]

@@ -50,6 +50,20 @@ def bm25(questions: str = "SELECT review, criteria AS question FROM review_crite
         bm AS (SELECT review, work_id, score, row_number() OVER (PARTITION BY review ORDER BY score DESC NULLS LAST, work_id) AS rank FROM b0 LEFT JOIN b5 USING (review, work_id))"""
 
 
+def places(rows: str, keys: str, text: str) -> str:
+    """Counts of a text's words in hashed places."""
+    word = f"unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'))"
+    return f"SELECT {keys}, ('0x' || left(md5(word), 4))::INTEGER % 64 AS place, count(*)::DOUBLE AS n FROM (SELECT {keys}, {word} AS word FROM {rows}) GROUP BY ALL"
+
+
+DENSE = f"""
+        dv AS ({places('w', 'review, work_id', "concat_ws(' ', nullif(title, ''), nullif(abstract, ''))")}), qv AS ({places('review_criteria', 'review', 'criteria')}),
+        dl AS (SELECT review, work_id, sqrt(sum(n * n)) AS l FROM dv GROUP BY ALL), ql AS (SELECT review, sqrt(sum(n * n)) AS l FROM qv GROUP BY ALL),
+        dd AS (SELECT review, work_id, sum(dv.n * qv.n) AS dot FROM dv JOIN qv USING (review, place) GROUP BY ALL),
+        ds AS (SELECT w.review, w.work_id, round(coalesce(dot / (dl.l * ql.l), 0.0), 9) AS score FROM w JOIN ql USING (review) LEFT JOIN dl USING (review, work_id) LEFT JOIN dd USING (review, work_id)),
+        de AS (SELECT review, work_id, score, row_number() OVER (PARTITION BY review ORDER BY score DESC, work_id) AS rank FROM ds)"""
+HYBRID = f"""{bm25()}, {DENSE}, hs AS (SELECT review, work_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT review, work_id, rank FROM bm UNION ALL SELECT review, work_id, rank FROM de) GROUP BY ALL),
+        hy AS (SELECT review, work_id, score, row_number() OVER (PARTITION BY review ORDER BY score DESC, work_id) AS rank FROM hs)"""
 RANDOM = "rr AS (SELECT review, work_id, row_number() OVER (PARTITION BY review ORDER BY md5(concat_ws(':', '42', work_id)), work_id) AS rank FROM w)"
 
 
@@ -71,7 +85,6 @@ def gwet(rows: str, unit: str, category: str, categories: list[str], by: str, qu
 ARMS = """m AS (SELECT review, work_id, model AS arm, max_by({'d': decision, 'v': span_verified, 'e': evidence_span}, run_id) AS r
         FROM d JOIN screening_run USING (run_id) GROUP BY ALL),
     g AS (SELECT review, work_id, arm, CASE WHEN r.v THEN CASE WHEN r.d = 'include' THEN 'gap_stated' ELSE 'not_stated' END END AS value, r.d AS decision, r.v AS span_verified FROM m)"""
-TWO = "arm IN ('quillet-7b', 'tessel-large')"
 
 #: Sentences as functions.text.sentences has them: ends marked first, as this engine's patterns cannot look back.
 SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace({text}, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
@@ -143,21 +156,14 @@ SQL = {
             CASE WHEN sampled = 0 THEN 1.0 ELSE least(1.0, (p + z*z/(2*m) + z * sqrt(p*(1-p)/m + z*z/(4*m*m))) / (1 + z*z/m)) END AS hi FROM x)
         SELECT review, tp, pool, sampled, misses, round(p * pool, 6) AS false_negatives, {ratio('tp', 'tp + p * pool')} AS recall, {ratio('tp', 'tp + hi * pool')} AS recall_low,
             {ratio('tp', 'tp + lo * pool')} AS recall_high FROM b""",
-    "arm_consensus": f"""WITH {DECISIONS}, {ARMS}, e AS (SELECT review, work_id, count(DISTINCT arm) AS seen, count(value) AS rated, bool_and(value = 'gap_stated') AS ev, bool_or(value = 'gap_stated') AS an,
-            bool_or(arm = 'quillet-7b' AND value = 'gap_stated') AS f0, bool_or(arm = 'tessel-large' AND value = 'gap_stated') AS f1 FROM g WHERE {TWO} GROUP BY 1, 2 HAVING count(DISTINCT arm) = 2)
-        SELECT review, count(*) AS n_records, count(CASE WHEN rated = 2 THEN 1 END) AS n_rated_by_every_arm, count(CASE WHEN f0 THEN 1 END) AS "flagged_quillet-7b", count(CASE WHEN f1 THEN 1 END) AS "flagged_tessel-large",
-            count(CASE WHEN rated = 2 AND ev = an THEN 1 END) AS n_unanimous, count(CASE WHEN rated = 2 AND ev <> an THEN 1 END) AS n_disagreed,
-            count(CASE WHEN rated = 2 AND ev THEN 1 END) AS both, count(CASE WHEN rated = 2 AND an THEN 1 END) AS either FROM e GROUP BY review""",
-    "arm_disagreements": f"""WITH {DECISIONS}, {ARMS} SELECT review, work_id, max(CASE WHEN arm = 'quillet-7b' THEN value END) AS value_0, max(CASE WHEN arm = 'tessel-large' THEN value END) AS value_1
-        FROM g WHERE {TWO} GROUP BY 1, 2 HAVING count(DISTINCT value) > 1 AND count(*) = count(value)""",
-    "arm_consensus_all": f"""WITH {DECISIONS}, {ARMS}, names AS (SELECT DISTINCT model AS arm FROM screening_run WHERE model IS NOT NULL), every AS (SELECT count(*) AS k FROM names),
+    "arm_consensus": f"""WITH {DECISIONS}, {ARMS}, names AS (SELECT DISTINCT model AS arm FROM screening_run WHERE model IS NOT NULL), every AS (SELECT count(*) AS k FROM names),
         e AS (SELECT review, work_id, count(DISTINCT arm) AS seen, count(value) AS rated, bool_and(value = 'gap_stated') AS ev, bool_or(value = 'gap_stated') AS an FROM g WHERE arm IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT arm) = (SELECT k FROM every)),
         f AS (SELECT review, arm, count(CASE WHEN value = 'gap_stated' THEN 1 END) AS n FROM g JOIN e USING (review, work_id) WHERE arm IS NOT NULL GROUP BY 1, 2),
         l AS (SELECT review, string_agg(arm || ':' || n, ' ' ORDER BY arm) AS flagged FROM f GROUP BY 1)
         SELECT e.review, count(*) AS n_records, count(CASE WHEN rated = k THEN 1 END) AS n_rated_by_every_arm, any_value(flagged) AS flagged,
             count(CASE WHEN rated = k AND ev = an THEN 1 END) AS n_unanimous, count(CASE WHEN rated = k AND ev <> an THEN 1 END) AS n_disagreed,
             count(CASE WHEN rated = k AND ev THEN 1 END) AS both, count(CASE WHEN rated = k AND an THEN 1 END) AS either FROM e JOIN l USING (review), every GROUP BY e.review""",
-    "arm_disagreements_all": f"""WITH {DECISIONS}, {ARMS} SELECT review, work_id, count(*) AS n_rated, string_agg(arm || ':' || value, ' ' ORDER BY arm) AS said
+    "arm_disagreements": f"""WITH {DECISIONS}, {ARMS} SELECT review, work_id, count(*) AS n_rated, string_agg(arm || ':' || value, ' ' ORDER BY arm) AS said
         FROM g WHERE value IS NOT NULL AND arm IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT value) > 1""",
     "suggestion_combine": f"""WITH {DECISIONS}, {ARMS}, o AS (SELECT *, row_number() OVER (PARTITION BY review, work_id ORDER BY arm) AS k, decision = 'include' AND span_verified AS says FROM g),
         e AS (SELECT review, work_id, count(*) AS n_arms, count(CASE WHEN span_verified THEN 1 END) AS nv, count(DISTINCT CASE WHEN span_verified THEN says END) AS answers,
@@ -175,7 +181,7 @@ SQL = {
         SELECT CASE WHEN c.cache_key IS NULL THEN 'miss' WHEN c.request_sha256 IS NULL THEN 'miss' ELSE 'hit' END AS status, count(*) AS n FROM k LEFT JOIN c USING (cache_key) GROUP BY 1""",
     "upsert_decisions": """SELECT run_id, review, work_id, decision, confidence, epoch_us(created_at) AS at_us FROM screening_decision
         QUALIFY row_number() OVER (PARTITION BY run_id, review, work_id ORDER BY created_at DESC) = 1""",
-    "reviews_without_records": "SELECT DISTINCT review FROM review_criteria WHERE review NOT IN (SELECT review FROM works WHERE review IS NOT NULL)",
+    "reviews_without_records": "SELECT DISTINCT review FROM review_criteria WHERE review NOT IN (SELECT review FROM works WHERE review IS NOT NULL AND year = 2024)",
     "criteria_status": """SELECT DISTINCT w.review, length(coalesce(criteria, 'draft')) AS criteria, CASE WHEN criteria IS NULL THEN 'working-draft' ELSE 'published' END AS status
         FROM works w LEFT JOIN review_criteria USING (review)""",
     "clean_works": rf"""WITH {WORKS}, k AS (SELECT *, regexp_replace(title, '^\s+|\s+$', '', 'g') AS ti, regexp_replace(abstract, '^\s+|\s+$', '', 'g') AS ab FROM w)
@@ -188,10 +194,10 @@ SQL = {
         SELECT run_id, review, work_id, epoch_us(created_at) AS at_us, spent, spent >= 0.05 AS aborts FROM e WHERE round(spent - cost_usd, 8) < 0.05""",
     "bm25_raw": f"WITH {WORKS}, {bm25()} SELECT review, work_id, score, rank FROM bm",
     "random_rank": f"WITH {WORKS}, {RANDOM} SELECT * FROM rr",
-    "hybrid_rrf": f"""WITH {WORKS}, {bm25()}, {RANDOM}, e AS (SELECT review, work_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT review, work_id, rank FROM bm UNION ALL SELECT * FROM rr) GROUP BY ALL)
-        SELECT review, work_id, score, row_number() OVER (PARTITION BY review ORDER BY score DESC, work_id) AS rank FROM e""",
-    "rerank": f"""WITH {WORKS}, {bm25()} SELECT review, work_id, bm.rank AS old_rank, row_number() OVER (PARTITION BY review ORDER BY CASE WHEN bm.rank <= 20 THEN 0 ELSE 1 END,
-        CASE WHEN bm.rank <= 20 THEN -length(coalesce(abstract, '')) END, bm.rank) AS rank FROM bm JOIN w USING (review, work_id)""",
+    "dense_works": f"WITH {WORKS}, {DENSE} SELECT * FROM de",
+    "hybrid_rrf": f"WITH {WORKS}, {HYBRID} SELECT * FROM hy",
+    "rerank": f"""WITH {WORKS}, {HYBRID} SELECT review, work_id, hy.rank AS old_rank, row_number() OVER (PARTITION BY review ORDER BY CASE WHEN hy.rank <= 200 THEN 0 ELSE 1 END,
+        CASE WHEN hy.rank <= 200 THEN -length(coalesce(abstract, '')) END, hy.rank) AS rank FROM hy JOIN w USING (review, work_id)""",
     "bm25_ranking_metrics": f"WITH {WORKS}, {TRUTH}, {bm25()}, i AS (SELECT review, rank, label_included FROM bm JOIN t USING (review, work_id))," + ranking("i", "review"),
     "ranking_recall_curve": f"""WITH {WORKS}, {TRUTH}, {bm25()}, i AS (SELECT review, row_number() OVER p AS rank, label_included, sum(label_included) OVER (PARTITION BY review ORDER BY rank ROWS UNBOUNDED PRECEDING) AS found,
             count(*) OVER (PARTITION BY review) AS n, sum(label_included) OVER (PARTITION BY review) AS inc FROM bm JOIN t USING (review, work_id) WINDOW p AS (PARTITION BY review ORDER BY rank))
@@ -244,12 +250,34 @@ SQL = {
         k AS (SELECT pmcid, trim(unnest(ss)) AS sentence, generate_subscripts(ss, 1) AS pos FROM e),
         g AS (SELECT pmcid, sentence, pos, unnest(list_distinct(list_filter(regexp_extract_all(sentence, '(?i)\bfig(?:ure|ures|s|\.)?\s*\.?\s*(\d+(?:\.\d)?)', 1), lambda x: NOT contains(x, '.')))) AS figure FROM k)
         SELECT pmcid, CAST(figure AS INTEGER) AS figure, row_number() OVER (PARTITION BY pmcid, figure ORDER BY pos) AS mention_no, sentence FROM g QUALIFY mention_no <= 3""",
-    "query_expansion": None,
+    "typology_sample": f"""WITH {DECISIONS}, f AS (SELECT run_id, review, work_id FROM d WHERE NOT span_verified), c AS (SELECT review, count(*) AS size FROM f GROUP BY 1),
+        q AS (SELECT review, size, least(size, greatest(1, CAST(round(50 * size / sum(size) OVER ()) AS BIGINT))) AS quota FROM c),
+        o AS (SELECT *, sum(quota) OVER () - 50 AS ov FROM q), s AS (SELECT *, CASE WHEN ov > 0 THEN quota - 1 ELSE size - quota END AS spare FROM o),
+        b AS (SELECT *, coalesce(sum(spare) OVER (ORDER BY size DESC, review ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+        k AS (SELECT review, quota - sign(ov) * greatest(0, least(spare, abs(ov) - before)) AS quota FROM b)
+        SELECT run_id, review, work_id FROM f JOIN k USING (review) QUALIFY row_number() OVER (PARTITION BY review ORDER BY md5(concat_ws(':', '42', run_id, review, work_id)), run_id, review, work_id) <= quota""",
+    # first wins, a row of each review at a time
+    "web_duplicates": rf"""WITH RECURSIVE {WORKS}, k AS (SELECT review, work_id, row_number() OVER (PARTITION BY review ORDER BY work_id) AS k,
+            list_filter(['d:' || nullif(trim(regexp_replace(lower(trim(doi)), '^(?:https?://(?:dx\.)?doi\.org/|doi:)\s*', '')), ''),
+                't:' || nullif(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), '') || chr(31) || coalesce(CAST(year AS VARCHAR), 'None')], lambda x: x IS NOT NULL) AS keys FROM w),
+        g AS (SELECT DISTINCT review, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS work_id, CAST(NULL AS BOOLEAN) AS kept, CAST([] AS VARCHAR[]) AS seen FROM k
+            UNION ALL SELECT k.review, k.k, k.work_id, NOT list_has_any(g.seen, k.keys), CASE WHEN list_has_any(g.seen, k.keys) THEN g.seen ELSE list_concat(g.seen, k.keys) END FROM g JOIN k ON k.review = g.review AND k.k = g.k + 1)
+        SELECT review, work_id, kept FROM g WHERE k > 0""",
 }
-SQL["content_coverage"] = f"""WITH {PAPERS}, e AS ({SQL['evidence_counts']}),
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_flat = lambda x: f"trim(regexp_replace(regexp_replace({x}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{fffe}}\\x{{ffff}}]', ' ', 'g'), '{_WS}', ' ', 'g'))"
+SQL["parsed_sections"] = f"""WITH {SECTIONS}, {PAPERS}, p AS (SELECT pmcid, section_no, nullif({_flat('title')}, '') AS ti, unnest(string_split(coalesce(text, ''), chr(10))) AS para, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM s SEMI JOIN f USING (pmcid)),
+    q AS (SELECT pmcid, section_no, ti, i, {_flat('para')} AS pa FROM p),
+    g AS (SELECT pmcid, section_no, ti, string_agg(pa, chr(10) ORDER BY i) AS text FROM q WHERE pa <> '' AND (ti IS NULL OR NOT regexp_matches(ti, '{BACK_MATTER}')) GROUP BY ALL)
+    SELECT pmcid, row_number() OVER (PARTITION BY pmcid ORDER BY section_no) AS k, length(ti) AS title_chars, sha256(text) AS sha256 FROM g"""
+SQL["parsed_papers"] = f"""WITH {SECTIONS}, {PAPERS}, e AS (SELECT pmcid, count(*) AS n, count(CASE WHEN regexp_matches(title, '{RESULT_HEADING}') THEN 1 END) AS figs, count(CASE WHEN regexp_matches(title, '{RESULT_HEADING}') AND section_no % 2 = 0 THEN 1 END) AS heat FROM s GROUP BY 1)
+    SELECT pmcid, true AS ok, coalesce({_flat('doi')}, '') <> '' AS has_doi, 1 AS n_tables, 1 + coalesce(n, 0) AS n_table_rows, coalesce(figs, 0) AS n_figures, coalesce(heat, 0) AS n_heat_maps,
+        CASE WHEN doi IS NULL THEN 0 ELSE 1 END AS n_supplements, false AS is_fragment FROM f LEFT JOIN e USING (pmcid)"""
+SQL["content_coverage"] = f"""WITH {PAPERS}, e0 AS ({SQL['evidence_counts']}), pp AS ({SQL['parsed_papers']}),
+    e AS (SELECT pmcid, kind, n FROM e0 UNION ALL SELECT pmcid, unnest(['data_tables', 'heat_maps', 'graphs_charts', 'supplementary_files']), unnest([n_tables, n_heat_maps, n_figures, n_supplements]) FROM pp),
     k AS (SELECT unnest(['data_tables', 'heat_maps', 'graphs_charts', 'statistical_results', 'methods', 'equations_models', 'supplementary_files', 'limitations']) AS kind),
     g AS (SELECT f.pmcid, is_fragment, k.kind, coalesce(e.n, 0) AS n FROM f CROSS JOIN k LEFT JOIN e ON e.pmcid = f.pmcid AND e.kind = k.kind)
-    SELECT pmcid, kind, n, CASE WHEN kind = 'supplementary_files' THEN 'source_unavailable' WHEN n > 0 THEN 'extracted' WHEN is_fragment THEN 'source_unavailable' ELSE 'not_found' END AS status FROM g"""
+    SELECT pmcid, kind, n, CASE WHEN kind IN ('heat_maps', 'graphs_charts') AND n > 0 THEN 'needs_human_review' WHEN kind = 'supplementary_files' THEN 'source_unavailable' WHEN n > 0 THEN 'extracted' WHEN is_fragment THEN 'source_unavailable' ELSE 'not_found' END AS status FROM g"""
 SQL["span_sections"] = f"""WITH {SECTIONS}, {PAPERS}, e AS (SELECT pmcid, unnest({SENTENCES.format(text='body')}) AS sentence, generate_subscripts({SENTENCES.format(text='body')}, 1) AS pos FROM f),
     k AS (SELECT *, {normalised('sentence')} AS n FROM e WHERE length(sentence) >= 25 AND regexp_matches(sentence, '{GAP_CUE}')),
     o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY pmcid, n ORDER BY pos) = 1),
@@ -304,13 +332,20 @@ SQL["field_coverage"] = f"""WITH {WORKS}, {CACHE}, {PARSED}, k AS (SELECT j.*, c
     gr AS (SELECT DISTINCT model, unnest(['decision', 'confidence', 'key_finding']) AS field FROM z)
     SELECT gr.model, gr.field, coalesce(n, 0) AS n, coalesce(n_verified, 0) AS n_verified, coalesce(n_not_stated, 0) AS n_not_stated, coalesce(n - n_verified - n_not_stated, 0) AS n_unverified,
         {ratio('n_verified', 'n')} AS share FROM gr LEFT JOIN q ON gr.model = q.model AND gr.field = q.field"""
-_ARM = "SELECT review || chr(31) || '{arm}' AS review, {q} AS question FROM review_criteria"
-_BOTH = _ARM.format(arm="question", q="string_split(criteria, chr(10))[1]") + " UNION ALL " + _ARM.format(arm="expanded", q="criteria")
-SQL["expansion_arms"] = f"""WITH w0 AS (SELECT * FROM works QUALIFY row_number() OVER (PARTITION BY review, work_id ORDER BY loaded_at DESC) = 1), ar AS ({_BOTH}),
+_TITLE = "string_split(criteria, chr(10))[1]"
+TERMS = r"""tw AS (SELECT review, term, row_number() OVER (PARTITION BY review ORDER BY count(*) DESC, term) AS k FROM (SELECT review, unnest(regexp_extract_all(lower(title), '\p{L}{5,}')) AS term FROM w0) GROUP BY review, term QUALIFY k <= 40)"""
+_accepted = lambda q, source: f"""SELECT c.review, any_value(q) AS question, coalesce(list(term ORDER BY k) FILTER (WHERE term IS NOT NULL AND length(term) <= 60 AND NOT list_contains(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}_]+'), term))[1:8], []) AS terms
+        FROM (SELECT review, {q} AS q FROM {source}) c LEFT JOIN tw USING (review) GROUP BY c.review"""
+_LONG = "trim(concat_ws(' ', trim(question), array_to_string(terms, ' ')))"
+_W0 = WORKS.replace("w AS", "w0 AS", 1)
+SQL["query_expansion"] = rf"""WITH {_W0}, {TERMS}, e AS ({_accepted(_TITLE, 'review_criteria')})
+    SELECT review, left(sha256(lower(trim(regexp_replace(question, '\s+', ' ', 'g')))), 32) AS question_key, array_to_string(terms, '|') AS accepted, {_LONG} AS expanded FROM e"""
+SQL["expansion_arms"] = f"""WITH {_W0}, {TERMS}, ti AS ({_accepted(_TITLE, 'review_criteria')}), cr AS ({_accepted('criteria', 'review_criteria')}),
+    ar AS (SELECT review || chr(31) || 'title' AS review, question FROM ti UNION ALL SELECT review || chr(31) || 'title_expanded', {_LONG} FROM ti UNION ALL SELECT review || chr(31) || 'criteria', question FROM cr UNION ALL SELECT review || chr(31) || 'criteria_expanded', {_LONG} FROM cr),
     w AS (SELECT ar.review, work_id, title, abstract FROM w0 JOIN ar ON w0.review = string_split(ar.review, chr(31))[1]), {TRUTH.replace('t AS (', 't0 AS (', 1)},
     t AS (SELECT ar.review, work_id, label_included FROM t0 JOIN ar ON t0.review = string_split(ar.review, chr(31))[1]), {bm25('SELECT * FROM ar')},
-    i AS (SELECT review, rank, label_included FROM bm JOIN t USING (review, work_id)), mm AS (WITH {ranking('i', 'review').strip()})
-    SELECT string_split(review, chr(31))[1] AS review, max(CASE WHEN review LIKE '%question' THEN tnr END) AS tnr_question, max(CASE WHEN review LIKE '%expanded' THEN tnr END) AS tnr_expanded,
-        round(max(CASE WHEN review LIKE '%expanded' THEN tnr END) - max(CASE WHEN review LIKE '%question' THEN tnr END), 6) AS delta FROM mm GROUP BY 1"""
-SQL["reading_order"] = f"""WITH e AS ({SQL['suggestion_combine']}) SELECT review, work_id, reading_group, row_number() OVER (PARTITION BY review ORDER BY reading_group, work_id) AS rank FROM e"""
-SQL = {k: v for k, v in SQL.items() if v}
+    i AS (SELECT review, rank, label_included FROM bm JOIN t USING (review, work_id)), mm AS (WITH {ranking('i', 'review').strip()}),
+    pv AS (SELECT string_split(review, chr(31))[1] AS review, {', '.join(f"max(CASE WHEN string_split(review, chr(31))[2] = '{a}' THEN tnr END) AS tnr_{a}" for a in ('title', 'title_expanded', 'criteria', 'criteria_expanded'))} FROM mm GROUP BY 1)
+    SELECT *, round(tnr_title_expanded - tnr_title, 6) AS delta_title, round(tnr_criteria_expanded - tnr_criteria, 6) AS delta_criteria FROM pv"""
+SQL["expansion_summary"] = " UNION ALL ".join(f"SELECT '{k}' AS kind, count(delta_{k}) AS n, count(CASE WHEN delta_{k} > 0 THEN 1 END) AS improved, count(CASE WHEN delta_{k} < 0 THEN 1 END) AS worsened, round(avg(delta_{k}), 6) AS mean_delta FROM ({SQL['expansion_arms']})" for k in ("title", "criteria"))
+SQL["reading_order"] = f"""WITH {WORKS}, {DENSE}, e AS ({SQL['suggestion_combine']}) SELECT review, work_id, reading_group, row_number() OVER (PARTITION BY review ORDER BY reading_group, -coalesce(score, 0.0), work_id) AS rank FROM e LEFT JOIN de USING (review, work_id)"""

@@ -58,10 +58,12 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs on one machine (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = spark.sparkContext.getConf().get("spark.app.id", "app")
     path = os.path.join(tempfile.gettempdir(), f"siftmill-{os.getpid()}-{made}")
     if not os.path.isdir(path):

@@ -183,7 +183,7 @@ def test_all_models_are_arms(spark, tmp_path):
     spark.createDataFrame(list(models.items()), "run_id string, model string").write.parquet(f"{tmp_path}/screening_run.parquet")
     rows = [(f"r{k + 1}", "rev", w, "include" if c == "i" else "exclude", True, "q", datetime(2026, 1, 1)) for w, cs in said.items() for k, c in enumerate(cs)]
     spark.createDataFrame(rows, "run_id string, review string, work_id string, decision string, span_verified boolean, evidence_span string, created_at timestamp").write.parquet(f"{tmp_path}/screening_decision.parquet")
-    r = screening.arm_consensus_all(spark, str(tmp_path)).first()
+    r = screening.arm_consensus(spark, str(tmp_path)).first()
     assert (r["n_records"], r["n_rated_by_every_arm"], r["flagged"], r["n_unanimous"], r["n_disagreed"], r["both"], r["either"]) == (2, 2, "m-a:2 m-b:2 m-c:1", 1, 1, 1, 2)
-    got = {(r["work_id"], r["n_rated"], r["said"]) for r in screening.arm_disagreements_all(spark, str(tmp_path)).collect()}
+    got = {(r["work_id"], r["n_rated"], r["said"]) for r in screening.arm_disagreements(spark, str(tmp_path)).collect()}
     assert got == {("W1", 3, "m-a:gap_stated m-b:gap_stated m-c:not_stated"), ("W3", 2, "m-a:gap_stated m-b:not_stated")}
