@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,11 @@ def source_text(title: Column, abstract: Column) -> Column:
     return F.concat_ws(" ", F.nullif(title, F.lit("")), F.nullif(abstract, F.lit("")))
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column that is worked out once a row: expressions over it, lambdas above all, don't repeat it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of letters and digits, lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill.functions.porter import stems
-from siftmill.functions.text import query_terms, source_text, words
+from siftmill.functions.text import held, query_terms, source_text, words
 from siftmill.session import broadcast_if_small, stage
 
 K1, B = 1.2, 0.75
@@ -68,17 +68,16 @@ def bm25(works: DataFrame, questions: DataFrame, stemmed: bool = False, limit: i
     if stemmed:  # terms with one stem count once each
         asked = asked.select("review", stems(F.col("terms")).alias("terms"))
     asked = broadcast_if_small(asked, REVIEWS)
-    docs = works.join(asked.select("review"), "review", "left_semi").select("review", "work_id", words(F.concat_ws(" ", "title", "abstract")).alias("words"))
-    times = lambda terms: F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.size(F.filter(terms, lambda w: w == t)).alias("tf")))
+    docs = held(works.join(asked.select("review"), "review", "left_semi").select("review", "work_id", F.concat_ws(" ", "title", "abstract").alias("text")), "words", words(F.col("text")))
+    times = lambda known: F.transform(known, lambda w: F.struct(w.alias("term"), (F.size("words") - F.size(F.array_remove("words", w))).alias("tf")))
     if stemmed:
-        docs = stage(docs)
+        docs = stage(docs.drop("text"))
         raw = broadcast_if_small(stage(_asked_words(docs, asked)), REVIEWS)
-        known = F.array_intersect("words", "raw")
-        counted = docs.join(raw, "review", "left").withColumn("hits", F.transform(F.filter("words", lambda w: F.array_contains(known, w)), lambda w: F.element_at("of", w)))
+        found = stage(docs.join(raw, "review", "left").select("review", "work_id", F.size("words").alias("size"), F.transform(times(F.array_intersect("words", "raw")), lambda t: F.struct(F.element_at("of", t["term"]).alias("term"), t["tf"].alias("tf"))).alias("all")))
+        one = lambda term: F.struct(term.alias("term"), F.aggregate("all", F.lit(0), lambda s, t: s + F.when(t["term"] == term, t["tf"]).otherwise(0)).alias("tf"))
+        rows = found.select("review", "work_id", "size", F.coalesce(F.transform(F.array_distinct("all.term"), one), F.array()).alias("tfs"))
     else:
-        known = F.array_intersect("words", "terms")
-        counted = docs.join(asked, "review").withColumn("hits", F.filter("words", lambda w: F.array_contains(known, w)))
-    rows = stage(counted.select("review", "work_id", F.size("words").alias("size"), F.coalesce(times(F.col("hits")), F.array()).alias("tfs")))
+        rows = stage(docs.join(asked, "review").select("review", "work_id", F.size("words").alias("size"), times(F.array_intersect("words", "terms")).alias("tfs")))
     totals = rows.groupBy("review").agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     df = rows.select("review", F.explode("tfs.term").alias("term")).groupBy("review", "term").agg(F.count("*").alias("df"))
     wanted = asked.select("review", F.explode("terms").alias("term")).groupBy("review", "term").agg(F.count("*").alias("times"))

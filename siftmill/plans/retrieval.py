@@ -213,10 +213,12 @@ def paper_identifiers(spark, d):
 
 def inverted_abstracts(spark, d):
     """Abstracts rebuilt from their inverted indexes: whether they come out as they were. Each within its row."""
-    words = F.split("abstract", " ")
-    rows = b.works(spark, d).filter(F.length(F.trim("abstract")) > 0).select("review", "work_id", "abstract", words.alias("words"))
-    at = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    index = F.map_from_entries(F.transform(F.array_distinct("words"), lambda w: F.struct(w, F.transform(F.filter(at, lambda x: x["w"] == w), lambda x: x["i"]))))
+    rows = b.works(spark, d).filter(F.length(F.trim("abstract")) > 0).select("review", "work_id", "abstract")
+    rows = ft.held(rows, "words", F.split("abstract", " "))
+    at = F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    rows = ft.held(rows, "at", at)
+    rows = ft.held(rows, "index", F.map_from_entries(F.transform(F.array_distinct("words"), lambda w: F.struct(w, F.filter("at", lambda x: x["w"] == w)["i"]))))
+    index = F.col("index")
     return rows.select("review", "work_id", (ft.inverted_text(index) == F.col("abstract")).alias("same"))
 
 
