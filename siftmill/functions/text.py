@@ -79,6 +79,21 @@ def question_key(question: Column) -> Column:
     return F.substring(F.sha2(plain, 256), 1, 32)
 
 
+def criteria_version(criteria: Column) -> Column:
+    """Twelve hexadecimal digits that stand for the wording of criteria; part of a prompt's version."""
+    return F.substring(F.sha2(criteria, 256), 1, 12)
+
+
+def run_name(at: Column, config_hash: Column, kind: str | None = None) -> Column:
+    """Name of a run: its time (UTC, to the microsecond), its kind if it has one, and its configuration."""
+    return F.concat_ws("-", F.concat(F.date_format(at, "yyyyMMdd'T'HHmmssSSSSSS"), F.lit("Z")), *([F.lit(kind)] if kind else []), config_hash)
+
+
+def search_text(question: Column) -> Column:
+    """A question as a search service takes it: without wildcards, white space collapsed."""
+    return F.trim(F.regexp_replace(F.translate(question, "?*", "  "), r"\s+", " "))
+
+
 def safe_name(text: Column, limit: int = 60) -> Column:
     """A file name: reserved characters out, white space collapsed, cut at limit, no trailing dots or blanks."""
     plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " ")

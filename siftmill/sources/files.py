@@ -10,6 +10,7 @@ import os
 import sqlite3
 import tempfile
 import tomllib
+import warnings
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +35,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
+def verified_includes(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The decisions of a run's JSONL file that are includes with a verified quotation."""
+    return read_jsonl(spark, path, schema).filter((F.col("decision") == "include") & F.col("span_verified"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
@@ -105,13 +111,15 @@ RUN_KINDS = [("-gapconsensus-", "gap consensus"), ("-gaprecall-", "gap recall"),
 
 
 def run_index(spark: SparkSession, directory: str) -> DataFrame:
-    """name, kind, schema and raw metrics of every run directory, those without metrics too."""
-    names = sorted(n for n in os.listdir(directory) if os.path.isdir(os.path.join(directory, n)))
-    listed = spark.createDataFrame([(n,) for n in names], "run string")
-    found = [n for n in names if os.path.exists(os.path.join(directory, n, "metrics.json"))]
+    """name, kind, schema and raw metrics of every run directory, those without metrics too; on any file system of the cluster."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(directory if ":" in directory else f"file://{os.path.abspath(directory)}")
+    fs = root.getFileSystem(conf)
+    runs = sorted((s.getPath() for s in fs.listStatus(root) if s.isDirectory()), key=lambda p: p.getName())
+    listed = spark.createDataFrame([(p.getName(),) for p in runs], "run string")
+    found = [str(p) + "/metrics.json" for p in runs if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "metrics.json"))]
     if found:
-        paths = [f"file://{os.path.join(directory, n, 'metrics.json')}" for n in found]
-        text = spark.read.text(paths, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"), F.col("value").alias("metrics"))
+        text = spark.read.text(found, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"), F.col("value").alias("metrics"))
         listed = listed.join(text, "run", "left")
     else:
         listed = listed.withColumn("metrics", F.lit(None).cast("string"))
@@ -125,7 +133,10 @@ REVIEW_ROW = "review string, n_records bigint, n_included bigint, prevalence dou
 
 
 def report_rows(index: DataFrame, schema_version: int = 2) -> DataFrame:
-    """A row per run and review of the runs of one schema version."""
+    """A row per run and review of the runs of one schema version; a warning names the runs of others."""
+    other = [r["run"] for r in index.filter(F.col("metrics").isNotNull() & ~F.col("schema").eqNullSafe(F.lit(schema_version))).select("run").orderBy("run").collect()]
+    if other:
+        warnings.warn(f"runs of another schema are left out: {', '.join(other)}", stacklevel=2)
     rows = F.explode(F.from_json(F.get_json_object("metrics", "$.per_review"), f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in REVIEW_ROW.split(', '))}>>"))
     return index.filter(F.col("schema") == schema_version).select("run", "kind", rows.alias("r")).select("run", "kind", "r.review", "r.n_records", "r.n_included", "r.prevalence", F.col("r.ranking.tnr_at_recall").alias("tnr"), F.col("r.ranking.wss_at_recall").alias("wss"))
 

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from siftmill.functions import text
 from siftmill.operators import documents, ingest, linalg
 from siftmill.sources import files
 
@@ -145,7 +146,8 @@ def test_run_index_and_report(spark, tmp_path):
     (tmp_path / "20260103-abc").mkdir()
     index = files.run_index(spark, str(tmp_path))
     assert {r["run"][9:]: (r["kind"], r["schema"]) for r in index.collect()} == {"gapconsensus-x": ("gap consensus", 2), "gap-x": ("gap", 1), "abc": ("screening", None)}
-    rows = files.report_rows(index).collect()
+    with pytest.warns(UserWarning, match="20260102-gap-x"):
+        rows = files.report_rows(index).collect()
     assert [(r["review"], r["tnr"]) for r in rows] == [("A", 0.5)]
     assert "| A | 0.500 |" in files.markdown([{"review": "A", "tnr": 0.5}], ["review", "tnr"])
 
@@ -179,6 +181,15 @@ def test_files_roundtrip(spark, tmp_path):
         assert z.namelist() == ["001 W1/paper.md", "summary.csv"]
 
 
+def test_verified_includes_and_names(spark, tmp_path):
+    rows = [("W1", "include", True), ("W2", "include", False), ("W3", "exclude", True), ("W4", None, None)]
+    files.write_jsonl(spark.createDataFrame(rows, "work_id string, decision string, span_verified boolean"), str(tmp_path / "r"))
+    assert [r["work_id"] for r in files.verified_includes(spark, str(tmp_path / "r"), "work_id string, decision string, span_verified boolean").collect()] == ["W1"]
+    df = spark.createDataFrame([("What  of *moss*?",)], "q string").withColumn("at", F.timestamp_micros(F.lit(1_767_225_600_000_001)))
+    r = df.select(text.search_text(F.col("q")).alias("s"), text.criteria_version(F.col("q")).alias("c"), text.run_name(F.col("at"), F.lit("ab12"), "gap").alias("n")).first()
+    assert (r["s"], len(r["c"]), r["n"]) == ("What of moss", 12, "20260101T000000000001Z-gap-ab12")
+
+
 def test_map_explains_variance(spark):
     import numpy as np
 
