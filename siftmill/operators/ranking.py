@@ -67,12 +67,14 @@ def bm25(works: DataFrame, questions: DataFrame, stemmed: bool = False, limit: i
     asked = questions.select("review", query_terms(F.col("question")).alias("terms"))
     if stemmed:  # terms with one stem count once each
         asked = asked.select("review", stems(F.col("terms")).alias("terms"))
-    asked = broadcast_if_small(asked, REVIEWS)
+    # what is sent to every executor has a row per review: one count tells for all of it
+    sent = F.broadcast if asked.limit(REVIEWS + 1).count() <= REVIEWS else lambda df: df
+    asked = sent(asked)
     docs = held(works.join(asked.select("review"), "review", "left_semi").select("review", "work_id", F.concat_ws(" ", "title", "abstract").alias("text")), "words", words(F.col("text")))
     times = lambda known: F.transform(known, lambda w: F.struct(w.alias("term"), (F.size("words") - F.size(F.array_remove("words", w))).alias("tf")))
     if stemmed:
         docs = stage(docs.drop("text"))
-        raw = broadcast_if_small(stage(_asked_words(docs, asked)), REVIEWS)
+        raw = sent(_asked_words(docs, asked))
         found = stage(docs.join(raw, "review", "left").select("review", "work_id", F.size("words").alias("size"), F.transform(times(F.array_intersect("words", "raw")), lambda t: F.struct(F.element_at("of", t["term"]).alias("term"), t["tf"].alias("tf"))).alias("all")))
         one = lambda term: F.struct(term.alias("term"), F.aggregate("all", F.lit(0), lambda s, t: s + F.when(t["term"] == term, t["tf"]).otherwise(0)).alias("tf"))
         rows = found.select("review", "work_id", "size", F.coalesce(F.transform(F.array_distinct("all.term"), one), F.array()).alias("tfs"))
@@ -84,7 +86,7 @@ def bm25(works: DataFrame, questions: DataFrame, stemmed: bool = False, limit: i
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = df.join(wanted, ["review", "term"]).join(totals, "review").select("review", "term", (F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("times")).alias("w"))
     each = weighed.groupBy("review").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("weights"))
-    stats = broadcast_if_small(stage(totals.join(each, "review", "left").select("review", "mean", "weights")), REVIEWS)
+    stats = sent(totals.join(each, "review", "left").select("review", "mean", "weights"))
     shape = K1 * (1 - B + B * F.col("size") / F.col("mean"))
     score = F.aggregate("tfs", F.lit(0.0), lambda s, t: s + F.element_at("weights", t["term"]) * t["tf"] * (K1 + 1) / (t["tf"] + shape))
     ranked = rows.join(stats, "review").select("review", "work_id", F.when(F.size("tfs") > 0, F.round(score, 9)).alias("score"))
