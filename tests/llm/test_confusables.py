@@ -53,3 +53,34 @@ def test_frames(spark):
     assert got == {("a", "with"), (None, "x"), ("d", "é é é")}
     assert [r["t"] for r in C.with_consistent(df.filter("k in ('b', 'c')"), ["t"]).orderBy("k").collect()] == [None, ""]
     assert C.differing(df.limit(0), ["k"], "t").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("tаble ᎪᏙᎪ and ⲥⲟre with ꓮꓠꓳ", "table AVA and core with ANO"),
+        ("𝐛𝐨𝐥𝐝 and 𝒮𝒸ℴ𝓅ℯ, p𝐚tient", "bold and Scope, patient"),
+        ("Տtudу of զuality, cafё", "Study of quality, cafë"),
+        ("ᖴull ⵝ-ray and ПА", "Full X-ray and ПА"),
+        ("а trial of а сору", "a trial of a copy"),
+        ("page\x0bbreak\x0cand\x00 nul", "page break and nul"),
+        ("か\u3099 in text", "が in text"),
+    ],
+)
+def test_look_alikes_of_all_alphabets(text, want):
+    assert C.unify(text) == (want, True)
+    assert C.unify(want) == (want, False)
+
+
+@pytest.mark.parametrize("text", ["at 9 В°C, ВїInfluye", "𝑥 and ℝ", "וWindows של מערכת", "group Α with χ", "тест а с", "line\r\nend\tof", "αhelix, TNFα, ΔT"])
+def test_no_look_alikes(text):
+    assert C.unify(text) == (text, False)
+
+
+def test_every_character_that_is_changed_reaches_python(spark):
+    changed = []
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE1010))):
+        changed += [t for t in (f"some te{c}t", f"some {c}{c} {c} here") if C.unify(t)[1]]
+    df = spark.createDataFrame([(t,) for t in changed], "t string")
+    assert len(changed) > 4_000 and [r["t"] for r in df.filter(~F.col("t").rlike(C.TRIGGER)).head(5)] == []
+    assert {r["text"] for r in C.differing(df.filter("t like '%te𝐚t%' or t like '%teᎪt%' or t like '%teꓮt%'"), ["t"], "t").collect()} == {"some teat", "some teAt"}
