@@ -126,7 +126,8 @@ def _step(run: str, chain: tuple[str, str]) -> tuple[str, int, int, int] | None:
             cont = 0
             while cont < len(rest) and 0x80 <= rest[cont] <= 0xBF:
                 cont += 1
-            if width > 2 and cont and at + 1 + cont == len(raw):  # the beginning of a longer sequence
+            # the beginning of a longer sequence; an accented letter before unusual spaces is none
+            if width > 2 and cont and at + 1 + cont == len(raw) and not _BLANK.issuperset(run[at + 1 : at + 1 + cont]):
                 broken += 1
                 width = 1 + cont
             else:

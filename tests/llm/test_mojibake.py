@@ -90,3 +90,10 @@ def test_text_garbled_five_times(model):
         now = garbled(now, "utf-8", "cp1252")
     found = M.examine(now, model)
     assert found.garbled and (found.text == text) == found.restored
+
+
+def test_accented_letters_before_unusual_spaces_are_sound():
+    text = "L’anxiété s’est révélée liée à la durée du suivi, malgré un été très sec."
+    assert M._step("é\u00a0", ("cp1252", "utf-8")) is None and M._step("à\u00a0", ("cp1250", "utf-8")) is None
+    assert M._step("Ã\u00a0", ("cp1252", "utf-8"))[:2] == ("à", 1) and M._step("â€", ("cp1252", "utf-8"))[2] == 1
+    assert not M.looks_garbled(text.replace(" ", "\u00a0"))
